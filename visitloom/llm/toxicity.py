@@ -178,12 +178,13 @@ def _features(shared_ratio):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of the features and the intercept, by Newton's method with a small ridge."""
+    """Weights of the features and the intercept, by Newton's method with a small ridge; the rarer label weighs more."""
     x = np.column_stack([x, np.ones(len(x))])
+    w = np.where(y == 1, ((y == 0).sum() / max(1, (y == 1).sum())) ** 0.5, 1.0)
     beta, ridge = np.zeros(x.shape[1]), 0.02 * len(y) * np.diag([1.0, 1.0, 1.0, 0.0]) / 100 + 1e-9 * np.eye(4)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ beta)
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (w * (y - p)) - ridge @ beta)
         beta = beta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
