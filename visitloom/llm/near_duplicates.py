@@ -20,6 +20,9 @@ LOW_BITS = 2
 WORDS = HASHES * LOW_BITS // 64
 #: A candidate is dropped unconfirmed if its estimate is so far below the threshold: six standard deviations.
 MARGIN = 0.23
+#: Buckets are compared pair by pair once that takes at most so many pairs a row; before, in turns, with one node each,
+#: unless so many turns on end have found no link.
+FEW, PATIENCE = 4, 3
 #: Parts of a set's links that are confirmed in one task, by a hash of the other set.
 SALTS = 32
 PER_CENT = 80
@@ -147,9 +150,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
     reachable over links; kept: whether that is its own.
 
     Equal sets become one node. Nodes that share a band of their MinHash minima are candidates. In each bucket all nodes
-    are compared with one, over full sets; the links' components leave few buckets that hold several, and there nodes of
-    different components are compared pair by pair, if their b-bit signatures don't rule it out. So a bucket of copies
-    costs a comparison for each, not for each pair, and no link between components is missed.
+    are compared with one, over full sets, if their b-bit signatures don't rule it out; where the links' components leave
+    a bucket with several, its nodes are compared with another one, and so on; in the end nodes of different components
+    are compared pair by pair. So a bucket of copies costs some comparisons for each, not one for each pair, and no link
+    between components is missed.
 
     Null, empty and blank texts: no shingles, linked with nothing, kept. A row with a null doc_id links only with equal
     sets; its component_id is the others' smallest id, or null, and it isn't kept. Repeated rows share their id and
@@ -178,11 +182,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
     likely = (F.col("na") * 100 >= per_cent * F.col("nb")) & (F.col("nb") * 100 >= per_cent * F.col("na")) & (estimate("sa", "sb") >= per_cent / 100 - MARGIN)
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(stars.join(sides[0], "a").join(sides[1], "b").where(likely))
-    label = components(links)
-    # Buckets in which several components meet; a component's nodes don't meet each other again.
-    placed = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    meet = stored(placed.join(mixed, "band").join(known.select("node", "n", "signature"), "node").select("band", "node", "component", "head", "n", "signature"))
+    idle, turn = 0, 0
+    while True:
+        # Buckets in which several components meet; a component's nodes needn't meet each other again.
+        placed = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+        meet = cut(placed.join(mixed, "band"))
+        each = meet.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        rows, pairs = each.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2), F.lit(0))).first()
+        if pairs <= FEW * rows or idle == PATIENCE:
+            break
+        turn += 1
+        first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")
+        heads = meet.groupBy("band").agg(F.min(first).alias("f")).select("band", F.col("f.node").alias("a"), F.col("f.component").alias("ca"))
+        again = meet.join(heads, "band").where(F.col("component") != F.col("ca")).select("a", F.col("node").alias("b")).distinct()
+        more = confirmed(again.join(sides[0], "a").join(sides[1], "b").where(likely))
+        idle = 0 if more.limit(1).count() else idle + 1
+        links = cut(links.union(more))
+    meet = stored(meet.join(known.select("node", "n", "signature"), "node").select("band", "node", "component", "head", "n", "signature"))
     x, y = (meet.select("band", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("head").alias(f"h{k}"), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}")) for k in "ab")
     fresh = x.join(y, "band").where((F.col("ca") < F.col("cb")) & (F.col("a") != F.col("hb")) & (F.col("b") != F.col("ha")) & likely).select("a", "b").distinct()
     more = confirmed(fresh)
