@@ -15,21 +15,22 @@ from visitloom.llm.components import components
 #: Hashes in BANDS bands of ROWS: two sets of similarity 0.8 share no band with a chance of 3 in a million.
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
-#: Bits kept of each minimum, and the 64-bit words of a packed signature.
-LOW_BITS = 2
-WORDS = HASHES * LOW_BITS // 64
-#: A candidate is dropped unconfirmed if its estimate is so far below the threshold: six standard deviations.
-MARGIN = 0.23
+#: Bits kept of each minimum of a signature. Candidates' signatures have more minima, for a closer estimate.
+LOW_BITS, CLOSER = 2, 512
+#: A candidate is dropped unconfirmed if its estimate is so far below the threshold: five standard deviations.
+MARGIN = 0.105
 #: Buckets are compared pair by pair once that takes at most so many pairs a row; before, in turns, with one node each,
-#: unless so many turns on end have found no link.
-FEW, PATIENCE = 4, 3
+#: for as long as a turn brings the number of pairs down by a tenth.
+FEW, SHRINK = 4, 0.9
+#: Nodes of a part of a bucket; parts meet pair by pair.
+SQUARE = 2048
 #: Parts of a set's links that are confirmed in one task, by a hash of the other set.
 SALTS = 32
 PER_CENT = 80
 
 _random = np.random.default_rng(20240607)
-FACTORS = _random.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
-TERMS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+FACTORS = _random.integers(1, 1 << 32, CLOSER, dtype=np.uint32) | np.uint32(1)
+TERMS = _random.integers(0, 1 << 32, CLOSER, dtype=np.uint32)
 _powers: list[np.ndarray] = []
 
 
@@ -69,16 +70,16 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """The HASHES minima of each set that isn't empty, a row each."""
+def minima(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
+    """The minima of each set that isn't empty, a row each."""
     full = [s for s in sets if len(s)]
-    out = np.empty((len(full), HASHES), np.uint32)
+    out = np.empty((len(full), hashes), np.uint32)
     for a, b in slices([len(s) for s in full], 1 << 15):
         every = np.concatenate(full[a:b])
         x = (every >> np.uint64(32)).astype(np.uint32) ^ every.astype(np.uint32)
         starts = np.cumsum([0, *(len(s) for s in full[a : b - 1])])
         scratch = np.empty_like(x)
-        for k in range(HASHES):
+        for k in range(hashes):
             np.multiply(x, FACTORS[k], out=scratch)
             scratch += TERMS[k]
             scratch ^= scratch >> np.uint32(15)
@@ -101,13 +102,10 @@ def _sketcher(width: int):
                     bands = (bands ^ m[:, k::ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                     bands ^= bands >> np.uint64(29)
                 bands = (bands & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)
-                low = (m & np.uint32((1 << LOW_BITS) - 1)).astype(np.uint64).reshape(len(m), WORDS, -1)
-                packed = (low << (np.arange(low.shape[2], dtype=np.uint64) * np.uint64(LOW_BITS))).sum(axis=2, dtype=np.uint64)
                 lists: list[list | None] = [None] * len(sets)
-                signs: list[list | None] = [None] * len(sets)
-                for at, b, p in zip([k for k, x in enumerate(n) if x], bands.view(np.int64).tolist(), packed.view(np.int64).tolist(), strict=True):
-                    lists[at], signs[at] = b, p
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i:j], pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands", "signature"])
+                for at, b in zip([k for k, x in enumerate(n) if x], bands.view(np.int64).tolist(), strict=True):
+                    lists[at] = b
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i:j], pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands"])
 
     return run
 
@@ -122,13 +120,49 @@ def _key(shingles: np.ndarray) -> int | None:
     return int((h.sum(dtype=np.uint64, keepdims=True) * np.uint64(2) + np.bitwise_xor.reduce(h, keepdims=True)).view(np.int64)[0])
 
 
+def pack(m: np.ndarray) -> np.ndarray:
+    """The low bits of minima, packed into 64-bit words."""
+    low = (m & np.uint32((1 << LOW_BITS) - 1)).astype(np.uint64).reshape(len(m), m.shape[1] * LOW_BITS // 64, 64 // LOW_BITS)
+    return (low << (np.arange(low.shape[2], dtype=np.uint64) * np.uint64(LOW_BITS))).sum(axis=2, dtype=np.uint64)
+
+
 def _sets(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, keys, texts = columns(batch, "node", "key", "text")
             for i, j in slices([len(x or "") for x in texts], CHUNK):
-                got = [(node, s.view(np.int64)) for node, key, s in zip(nodes[i:j], keys[i:j], shingle_sets(texts[i:j], width), strict=True) if _key(s) == key]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([s for _, s in got], pa.list_(pa.int64()))], ["node", "shingles"])
+                got = [(node, s) for node, key, s in zip(nodes[i:j], keys[i:j], shingle_sets(texts[i:j], width), strict=True) if _key(s) == key]
+                signs = pack(minima([s for _, s in got], CLOSER)).view(np.int64).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], ["node", "shingles", "signature"])
+
+    return run
+
+
+def _meetings(per_cent: int):
+    """Of two parts of a bucket (or one and null): pairs of different components that signatures don't rule out."""
+    half, chance = np.uint64(0x5555555555555555), 1 / (1 << LOW_BITS)
+    most = (1 - chance - (per_cent / 100 - MARGIN) * (1 - chance)) * CLOSER
+
+    def part(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([[r["node"], r["component"], r["head"], r["n"]] for r in rows], np.int64), np.array([r["signature"] for r in rows], np.int64).view(np.uint64)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (c[0] for c in columns(batch.slice(k, 1), "a", "b"))
+                (xs, sx), (ys, sy) = part(x), part(y if y is not None else x)
+                found = [np.zeros((0, 2), np.int64)]
+                for i in range(0, len(xs), 128):
+                    one, sign = xs[i : i + 128, :, None], sx[i : i + 128]
+                    fit = (one[:, 1] != ys[:, 1]) & (one[:, 3] * 100 >= per_cent * ys[:, 3]) & (ys[:, 3] * 100 >= per_cent * one[:, 3])
+                    wrong = np.zeros(fit.shape, np.int64)
+                    for w in range(sx.shape[1]):
+                        off = sign[:, w, None] ^ sy[:, w]
+                        wrong += np.bitwise_count((off | (off >> np.uint64(1))) & half)
+                    u, v = np.nonzero(fit & (wrong <= most))
+                    found.append(np.column_stack([xs[i + u, 0], ys[v, 0]]))
+                pairs = np.sort(np.concatenate(found), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
@@ -136,10 +170,10 @@ def _sets(width: int):
 def estimate(a: str, b: str) -> Column:
     """The similarity that two packed signatures tell, without the share of low bits that agree by chance."""
     half = F.lit(0x5555555555555555)
-    off = [F.col(a)[k].bitwiseXOR(F.col(b)[k]) for k in range(WORDS)]
+    off = [F.col(a)[k].bitwiseXOR(F.col(b)[k]) for k in range(CLOSER * LOW_BITS // 64)]
     wrong = sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(half)) for x in off[1:]), F.bit_count(off[0].bitwiseOR(F.shiftrightunsigned(off[0], 1)).bitwiseAND(half)))
     chance = 1 / (1 << LOW_BITS)
-    return ((1 - wrong / HASHES) - chance) / (1 - chance)
+    return ((1 - wrong / CLOSER) - chance) / (1 - chance)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -> DataFrame:
@@ -159,16 +193,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
     sets; its component_id is the others' smallest id, or null, and it isn't kept. Repeated rows share their id and
     component and are all kept, or none. No rows: none. Other columns are ignored.
     """
-    sketch = stored(docs.select("doc_id", "text").mapInArrow(_sketcher(width), "doc_id long, n_shingles long, key long, bands array<long>, signature array<long>"))
-    nodes = sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    nodes = nodes.select(F.coalesce("doc", "key").alias("node"), "doc", "key", "n", "bands", "signature")
+    sketch = stored(docs.select("doc_id", "text").mapInArrow(_sketcher(width), "doc_id long, n_shingles long, key long, bands array<long>"))
+    nodes = sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = nodes.select(F.coalesce("doc", "key").alias("node"), "doc", "key", "n", "bands")
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = stored(buckets.join(shared, "band").select("band", "node", "head"))
-    light = nodes.select("node", "doc", "key", "n", "signature")
+    light = nodes.select("node", "doc", "key", "n")
     asked = members.select("node").distinct()
-    known = stored(light.join(asked, "node", "left_semi"))
-    sets = stored(docs.select("doc_id", "text").join(known.select(F.col("doc").alias("doc_id"), "node", "key"), "doc_id").select("node", "key", "text").mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]))
+    known = light.join(asked, "node", "left_semi")
+    sets = stored(docs.select("doc_id", "text").join(known.select(F.col("doc").alias("doc_id"), "node", "key"), "doc_id").select("node", "key", "text").mapInArrow(_sets(width), "node long, shingles array<long>, signature array<long>").dropDuplicates(["node"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that link; a may stand in many."""
@@ -178,11 +212,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
         both = two.join(one, ["a", "salt"]).withColumn("common", F.size(F.array_intersect("sa", "sb")))
         return cut(both.where(F.col("common") * 100 >= per_cent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"))
 
-    sides = [known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"]
+    signed = sets.select("node", F.size("shingles").alias("n"), "signature")
+    sides = [signed.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"]
     likely = (F.col("na") * 100 >= per_cent * F.col("nb")) & (F.col("nb") * 100 >= per_cent * F.col("na")) & (estimate("sa", "sb") >= per_cent / 100 - MARGIN)
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(stars.join(sides[0], "a").join(sides[1], "b").where(likely))
-    idle, turn = 0, 0
+    turn, before = 0, float("inf")
     while True:
         # Buckets in which several components meet; a component's nodes needn't meet each other again.
         placed = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -190,18 +225,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
         meet = cut(placed.join(mixed, "band"))
         each = meet.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
         rows, pairs = each.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2), F.lit(0))).first()
-        if pairs <= FEW * rows or idle == PATIENCE:
+        if pairs <= FEW * rows or pairs > SHRINK * before:
             break
-        turn += 1
+        turn, before = turn + 1, pairs
         first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")
         heads = meet.groupBy("band").agg(F.min(first).alias("f")).select("band", F.col("f.node").alias("a"), F.col("f.component").alias("ca"))
         again = meet.join(heads, "band").where(F.col("component") != F.col("ca")).select("a", F.col("node").alias("b")).distinct()
         more = confirmed(again.join(sides[0], "a").join(sides[1], "b").where(likely))
-        idle = 0 if more.limit(1).count() else idle + 1
         links = cut(links.union(more))
-    meet = stored(meet.join(known.select("node", "n", "signature"), "node").select("band", "node", "component", "head", "n", "signature"))
-    x, y = (meet.select("band", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("head").alias(f"h{k}"), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}")) for k in "ab")
-    fresh = x.join(y, "band").where((F.col("ca") < F.col("cb")) & (F.col("a") != F.col("hb")) & (F.col("b") != F.col("ha")) & likely).select("a", "b").distinct()
+    sized = meet.groupBy("band").agg(F.count("*").alias("size"))
+    part = F.pmod(F.hash("node"), F.ceil(F.col("size") / SQUARE).cast("int")).alias("part")
+    rows = meet.join(sized, "band").join(signed, "node").select("band", part, F.struct("node", "component", "head", "n", "signature").alias("row"))
+    squares = stored(rows.groupBy("band", "part").agg(F.collect_list("row").alias("rows")))
+    x, y = squares.alias("x"), squares.alias("y")
+    meetings = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") <= F.col("y.part"))).select(F.col("x.rows").alias("a"), F.when(F.col("x.part") < F.col("y.part"), F.col("y.rows")).alias("b"))
+    fresh = meetings.mapInArrow(_meetings(per_cent), "a long, b long").distinct()
     more = confirmed(fresh)
     final = components(links.union(more))
     # Nodes are ids of documents, or keys where no document of theirs has one: ids first.
