@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from visitloom.plans.registry import QUERIES, SQL, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("rows", "aggregates")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"visitloom.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
