@@ -6,7 +6,7 @@ import importlib
 
 from visitloom.plans.registry import QUERIES, SQL, Query
 
-MODULES = ("rows", "aggregates")
+MODULES = ("rows", "aggregates", "joins", "scalars")
 
 
 def _load() -> None:
