@@ -12,12 +12,12 @@ def review_priority(confidence: Column, entropy: Column, variance: Column, ood:
 
 def logprob_confidence(log_prob: Column) -> Column:
     """exp of a log-probability within 0 and 1; null is 1."""
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(log_prob))), F.lit(1.0))
+    return F.when(log_prob.isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(log_prob))))
 
 
 def combined(asr: Column, model: Column) -> Column:
     """The model's confidence times the recogniser's within 0 and 1, 4 places; without the latter the model's."""
-    return F.coalesce(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), asr)) * model, 4), model)
+    return F.when(asr.isNull(), model).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), asr)) * model, 4))
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:

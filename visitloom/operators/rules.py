@@ -34,3 +34,53 @@ def none_of(facts: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """Visits of which no condition holds."""
     per = facts.groupBy("visit_id").agg(*[c.alias(name) for name, c in conditions.items()])
     return per.where(reduce(lambda a, b: a & b, [~F.col(n) for n in conditions])).select("visit_id")
+
+
+def evaluate(facts: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
+    """visit_id, rule_id, severity of each rule (id, severity, condition as an aggregate) that a visit's facts meet.
+
+    All conditions are aggregates of one pass over the facts of a visit; several values of a code are alternatives.
+    """
+    per = facts.groupBy("visit_id").agg(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"))) for i, s, c in rules])).alias("fired"))
+    return per.select("visit_id", F.inline("fired"))
+
+
+def trigger_rules(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules of one code each (rule_id, code, severity) that a visit's facts have."""
+    return facts.select("visit_id", "code").distinct().join(rules, "code").select("visit_id", "rule_id", "severity")
+
+
+def stratified(facts: DataFrame, strata: list[list[tuple[str, Column, list[str], list[str]]]]) -> DataFrame:
+    """Rules in strata of falling salience: (id, condition, ids that must have fired, ids that must not).
+
+    Conditions are aggregated once; strata are then column expressions over the set fired so far.
+    """
+    flat = [r for layer in strata for r in layer]
+    per = facts.groupBy("visit_id").agg(*[c.alias(f"c_{i}") for i, c, _, _ in flat]).withColumn("fired", F.array().cast("array<string>"))
+    for layer in strata:
+        new = []
+        for i, _, need, without in layer:
+            ok = F.col(f"c_{i}") & (F.size(F.array_except(F.array(*map(F.lit, need)).cast("array<string>"), "fired")) == 0) & ~F.arrays_overlap(F.array(*map(F.lit, without)).cast("array<string>"), "fired")
+            new.append(F.when(ok, F.lit(i)))
+        per = per.withColumn("fired", F.concat("fired", F.array_compact(F.array(*new))))
+    return per.select("visit_id", F.explode("fired").alias("rule_id"))
+
+
+def recompute(facts: DataFrame, old: DataFrame, changed: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
+    """Results of all visits after those changed are evaluated anew."""
+    ids = changed.select("visit_id").distinct()
+    fresh = evaluate(facts.join(ids, "visit_id", "left_semi"), rules)
+    return old.join(ids, "visit_id", "left_anti").unionByName(fresh)
+
+
+def derived_facts(facts: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """Named conditions over a visit's facts as facts: visit_id, code, holds."""
+    per = facts.groupBy("visit_id").agg(F.array(*[F.struct(F.lit(n).alias("code"), F.coalesce(c, F.lit(False)).alias("holds")) for n, c in flags.items()]).alias("f"))
+    return per.select("visit_id", F.inline("f"))
+
+
+def visit_stage(facts: DataFrame, stages: list[tuple[str, list[str]]], none: str) -> DataFrame:
+    """The most advanced stage (first in the list) of which a visit has a marker."""
+    per = facts.groupBy("visit_id").agg(F.collect_set("code").alias("codes"))
+    stage = F.coalesce(*[F.when(F.arrays_overlap("codes", F.array(*map(F.lit, marks))), F.lit(name)) for name, marks in stages], F.lit(none))
+    return per.select("visit_id", stage.alias("stage"))

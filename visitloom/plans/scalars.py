@@ -77,7 +77,7 @@ def str_11(t: Tables) -> DataFrame:
     return jobs(t).select("job_id", tx.fingerprint(F.col("patient_id"), F.md5(F.col("job_id").cast("string")), F.col("visit_at")).alias("fingerprint"))
 
 
-@query("mth_01", f"with {ITEMS} select item_id, round(coalesce(least(1, greatest(0, exp(case when confidence > 0 then -confidence end))), 1), 8) p from items")
+@query("mth_01", f"with {ITEMS} select item_id, case when confidence > 0 then round(least(1, greatest(0, exp(-confidence))), 8) else 1 end::double p from items")
 def mth_01(t: Tables) -> DataFrame:
     return items(t).select("item_id", F.round(sc.logprob_confidence(F.when(F.col("confidence") > 0, -F.col("confidence"))), 8).alias("p"))
 
