@@ -22,8 +22,8 @@ MARGIN = 0.105
 #: Buckets are compared pair by pair once that takes at most so many pairs a row; before, in turns, with one node each,
 #: for as long as a turn brings the number of pairs down by a tenth.
 FEW, SHRINK = 4, 0.9
-#: Nodes of a part of a bucket; parts meet pair by pair.
-SQUARE = 2048
+#: About so many nodes, and shingles, make a part of a bucket; parts meet pair by pair, so many shingles at a time.
+SQUARE, FULL, WIDE = 512, 1 << 18, 1 << 13
 #: Parts of a set's links that are confirmed in one task, by a hash of the other set.
 SALTS = 32
 PER_CENT = 80
@@ -138,31 +138,70 @@ def _sets(width: int):
     return run
 
 
+def common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of some sets shares with each of some others, by products of incidence matrices."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    kept, n = np.unique(np.concatenate([*xs, *ys]), return_counts=True)
+    kept = kept[n > 1]
+    for k in range(0, len(kept), WIDE):
+        part = kept[k : k + WIDE]
+        sides = []
+        for sets in (xs, ys):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                at = np.searchsorted(part, s)
+                at[at == len(part)] = 0
+                m[i, at[part[at] == s]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
 def _meetings(per_cent: int):
-    """Of two parts of a bucket (or one and null): pairs of different components that signatures don't rule out."""
+    """Of two parts of a bucket (or one and null): links that join nodes of different components, no more than that takes."""
     half, chance = np.uint64(0x5555555555555555), 1 / (1 << LOW_BITS)
     most = (1 - chance - (per_cent / 100 - MARGIN) * (1 - chance)) * CLOSER
 
-    def part(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([[r["node"], r["component"], r["head"], r["n"]] for r in rows], np.int64), np.array([r["signature"] for r in rows], np.int64).view(np.uint64)
+    def part(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        return np.array([[r["node"], r["component"], len(r["shingles"])] for r in rows], np.int64), np.array([r["signature"] for r in rows], np.int64).view(np.uint64), [np.array(r["shingles"], np.int64).view(np.uint64) for r in rows]
+
+    def links(x: list[dict], y: list[dict] | None) -> list[tuple[int, int]]:
+        (xs, sx, wx), (ys, sy, wy) = part(x), part(y if y is not None else x)
+        if len(np.unique(np.concatenate([xs[:, 1], ys[:, 1]]))) < 2:
+            return []
+        maybe = (xs[:, 1, None] != ys[:, 1]) & (xs[:, 2, None] * 100 >= per_cent * ys[:, 2]) & (ys[:, 2] * 100 >= per_cent * xs[:, 2, None])
+        for i in range(0, len(xs), 64):
+            wrong = np.zeros(maybe[i : i + 64].shape, np.int64)
+            for w in range(sx.shape[1]):
+                off = sx[i : i + 64, w, None] ^ sy[:, w]
+                wrong += np.bitwise_count((off | (off >> np.uint64(1))) & half)
+            maybe[i : i + 64] &= wrong <= most
+        us, vs = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+        if not len(us):
+            return []
+        both = common([wx[u] for u in us], [wy[v] for v in vs])
+        near = maybe[np.ix_(us, vs)] & (both * 100 >= per_cent * (xs[us, 2, None] + ys[vs, 2] - both))
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (d := joined.get(c, c)) != c:
+                c = d
+            return c
+
+        out = []
+        for u, v in np.argwhere(near):
+            a, b = root(int(xs[us[u], 1])), root(int(ys[vs[v], 1]))
+            if a != b:
+                joined[max(a, b)] = min(a, b)
+                out.append((int(xs[us[u], 0]), int(ys[vs[v], 0])))
+        return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 x, y = (c[0] for c in columns(batch.slice(k, 1), "a", "b"))
-                (xs, sx), (ys, sy) = part(x), part(y if y is not None else x)
-                found = [np.zeros((0, 2), np.int64)]
-                for i in range(0, len(xs), 128):
-                    one, sign = xs[i : i + 128, :, None], sx[i : i + 128]
-                    fit = (one[:, 1] != ys[:, 1]) & (one[:, 3] * 100 >= per_cent * ys[:, 3]) & (ys[:, 3] * 100 >= per_cent * one[:, 3])
-                    wrong = np.zeros(fit.shape, np.int64)
-                    for w in range(sx.shape[1]):
-                        off = sign[:, w, None] ^ sy[:, w]
-                        wrong += np.bitwise_count((off | (off >> np.uint64(1))) & half)
-                    u, v = np.nonzero(fit & (wrong <= most))
-                    found.append(np.column_stack([xs[i + u, 0], ys[v, 0]]))
-                pairs = np.sort(np.concatenate(found), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                pairs = links(x, y)
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
     return run
 
@@ -185,9 +224,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
 
     Equal sets become one node. Nodes that share a band of their MinHash minima are candidates. In each bucket all nodes
     are compared with one, over full sets, if their b-bit signatures don't rule it out; where the links' components leave
-    a bucket with several, its nodes are compared with another one, and so on; in the end nodes of different components
-    are compared pair by pair. So a bucket of copies costs some comparisons for each, not one for each pair, and no link
-    between components is missed.
+    a bucket with several, its nodes are compared with another one, and so on; what is left of a bucket is cut into parts
+    that meet two by two, and only links that join components leave a meeting. So a bucket of copies gives about a link
+    for each, not one for each pair, and no link between components is missed.
 
     Null, empty and blank texts: no shingles, linked with nothing, kept. A row with a null doc_id links only with equal
     sets; its component_id is the others' smallest id, or null, and it isn't kept. Repeated rows share their id and
@@ -233,14 +272,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
         again = meet.join(heads, "band").where(F.col("component") != F.col("ca")).select("a", F.col("node").alias("b")).distinct()
         more = confirmed(again.join(sides[0], "a").join(sides[1], "b").where(likely))
         links = cut(links.union(more))
-    sized = meet.groupBy("band").agg(F.count("*").alias("size"))
-    part = F.pmod(F.hash("node"), F.ceil(F.col("size") / SQUARE).cast("int")).alias("part")
-    rows = meet.join(sized, "band").join(signed, "node").select("band", part, F.struct("node", "component", "head", "n", "signature").alias("row"))
+    weighed = meet.join(sets, "node")
+    sized = weighed.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / SQUARE), F.ceil(F.sum(F.size("shingles")) / FULL)).cast("int").alias("parts"))
+    rows = weighed.join(sized, "band").select("band", F.pmod(F.hash("node"), F.col("parts")).alias("part"), F.struct("node", "component", "signature", "shingles").alias("row"))
     squares = stored(rows.groupBy("band", "part").agg(F.collect_list("row").alias("rows")))
     x, y = squares.alias("x"), squares.alias("y")
     meetings = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") <= F.col("y.part"))).select(F.col("x.rows").alias("a"), F.when(F.col("x.part") < F.col("y.part"), F.col("y.rows")).alias("b"))
-    fresh = meetings.mapInArrow(_meetings(per_cent), "a long, b long").distinct()
-    more = confirmed(fresh)
+    more = cut(meetings.mapInArrow(_meetings(per_cent), "a long, b long").distinct())
     final = components(links.union(more))
     # Nodes are ids of documents, or keys where no document of theirs has one: ids first.
     of_node = nodes.select("key", "node", "doc").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
