@@ -38,7 +38,7 @@ def test_licenses(spark, odd):
     text = "All rights RESERVED. all rights reserved; CC BY-NC and the GNU General Public License"
     rows = licenses.scan(frame(spark, [(1, text, "en", "a", 0)])).collect()
     r = rows[0]
-    assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == (4, 0, 11, "cc-by,gpl,reserved", "cc-by,cc-by-nc,gpl,reserved")
+    assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == (4, 0, 12, "cc-by,gpl,reserved", "cc-by,cc-by-nc,gpl,reserved")
     assert [(r.n_words, r.n_base, r.labels, r.score) for r in licenses.scan(odd).orderBy("doc_id").collect()][1:3] == [(0, 0, "", 0.0)] * 2
     assert licenses.scan(odd.limit(0)).count() == 0
 

@@ -112,7 +112,7 @@ def main_roots(root: Node) -> list[Node]:
 
 
 def hashes(root: Node) -> dict[int, tuple[int, int]]:
-    """Of each element that isn't prose: a hash of its subtree, and the characters of text in it; by id of the Node."""
+    """Of each block element that isn't prose: a hash of its subtree, and the characters of text in it; by id of the Node."""
     out: dict[int, tuple[int, int]] = {}
     done: dict[int, tuple[int, int]] = {}
     ahead: list[tuple[Node, bool]] = [(root, False)]
@@ -133,7 +133,7 @@ def hashes(root: Node) -> dict[int, tuple[int, int]]:
                 digest.update(text.encode("utf-8", "surrogatepass"))
                 size += len(text)
         done[id(node)] = digest.intdigest(), size
-        if node.name not in PROSE and node is not root:
+        if node.name in BLOCKS and node.name not in PROSE and node is not root:
             out[id(node)] = done[id(node)]
     return out
 
@@ -211,7 +211,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
     The main part of a page is its articles, else its main element, else all of it. Elements that are furniture by name,
-    class, id or role go. So do subtrees below the main part, other than prose (paragraphs, headings, list items, cells),
+    class, id or role go. So do blocks below the main part, other than prose (paragraphs, headings, list items, cells),
     that hold less than half of its text and whose hash (names and text of the subtree) stands on MANY pages and SHARE
     of the pages of the host. What is left is cut into blocks: character references are decoded, white space becomes one
     space, blocks are trimmed and joined by new lines; br is a space.
