@@ -19,7 +19,7 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
 def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Reports, one JSON document a file, and how many files can't be read."""
     rows = spark.read.schema(f"{REPORT}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.agg(F.count_if(F.col("_corrupt_record").isNotNull() & F.col("job_id").isNull()).alias("unreadable"))
+    return rows.where("_corrupt_record is null and (job_id is not null or soap is not null)").drop("_corrupt_record"), rows.agg(F.count_if(F.col("_corrupt_record").isNotNull() & F.col("job_id").isNull()).alias("unreadable"))
 
 
 def report_items(reports: DataFrame) -> DataFrame:
