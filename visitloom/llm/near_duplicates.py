@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ MARGIN = 0.105
 #: for as long as a turn brings the number of pairs down by a tenth.
 FEW, SHRINK = 4, 0.9
 #: About so many nodes, and shingles, make a part of a bucket; parts meet pair by pair, so many shingles at a time.
-SQUARE, FULL, WIDE = 512, 1 << 18, 1 << 13
+SQUARE, FULL, WIDE = 2048, 1 << 20, 1 << 13
 #: Parts of a set's links that are confirmed in one task, by a hash of the other set.
 SALTS = 32
 PER_CENT = 80
@@ -133,54 +134,59 @@ def _sets(width: int):
             for i, j in slices([len(x or "") for x in texts], CHUNK):
                 got = [(node, s) for node, key, s in zip(nodes[i:j], keys[i:j], shingle_sets(texts[i:j], width), strict=True) if _key(s) == key]
                 signs = pack(minima([s for _, s in got], CLOSER)).view(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], ["node", "shingles", "signature"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64())), pa.array([s.astype(np.uint32).view(np.int32) for _, s in got], pa.list_(pa.int32())), pa.array(signs, pa.list_(pa.int64()))], ["node", "shingles", "brief", "signature"])
 
     return run
 
 
-def common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each of some sets shares with each of some others, by products of incidence matrices."""
-    out = np.zeros((len(xs), len(ys)), np.float32)
-    kept, n = np.unique(np.concatenate([*xs, *ys]), return_counts=True)
-    kept = kept[n > 1]
-    for k in range(0, len(kept), WIDE):
-        part = kept[k : k + WIDE]
+def common(owner: np.ndarray, values: np.ndarray, us: np.ndarray, vs: np.ndarray) -> np.ndarray:
+    """How many values rows us and rows vs share, by products of incidence matrices. owner: the row of each value."""
+    _, ids, n = np.unique(values, return_inverse=True, return_counts=True)
+    new = np.cumsum(n > 1) - 1
+    keep = n[ids] > 1
+    owner, ids = owner[keep], new[ids[keep]]
+    out = np.zeros((len(us), len(vs)), np.float32)
+    place = [np.full(int(max(us.max(), vs.max(), owner.max(initial=0))) + 1, -1) for _ in range(2)]
+    place[0][us], place[1][vs] = np.arange(len(us)), np.arange(len(vs))
+    for k in range(0, int(ids.max(initial=-1)) + 1, WIDE):
+        here = (ids >= k) & (ids < k + WIDE)
         sides = []
-        for sets in (xs, ys):
-            m = np.zeros((len(sets), len(part)), np.float32)
-            for i, s in enumerate(sets):
-                at = np.searchsorted(part, s)
-                at[at == len(part)] = 0
-                m[i, at[part[at] == s]] = 1
+        for at, size in zip(place, (len(us), len(vs)), strict=True):
+            m = np.zeros((size, WIDE), np.float32)
+            row = at[owner[here]]
+            m[row[row >= 0], ids[here][row >= 0] - k] = 1
             sides.append(m)
         out += sides[0] @ sides[1].T
     return out
 
 
 def _meetings(per_cent: int):
-    """Of two parts of a bucket (or one and null): links that join nodes of different components, no more than that takes."""
+    """Of the rows of a cell (one part of a bucket, or two): links that join nodes of different components, no more than
+    that takes."""
     half, chance = np.uint64(0x5555555555555555), 1 / (1 << LOW_BITS)
     most = (1 - chance - (per_cent / 100 - MARGIN) * (1 - chance)) * CLOSER
 
-    def part(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        return np.array([[r["node"], r["component"], len(r["shingles"])] for r in rows], np.int64), np.array([r["signature"] for r in rows], np.int64).view(np.uint64), [np.array(r["shingles"], np.int64).view(np.uint64) for r in rows]
-
-    def links(x: list[dict], y: list[dict] | None) -> list[tuple[int, int]]:
-        (xs, sx, wx), (ys, sy, wy) = part(x), part(y if y is not None else x)
-        if len(np.unique(np.concatenate([xs[:, 1], ys[:, 1]]))) < 2:
+    def links(rows: pa.StructArray) -> list[tuple[int, int]]:
+        side, node, component, signature, brief = rows.flatten()
+        side, node, component = (x.to_numpy() for x in (side, node, component))
+        if len(np.unique(component)) < 2:
             return []
-        maybe = (xs[:, 1, None] != ys[:, 1]) & (xs[:, 2, None] * 100 >= per_cent * ys[:, 2]) & (ys[:, 2] * 100 >= per_cent * xs[:, 2, None])
+        sign = signature.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        size, values = pc.list_value_length(brief).to_numpy(), brief.flatten().to_numpy()
+        xs = np.flatnonzero(side == 0)
+        ys = np.flatnonzero(side == 1) if (side == 1).any() else xs
+        maybe = (component[xs, None] != component[ys]) & (size[xs, None] * 100 >= per_cent * size[ys]) & (size[ys] * 100 >= per_cent * size[xs, None])
         for i in range(0, len(xs), 64):
             wrong = np.zeros(maybe[i : i + 64].shape, np.int64)
-            for w in range(sx.shape[1]):
-                off = sx[i : i + 64, w, None] ^ sy[:, w]
+            for w in range(sign.shape[1]):
+                off = sign[xs[i : i + 64], w, None] ^ sign[ys, w]
                 wrong += np.bitwise_count((off | (off >> np.uint64(1))) & half)
             maybe[i : i + 64] &= wrong <= most
-        us, vs = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+        us, vs = xs[maybe.any(axis=1)], ys[maybe.any(axis=0)]
         if not len(us):
             return []
-        both = common([wx[u] for u in us], [wy[v] for v in vs])
-        near = maybe[np.ix_(us, vs)] & (both * 100 >= per_cent * (xs[us, 2, None] + ys[vs, 2] - both))
+        shared = common(np.repeat(np.arange(len(node)), size), values, us, vs)
+        near = maybe[np.ix_(maybe.any(axis=1), maybe.any(axis=0))] & (shared * 100 >= per_cent * (size[us, None] + size[vs] - shared))
         joined: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -189,18 +195,18 @@ def _meetings(per_cent: int):
             return c
 
         out = []
-        for u, v in np.argwhere(near):
-            a, b = root(int(xs[us[u], 1])), root(int(ys[vs[v], 1]))
+        for u, v in np.argwhere(near).tolist():
+            a, b = root(int(component[us[u]])), root(int(component[vs[v]]))
             if a != b:
                 joined[max(a, b)] = min(a, b)
-                out.append((int(xs[us[u], 0]), int(ys[vs[v], 0])))
+                out.append((int(node[us[u]]), int(node[vs[v]])))
         return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                x, y = (c[0] for c in columns(batch.slice(k, 1), "a", "b"))
-                pairs = links(x, y)
+            cells = batch.column(0)
+            for k in range(len(cells)):
+                pairs = links(cells.slice(k, 1).flatten())
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
     return run
@@ -225,7 +231,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
     Equal sets become one node. Nodes that share a band of their MinHash minima are candidates. In each bucket all nodes
     are compared with one, over full sets, if their b-bit signatures don't rule it out; where the links' components leave
     a bucket with several, its nodes are compared with another one, and so on; what is left of a bucket is cut into parts
-    that meet two by two, and only links that join components leave a meeting. So a bucket of copies gives about a link
+    that meet two by two (over 32-bit hashes; links are confirmed once more on full sets), and only links that join
+    components leave a meeting. So a bucket of copies gives about a link
     for each, not one for each pair, and no link between components is missed.
 
     Null, empty and blank texts: no shingles, linked with nothing, kept. A row with a null doc_id links only with equal
@@ -241,7 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
     light = nodes.select("node", "doc", "key", "n")
     asked = members.select("node").distinct()
     known = light.join(asked, "node", "left_semi")
-    sets = stored(docs.select("doc_id", "text").join(known.select(F.col("doc").alias("doc_id"), "node", "key"), "doc_id").select("node", "key", "text").mapInArrow(_sets(width), "node long, shingles array<long>, signature array<long>").dropDuplicates(["node"]))
+    sets = stored(docs.select("doc_id", "text").join(known.select(F.col("doc").alias("doc_id"), "node", "key"), "doc_id").select("node", "key", "text").mapInArrow(_sets(width), "node long, shingles array<long>, brief array<int>, signature array<long>").dropDuplicates(["node"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that link; a may stand in many."""
@@ -272,13 +279,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
         again = meet.join(heads, "band").where(F.col("component") != F.col("ca")).select("a", F.col("node").alias("b")).distinct()
         more = confirmed(again.join(sides[0], "a").join(sides[1], "b").where(likely))
         links = cut(links.union(more))
-    weighed = meet.join(sets, "node")
-    sized = weighed.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / SQUARE), F.ceil(F.sum(F.size("shingles")) / FULL)).cast("int").alias("parts"))
-    rows = weighed.join(sized, "band").select("band", F.pmod(F.hash("node"), F.col("parts")).alias("part"), F.struct("node", "component", "signature", "shingles").alias("row"))
-    squares = stored(rows.groupBy("band", "part").agg(F.collect_list("row").alias("rows")))
-    x, y = squares.alias("x"), squares.alias("y")
-    meetings = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") <= F.col("y.part"))).select(F.col("x.rows").alias("a"), F.when(F.col("x.part") < F.col("y.part"), F.col("y.rows")).alias("b"))
-    more = cut(meetings.mapInArrow(_meetings(per_cent), "a long, b long").distinct())
+    weighed = meet.join(sets.select("node", "signature", "brief"), "node")
+    sized = meet.join(sets.select("node", F.size("brief").alias("n")), "node").groupBy("band").agg(F.greatest(F.ceil(F.count("*") / SQUARE), F.ceil(F.sum("n") / FULL)).cast("int").alias("parts"))
+    dealt = weighed.join(sized, "band").withColumn("part", F.pmod(F.hash("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    row = F.struct((F.col("part") > F.col("other")).cast("int").alias("side"), "node", "component", "signature", "brief")
+    cells = dealt.groupBy("band", F.least("part", "other"), F.greatest("part", "other")).agg(F.collect_list(row).alias("rows")).select("rows")
+    found = cut(cells.mapInArrow(_meetings(per_cent), "a long, b long").distinct())
+    more = confirmed(found)
     final = components(links.union(more))
     # Nodes are ids of documents, or keys where no document of theirs has one: ids first.
     of_node = nodes.select("key", "node", "doc").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
