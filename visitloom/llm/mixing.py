@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitloom.llm.common import cut, stored
+
 #: Weights of the sources in order of their names, over and over.
 WEIGHTS = (5, 2, 1)
 #: What the mix takes in all, as a share of all words, and at most of any source.
@@ -45,6 +49,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     return shared.select("source", "source_size", "weight", target.alias("target"))
 
 
+def block_size(shares: DataFrame) -> int:
+    """Words of a block: what makes about SLOTS slots of all targets, BLOCK at most."""
+    whole = shares.agg(F.sum("target")).first()[0] or 0.0
+    return max(1, min(BLOCK, math.ceil(whole / SLOTS)))
+
+
 def schedule(shares: DataFrame) -> DataFrame:
     """(slot, source, rank, block_size): which source's block each slot of the mix takes; rank counts a source's slots.
 
@@ -54,7 +64,7 @@ def schedule(shares: DataFrame) -> DataFrame:
     order = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     whole = F.sum("target").over(Window.partitionBy())
     parts = shares.where("target > 0").select("source", (F.sum("target").over(order) / whole).alias("upto"), (F.col("target") / whole).alias("part"), whole.alias("whole"))
-    parts = parts.withColumn("block_size", F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.ceil(F.col("whole") / SLOTS))).cast("long"))
+    parts = parts.withColumn("block_size", F.lit(block_size(shares)))
     # Each part's points: runs of slots are spread over tasks, and each slot is looked up among the sorted parts.
     bounds = parts.agg(F.array_sort(F.collect_list(F.struct("upto", "source"))).alias("bounds"), F.max("block_size").alias("block_size"), F.max(F.ceil(F.col("whole") / F.col("block_size"))).alias("n"))
     runs = bounds.select("bounds", "block_size", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))).alias("run")).where("n > 0")
@@ -82,9 +92,9 @@ def mix(docs: DataFrame) -> DataFrame:
     to each other and count one by one; where all is equal it doesn't matter which comes first. Without any words every
     target is 0. Other columns are ignored.
     """
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    shares = targets(sized)
-    slots = schedule(shares)
+    sized = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    shares = cut(targets(sized))
+    slots, block = schedule(shares), block_size(shares)
     hashed = sized.withColumn("h", F.xxhash64("doc_id")).withColumn("range", F.pmod("h", F.lit(RANGES)))
     per_range = hashed.groupBy("source", "range").agg(F.sum("size").alias("n"))
     ahead = per_range.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
@@ -94,9 +104,7 @@ def mix(docs: DataFrame) -> DataFrame:
     placed = placed.join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).withColumn("begin", F.col("inside") + F.col("ahead"))
     of = shares.select(F.col("source").alias("s"), "source_size", "target")
     rows = placed.drop("s", "r").join(of, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    size = slots.agg(F.max("block_size").alias("block_size"))
-    cut = rows.where("size > 0").crossJoin(F.broadcast(size))  # one row
-    parts = cut.select("doc_id", "source", "range", "nth", "size", "begin", "block_size", F.explode(F.expr("sequence(begin div block_size, (begin + size - 1) div block_size)")).alias("block"))
+    parts = rows.where("size > 0").withColumn("block_size", F.lit(block)).select("doc_id", "source", "range", "nth", "size", "begin", "block_size", F.explode(F.expr("sequence(begin div block_size, (begin + size - 1) div block_size)")).alias("block"))
     words = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * F.col("block_size")) - F.greatest(F.col("begin"), F.col("block") * F.col("block_size"))
     lengths = shares.select(F.col("source").alias("s"), "source_size")
     turns = slots.join(lengths, F.col("source").eqNullSafe(F.col("s"))).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_size"))).where(F.col("rank") < MOST * F.col("blocks"))
