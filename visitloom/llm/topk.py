@@ -17,7 +17,7 @@ BLOCK, CHUNK = 1 << 15, 64
 #: Shares of the largest impact down to which each step goes on; below the last, what may still belong is scored exactly.
 STEPS = (0.5, 0.3, 0.18, 0.1, 0.05, 0.0)
 #: When at most this share of a block may still belong to the answer, it is scored exactly.
-FEW = 0.02
+FEW = 0.2
 
 
 def quantised(vector: Column) -> Column:
