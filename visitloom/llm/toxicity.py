@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -11,14 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.llm import charlm
-from visitloom.llm.common import CHUNK, columns, is_held_out, stored
+from visitloom.llm.common import CHUNK, columns, is_held_out, slices, stored
 
 #: A letter is predicted from at most ORDER - 1 characters before it in its word, and the models back off to LOW - 1.
 ORDER, LOW = 8, 4
 #: What is taken off a count of 1, of 2, and of 3 or more: in either class, and in both together.
 OFF, OFF_BOTH = (0.95, 1.8, 2.5), (0.8, 1.2, 1.5)
-#: An n-gram's log-ratio stands in a table at 24 bits of its hash, in steps of 1 / STEPS, so the table has a fixed bound.
-TABLE_BITS, STEPS = 24, 18
+#: Up to so many n-grams and contexts are sent to all tasks (12 bytes each); the log-ratios of more are joined.
+SHARED = 1 << 23
+#: Documents that meet the joined log-ratios come in packs of about so many characters.
+PACK = 4 * CHUNK
+#: What tells the key of a context from that of an n-gram of the same letters.
+OF_CONTEXT = np.uint64(0xA0761D6478BD642F)
 #: Letters of a window.
 WINDOW = 6
 #: At most so many labelled rows of each label, lowest hash of the id first, fit the calibration of three weights.
@@ -30,17 +35,21 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def _grams(texts: list[str], both: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """64-bit hashes of the n-gram that ends at each letter of all texts on end; how many letters each text has.
+def _places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts on end; where the n-gram of each letter begins and ends; how many letters each text has.
 
-    An n-gram doesn't reach over the beginning of its word. both: also the hash of its context, and the same two for the
-    lower order.
+    An n-gram doesn't reach over the beginning of its word.
     """
     symbols = _letters()[np.frombuffer("\n".join(["", *texts]).encode("utf-32-le"), np.uint32)]
-    n = len(symbols)
-    at = np.arange(n)
     letters = np.flatnonzero(symbols > 1)
-    before = np.maximum.accumulate(np.where(symbols > 1, 0, at))[letters]
+    before = np.maximum.accumulate(np.where(symbols > 1, 0, np.arange(len(symbols))))[letters]
+    last = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return symbols, np.maximum(before, letters - (ORDER - 1)), letters + 1, np.diff(np.concatenate([[0], np.searchsorted(letters, last, side="right")]))
+
+
+def _hasher(symbols: np.ndarray):
+    """A function from where runs of symbols begin and end to their 64-bit hashes."""
+    n = len(symbols)
     powers, inverse = _powers(n + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * powers[:n], dtype=np.uint64)])
 
@@ -50,13 +59,7 @@ def _grams(texts: list[str], both: bool) -> tuple[list[np.ndarray], np.ndarray]:
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         return mixed ^ (mixed >> np.uint64(29))
 
-    high = np.maximum(before, letters - (ORDER - 1))
-    hashes = [between(high, letters + 1)]
-    if both:
-        low = np.maximum(before, letters - (LOW - 1))
-        hashes += [between(high, letters), between(low, letters + 1), between(low, letters)]
-    last = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return hashes, np.diff(np.concatenate([[0], np.searchsorted(letters, last, side="right")]))
+    return between
 
 
 @cache
@@ -82,101 +85,227 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of batches with text and cls: n-grams, their parts and their counts in either class, summed within the task."""
+    """Of batches with text and cls: n-grams and their counts in either class, summed within the task.
+
+    An n-gram is its letters, after a blank where its word begins.
+    """
     held: list[tuple[np.ndarray, ...]] = []
 
     def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        keys, ctx, low, low_ctx, toxic, ordinary = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keys, words, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         kept, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        return kept, ctx[first], low[first], low_ctx[first], *(np.bincount(where, x, len(kept)).astype(np.int64) for x in (toxic, ordinary))
+        return kept, words[first], *(np.bincount(where, x, len(kept)).astype(np.int64) for x in counts)
 
     for batch in batches:
         texts, classes = columns(batch, "text", "cls")
         for a, b, some in charlm.pieces(texts):
-            hashes, sizes = _grams(some, True)
-            toxic = np.repeat(np.array(classes[a:b], np.int64), sizes)
-            held.append(merged([(*hashes, toxic, 1 - toxic)]))
+            symbols, begin, end, sizes = _places(some)
+            keys, first, where = np.unique(_hasher(symbols)(begin, end), return_index=True, return_inverse=True)
+            whole = np.where(symbols > 1, symbols, 32).astype(np.uint32).tobytes().decode("utf-32-le")
+            words = np.empty(len(keys), object)
+            words[:] = [whole[i:j] for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+            kind = np.repeat(np.array(classes[a:b], np.int64), sizes)
+            held.append((keys, words, *(np.bincount(where[kind == k], minlength=len(keys)).astype(np.int64) for k in (1, 0))))
         if sum(len(x[0]) for x in held) > 2 * CHUNK:
             held = [merged(held)]
     if held:
-        whole = merged(held)
-        for i in range(0, len(whole[0]), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65536].view(np.int64)) for x in whole], ["gram", "ctx", "low", "low_ctx", "toxic", "ordinary"])
+        _, words, *counts = merged(held)
+        for i in range(0, len(words), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 65536], pa.string()), *(pa.array(x[i : i + 65536]) for x in counts)], ["gram", "toxic", "ordinary"])
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(gram, ctx, low, low_ctx, toxic, ordinary) over all rows of docs, which has text and the class as cls int."""
-    kinds = "gram long, ctx long, low long, low_ctx long, toxic long, ordinary long"
-    parts = docs.select("text", "cls").mapInArrow(_count, kinds)
-    return parts.groupBy("gram").agg(*[F.min(c).alias(c) for c in ("ctx", "low", "low_ctx")], F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    """(gram, toxic, ordinary) over all rows of docs, which has text and the class as cls int."""
+    parts = docs.select("text", "cls").mapInArrow(_count, "gram string, toxic long, ordinary long")
+    return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
-    """(slot, ratio) of each n-gram: the log-ratio of a letter's probabilities after its context in toxic and ordinary text.
+    """(gram, of_context, ratio) of each n-gram of counts (gram, toxic, ordinary) and, where of_context, each context:
+    the log-ratio of a letter's probabilities after its context in toxic and ordinary text.
 
     Either class keeps its discounted counts and leaves the rest to the counts of both together, and these leave theirs
-    to the lower order: how many different n-grams end in it.
+    to the lower order: how many different n-grams end in it. A letter that didn't follow a context has only what the
+    classes leave there, in which the rest is the same: a context's ratio is that of the two backoff weights. After an
+    unseen context the classes are the same.
     """
 
     def off(n: Column, by: tuple[float, ...]) -> Column:
         return F.when(n == 0, 0.0).when(n == 1, by[0]).when(n == 2, by[1]).otherwise(by[2])
 
+    def all_off(n: Column, by: tuple[float, ...]) -> Column:
+        return F.count_if(n == 1) * by[0] + F.count_if(n == 2) * by[1] + F.count_if(n > 2) * by[2]
+
+    ctx = F.expr("left(gram, length(gram) - 1)")
+    counts = counts.select("gram", ctx.alias("ctx"), F.expr(f"right(gram, {LOW})").alias("low"), "toxic", "ordinary")
     toxic, ordinary, both = F.col("toxic"), F.col("ordinary"), F.col("toxic") + F.col("ordinary")
-    lows = counts.groupBy("low").agg(F.min("low_ctx").alias("low_ctx"), F.count("*").alias("kinds"))
+    lows = counts.groupBy("low").agg(F.count("*").alias("kinds")).withColumn("low_ctx", F.expr("left(low, length(low) - 1)"))
     tails = lows.groupBy("low_ctx").agg(F.sum("kinds").alias("all_kinds"), F.count("*").alias("different"))
     low_p = (F.col("kinds") - 0.5 + 0.5 * F.col("different") / 40) / F.col("all_kinds")
     lows = lows.join(tails, "low_ctx").select("low", low_p.alias("low_p"))
     sums = {"t": (toxic, OFF), "o": (ordinary, OFF), "b": (both, OFF_BOTH)}
-    tops = counts.groupBy("ctx").agg(*[F.sum(n).alias(f"{k}_all") for k, (n, _) in sums.items()], *[F.sum(off(n, by)).alias(f"{k}_off") for k, (n, by) in sums.items()])
+    tops = stored(counts.groupBy("ctx").agg(*[F.sum(n).alias(f"{k}_all") for k, (n, _) in sums.items()], *[all_off(n, by).alias(f"{k}_off") for k, (n, by) in sums.items()]))
 
     def p(k: str, base: Column) -> Column:
         (n, by), total = sums[k], F.col(f"{k}_all")
         return F.when(total == 0, base).otherwise((n - off(n, by) + F.col(f"{k}_off") * base) / total)
 
+    def left(k: str) -> Column:
+        return F.when(F.col(f"{k}_all") == 0, 1.0).otherwise(F.col(f"{k}_off") / F.col(f"{k}_all"))
+
     whole = counts.join(lows, "low").join(tops, "ctx").withColumn("both_p", p("b", F.col("low_p")))
     ratio = F.log(F.greatest(p("t", F.col("both_p")), F.lit(1e-6)) / F.greatest(p("o", F.col("both_p")), F.lit(1e-6)))
-    return whole.select(F.shiftrightunsigned("gram", 64 - TABLE_BITS).cast("int").alias("slot"), ratio.alias("ratio")).groupBy("slot").agg(F.avg("ratio").alias("ratio"))
+    seen = whole.select("gram", F.lit(False).alias("of_context"), ratio.cast("float").alias("ratio"))
+    return seen.unionByName(tops.select(F.col("ctx").alias("gram"), F.lit(True).alias("of_context"), F.log(left("t") / left("o")).cast("float").alias("ratio")))
 
 
-def ratio_table(ratios: DataFrame) -> np.ndarray:
-    """The table that tasks look up; an n-gram that isn't in it is no evidence."""
-    step = F.greatest(F.lit(-127), F.least(F.lit(127), F.round(F.col("ratio") * STEPS))).cast("tinyint")
-    known = ratios.select("slot", step.alias("step")).where("step <> 0").toArrow()
-    out = np.zeros(1 << TABLE_BITS, np.int8)
-    out[known.column("slot").to_numpy()] = known.column("step").to_numpy()
-    return out
+def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        symbols = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        symbols[symbols == 32] = 1
+        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        keys = _hasher(symbols)(np.concatenate([[0], end[:-1]]).astype(np.int64), end) if words else np.zeros(0, np.uint64)
+        keys ^= np.where(np.array(batch.column(1).to_pylist(), bool), OF_CONTEXT, np.uint64(0))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(2)], ["key", "ratio"])
+
+
+def keyed(ratios: DataFrame) -> DataFrame:
+    """(key, ratio): the n-grams and contexts of log_ratios by the hashes that a text is looked up with."""
+    return ratios.select("gram", "of_context", "ratio").mapInArrow(_keys, "key long, ratio float")
+
+
+class Ratios:
+    """Log-ratios by key, each key at or after the place that its first bits name, without gaps between."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        order = np.argsort(keys)
+        keys = keys[order]
+        self.bits = max(4, len(keys).bit_length() + 1)
+        i = np.arange(len(keys))
+        at = i + np.maximum.accumulate(self._home(keys) - i) if len(keys) else i
+        size = max(1 << self.bits, int(at[-1]) + 1 if len(at) else 0) + 1
+        self.keys, self.ratios, self.full = np.zeros(size, np.uint64), np.zeros(size, np.float32), np.zeros(size, bool)
+        self.keys[at], self.ratios[at], self.full[at] = keys, ratios[order], True
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ratio of each key, 0 where there is none; the places of those without."""
+        at = self._home(keys)
+        hit = (self.keys[at] == keys) & self.full[at]
+        out = np.where(hit, self.ratios[at], np.float32(0))
+        left, missing = np.flatnonzero(~hit), []
+        while len(left):
+            here = self.full[at[left]]
+            missing.append(left[~here])
+            left = left[here]
+            at[left] += 1
+            hit = (self.keys[at[left]] == keys[left]) & self.full[at[left]]
+            out[left[hit]] = self.ratios[at[left[hit]]]
+            left = left[~hit]
+        return out, np.concatenate([np.zeros(0, np.int64), *missing])
+
+
+def _worst(ratio: np.ndarray) -> tuple[float, float, float]:
+    """The highest mean over a window, the highest over one that doesn't overlap it, the mean over all."""
+    n = len(ratio)
+    if not n:
+        return 0.0, 0.0, 0.0
+    total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
+    if n <= WINDOW:
+        return total[-1] / WINDOW, 0.0, total[-1] / n
+    means = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
+    k = int(np.argmax(means))
+    rest = [means[: max(0, k - WINDOW + 1)], means[k + WINDOW :]]
+    return float(means[k]), float(max((x.max() for x in rest if len(x)), default=0.0)), total[-1] / n
+
+
+def _scored(batch: pa.RecordBatch, ratios: Ratios) -> list[pa.Array]:
+    """All columns of the batch but the last, its text, and the features."""
+    rows = []
+    for _, _, some in charlm.pieces(batch.column(batch.num_columns - 1).to_pylist()):
+        symbols, begin, end, sizes = _places(some)
+        between = _hasher(symbols)
+        values, unseen = ratios.find(between(begin, end))
+        values[unseen] = ratios.find(between(begin[unseen], end[unseen] - 1) ^ OF_CONTEXT)[0]
+        rows += [_worst(values[e - n : e]) for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+    features = np.array(rows, np.float64).reshape(-1, 3)
+    return [*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(features[:, k]) for k in range(3))]
+
+
+def _with_shared(shared):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = Ratios(*shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(_scored(batch, ratios), [*batch.schema.names[:-1], *FEATURES])
 
+    return run
 
-def _features(shared_ratio):
-    def worst(ratio: np.ndarray) -> tuple[float, float, float]:
-        """The highest mean over a window, the highest over one that doesn't overlap it, the mean over all."""
-        n = len(ratio)
-        if not n:
-            return 0.0, 0.0, 0.0
-        total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
-        if n <= WINDOW:
-            return total[-1] / WINDOW, 0.0, total[-1] / n
-        means = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
-        k = int(np.argmax(means))
-        rest = [means[: max(0, k - WINDOW + 1)], means[k + WINDOW :]]
-        return float(means[k]), float(max((x.max() for x in rest if len(x)), default=0.0)), total[-1] / n
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = shared_ratio.value
-        for batch in batches:
-            (texts,) = columns(batch, "text")
-            rows = []
-            for _, _, some in charlm.pieces(texts):
-                (grams,), sizes = _grams(some, False)
-                values = ratio[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.float32) / STEPS
-                rows += [worst(values[e - n : e]) for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
-            keep = [batch.column(i) for i in range(batch.num_columns - 1)]
-            values = np.array(rows, np.float64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*keep, *(pa.array(values[:, k]) for k in range(3))], [*batch.schema.names[:-1], *FEATURES])
+def _packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pack, rows): rows with about PACK characters of text, as a compressed Arrow stream."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def closed() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for x in held:
+                out.write_batch(x)
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack", "rows"])
+
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        for a, b in slices([len(x or "") for x in texts], CHUNK):
+            held.append(batch.slice(a, b - a))
+            size += sum(len(x or "") for x in texts[a:b])
+            if size >= PACK:
+                yield closed()
+                held, size = [], 0
+    if held:
+        yield closed()
+
+
+def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pack, key): each key once that the texts of a pack are looked up with."""
+    for batch in batches:
+        for pack, rows in zip(*columns(batch, "pack", "rows"), strict=True):
+            keys = np.zeros(0, np.uint64)
+            for part in pa.ipc.open_stream(rows):
+                for _, _, some in charlm.pieces(part.column(part.num_columns - 1).to_pylist()):
+                    symbols, begin, end, _ = _places(some)
+                    between = _hasher(symbols)
+                    keys = np.unique(np.concatenate([keys, between(begin, end), between(begin, end - 1) ^ OF_CONTEXT]))
+            for i in range(0, len(keys), 65536):
+                some = keys[i : i + 65536].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([pack] * len(some), pa.string()), pa.array(some)], ["pack", "key"])
+
+
+def _with_found(names: list[str]):
+    def run(packs: pa.Table, found: pa.Table) -> pa.Table:
+        ratios = Ratios(found.column("key").to_numpy().view(np.uint64), found.column("ratio").to_numpy())
+        parts = [part for rows in packs.column("rows").to_pylist() for part in pa.ipc.open_stream(rows)]
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(_scored(x, ratios), [*names, *FEATURES]) for x in parts])
 
     return run
 
 
+def featured(rows: DataFrame, ratios: DataFrame) -> DataFrame:
+    """All columns of rows but the last, its text, and the features; ratios: (key, ratio), stored."""
+    names = rows.columns[:-1]
+    kinds = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names), *(f"{c} double" for c in FEATURES)])
+    spark = rows.sparkSession
+    if ratios.count() <= SHARED:
+        known = ratios.toArrow()
+        shared = spark.sparkContext.broadcast((known.column("key").to_numpy().view(np.uint64), known.column("ratio").to_numpy()))
+        return rows.mapInArrow(_with_shared(shared), kinds)
+    packs = stored(rows.mapInArrow(_packs, "pack string, rows binary"))
+    found = packs.mapInArrow(_wanted, "pack string, key long").join(ratios, "key").select("pack", "key", "ratio")
+    return packs.groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(_with_found(names), kinds)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of the features and the intercept, by Newton's method with a small ridge; the rarer label weighs more."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -205,17 +334,21 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> Da
     Repeated rows get a row each. Without toxic or without ordinary rows in either part, every score is 0. Other columns
     of docs and labels are ignored, but for those of carry, which the result has too (any but those named above).
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("cls"))
     mine = rows.where(fold(F.col("doc_id")).isin(1, 2, 3) & F.col("text").isNotNull())
     counts = stored(counted(mine.join(marks, "doc_id").select("text", "cls")))
     known = all(counts.agg(F.sum("toxic"), F.sum("ordinary")).first())
-    shared = spark.sparkContext.broadcast(ratio_table(log_ratios(counts)) if known else np.zeros(1 << TABLE_BITS, np.int8))
-    kinds = "worst double, second double, mean_ratio double"
-    seen = stored(rows.where(fold(F.col("doc_id")) == 4).mapInArrow(_features(shared), f"doc_id long, {kinds}")).join(marks, "doc_id")
-    fits = [seen.where(F.col("cls") == k).orderBy(F.xxhash64("doc_id"), *FEATURES).limit(CALIBRATION_ROWS).select("cls", *FEATURES).toPandas() for k in (0, 1)]
-    if known and all(len(x) for x in fits):
+    # Without texts of both classes nothing is evidence.
+    ratios = stored(keyed(log_ratios(counts if known else counts.limit(0))))
+    fits: list = []
+    if known:
+        ids = rows.where(fold(F.col("doc_id")) == 4).select("doc_id").join(marks, "doc_id")
+        few = [ids.where(F.col("cls") == k).orderBy(F.xxhash64("doc_id")).limit(CALIBRATION_ROWS).distinct() for k in (0, 1)]
+        chosen = rows.where(fold(F.col("doc_id")) == 4).join(few[0].unionByName(few[1]), "doc_id").select("doc_id", "cls", "text")
+        seen = stored(featured(chosen, ratios))
+        fits = [seen.where(F.col("cls") == k).orderBy(F.xxhash64("doc_id"), *FEATURES).limit(CALIBRATION_ROWS).select("cls", *FEATURES).toPandas() for k in (0, 1)]
+    if fits and all(len(x) for x in fits):
         x = np.concatenate([f[list(FEATURES)].to_numpy(np.float64) for f in fits])
         beta = _logistic(x, np.concatenate([f["cls"].to_numpy() for f in fits]))
         z = sum((F.col(c) * float(b) for c, b in zip(FEATURES, beta, strict=False)), F.lit(float(beta[-1])))
@@ -224,6 +357,5 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> Da
         likely = F.lit(0.0)
     more = [c for c in carry if c != "doc_id"]
     kept = docs.select("doc_id", *[F.col(c).alias(f"carry_{c}") for c in more], "text")
-    names = "".join(f"carry_{c} {docs.schema[c].dataType.simpleString()}, " for c in more)
-    out = kept.mapInArrow(_features(shared), f"doc_id long, {names}{kinds}").withColumn("score", likely)
+    out = featured(kept, ratios).withColumn("score", likely)
     return out.select("doc_id", *[F.col(f"carry_{c}").alias(c) for c in more], is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
