@@ -15,6 +15,8 @@ from visitloom.llm.common import columns
 
 #: Bytes of a window; a window is picked if it is the rarest of those that begin up to REACH bytes before or after it.
 WIDTH, REACH = 64, 32
+#: The same two in texts of under SHORT bytes, which have these windows as well.
+FINE_WIDTH, FINE_REACH, SHORT = 8, 4, 1024
 #: Bits of a Bloom filter, features until the next of the chain begins, bits that a feature sets.
 BITS, FULL, HASHES = 2048, 160, 5
 MULTIPLIERS = (np.arange(1, 17, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -57,27 +59,34 @@ class Digest:
 
 
 def _features(data: bytes, bits_of: np.ndarray) -> np.ndarray:
-    """Different features in order of place: hashes of the picked windows; of shorter data, of all of it."""
+    """Different features: of short data the fine windows, then the wide ones; of data without a window, all of it."""
+    n = len(data)
+    if n <= FINE_WIDTH:
+        return np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), np.uint64) if n else np.zeros(0, np.uint64)
+    parts = [_windows(data, bits_of, FINE_WIDTH, FINE_REACH)] if n < SHORT else []
+    if n > WIDTH:
+        parts.append(_windows(data, bits_of, WIDTH, REACH))
+    return np.concatenate(parts)
+
+
+def _windows(data: bytes, bits_of: np.ndarray, width: int, wide: int) -> np.ndarray:
+    """Different hashes in order of place of the windows of width bytes that are the rarest up to wide bytes around."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64)
-    if n <= WIDTH:
-        return np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), np.uint64)
     raw = np.frombuffer(data, np.uint8)
     total = np.concatenate([[0], np.cumsum(bits_of[raw[:-1].astype(np.int32) << 8 | raw[1:]], dtype=np.int32)])
-    rarity = total[WIDTH - 1 :] - total[: n - WIDTH + 1]  # of the bytes in a window after its first
-    best, reach = np.concatenate([np.full(REACH, -1, np.int32), rarity, np.full(REACH, -1, np.int32)]), 1
-    while reach < REACH:
+    rarity = total[width - 1 :] - total[: n - width + 1]  # of the bytes in a window after its first
+    best, reach = np.concatenate([np.full(wide, -1, np.int32), rarity, np.full(wide, -1, np.int32)]), 1
+    while reach < wide:
         best = np.maximum(best[:-reach], best[reach:])
         reach *= 2
-    # best[i] is the largest of REACH rarities from i - REACH on.
+    # best[i] is the largest of wide rarities from i - wide on.
     m = len(rarity)
-    at = np.flatnonzero((rarity > best[:m]) & (rarity >= best[REACH : REACH + m]) & (rarity >= best[REACH + 1 : REACH + 1 + m]))
+    at = np.flatnonzero((rarity > best[:m]) & (rarity >= best[wide : wide + m]) & (rarity >= best[wide + 1 : wide + 1 + m]))
     if not len(at):
         at = np.array([int(np.argmax(rarity))])
-    words = np.lib.stride_tricks.sliding_window_view(raw, WIDTH)[at].copy().view(np.uint64)
+    words = np.lib.stride_tricks.sliding_window_view(raw, width)[at].copy().view(np.uint64)
     words ^= words >> np.uint64(29)
-    mixed = (words * MULTIPLIERS).sum(axis=1, dtype=np.uint64)
+    mixed = (words * MULTIPLIERS[: width // 8]).sum(axis=1, dtype=np.uint64)
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(29)
@@ -140,7 +149,8 @@ def compare_next(docs: DataFrame) -> DataFrame:
     after it as a guest. A digest takes the windows of WIDTH bytes that are rarer than all around them, by the surprise of
     their bytes over all texts, and sets HASHES bits for each in a chain of Bloom filters.
 
-    Null and empty texts: empty digests; like each other 1, like others 0. Texts of up to WIDTH bytes are one feature.
+    Null and empty texts: empty digests; like each other 1, like others 0. Texts of under SHORT bytes also have windows of
+    FINE_WIDTH bytes; those of up to FINE_WIDTH bytes are one feature.
     Repeated rows follow each other. A single document is its own next one. No rows: none. Other columns are ignored.
     """
     spark = docs.sparkSession
