@@ -211,6 +211,28 @@ def test_top_k_like_brute_force(spark):
     assert topk.search(table.limit(0), table.limit(0), 5).count() == 0
 
 
+def test_top_k_of_large_components_and_clashing_columns(spark):
+    rows = [(0, [2.0**40, 1.0], 7, 1), (1, [3.0, 2.0**30], 7, 1), (2, [-(2.0**20), 5.0], 7, 1), (3, [0.25, 0.5, 4.0], 7, 1), (50, [2.0**12, 3.0], 7, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score long, rank int")
+    q = {i: [int(256 * x) for x in v] for i, v, _, _ in rows}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(table, table.where("vec_id in (2, 50)"), 3).collect()}
+    for i in (2, 50):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=False)), j) for j in q if j != i)[:3]
+        assert [got[i, k + 1] for k in range(3)] == [(j, -s) for s, j in best]
+    huge = spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit 64 bits"):
+        topk.search(huge, huge, 1).collect()
+
+
+def test_top_k_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, rng.normal(0, 0.2, 8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, topk.search(table, table.where("vec_id % 10 = 0"), 4).collect()))
+    monkeypatch.setattr(topk, "ROUND", 64)
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    assert sorted(map(tuple, topk.search(table, table.where("vec_id % 10 = 0"), 4).collect())) == want
+
+
 def test_fingerprints(spark, odd):
     rng = np.random.default_rng(9)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
