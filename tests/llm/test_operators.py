@@ -211,6 +211,53 @@ def test_mixing(spark, odd, docs):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def plain_schedule(targets, n):
+    """Of each slot its source and rank, and how many slots each source has, by walking all slots."""
+    order = sorted((s for s in targets if targets[s] > 0), key=lambda s: (s is None, s or ""))
+    upto = np.cumsum([targets[s] for s in order]) / sum(targets.values())
+    count, out = dict.fromkeys(order, 0), []
+    for i in range(n):
+        s = order[min(int(np.searchsorted(upto, (i * mixing.GOLDEN) % 1.0, side="right")), len(order) - 1)]
+        out.append((s, count[s]))
+        count[s] += 1
+    for s in order:
+        if not count[s]:
+            out.append((s, 0))
+            count[s] = 1
+    return out, count
+
+
+@pytest.mark.parametrize("slots", [1 << 20, 40])
+def test_mix_like_plain(spark, monkeypatch, slots):
+    """The words of each document that a walk over all slots takes, also where a slot has many words."""
+    monkeypatch.setattr(mixing, "SLOTS", slots)
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), None if i % 11 == 0 else "abc"[i % 3], "x", 1) for i in range(200)]
+    rows += [(300, " ".join(["w"] * 40), "tiny", "x", 1), (301, "one two", "tinier", "x", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string, rank int")
+    got = mixing.mix(table).collect()
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    targets = {r.source: r.target for r in got}
+    schedule, count = plain_schedule(targets, mixing.n_slots(spark.createDataFrame([(t,) for t in targets.values()], "target double")))
+    order = {s: sorted((r.row_hash % mixing.RANGES, r.row_hash, r.doc_id) for r in got if r.source == s) for s in targets}
+    words = {s: [d for *_, d in order[s] for _ in range(size[d])] * 2 for s in targets}
+    taken = dict.fromkeys(size, 0)
+    for s, k in schedule:
+        t = int(targets[s] + 0.5)
+        for d in words[s][k * t // count[s] : (k + 1) * t // count[s]]:
+            taken[d] += 1
+    assert {r.doc_id: r.taken for r in got} == taken
+    for s in targets:
+        assert abs(sum(r.taken for r in got if r.source == s) - targets[s]) <= 1
+
+
+def test_a_small_source_gets_its_target_beside_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    rows = [(i, " ".join(["w"] * 1000), "ab"[i % 2]) for i in range(200)] + [(900, " ".join(["w"] * 1100), "c"), (901, " ".join(["w"] * 40), "d")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: (r.target, r.taken) for r in got if r.doc_id >= 900} == {900: (2200.0, 2200), 901: (80.0, 80)}
+
+
 def test_top_k_like_brute_force(spark):
     rng = np.random.default_rng(5)
     v = np.round(rng.normal(0, 0.2, (700, 16)), 3).astype(np.float32)
