@@ -84,6 +84,29 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert near_duplicates.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_ids_carry_links_on(spark):
+    """A and C each differ from the row in the middle in a few words, and from each other in more."""
+    words = [f"w{k}" for k in range(120)]
+    a, b, c = list(words), list(words), list(words)
+    a[0:3], c[117:120] = ["x1", "x2", "x3"], ["y1", "y2", "y3"]
+    a[3:11] = c[109:117] = [f"z{k}" for k in range(8)]
+    texts = [" ".join(x) for x in (a, b, c)]
+    for ids in ((1, None, 3), (1, 2, 3), (None, None, 3)):
+        rows = [(i, t, f"k{n}") for n, (i, t) in enumerate(zip(ids, texts, strict=True))] + [(9, "   ", "blank")]
+        got = {r.key3: (r.component_id, r.group_id) for r in near_duplicates.near_duplicates(frame(spark, rows, "doc_id long, text string, key3 string"), width=4, carry=("key3",)).collect()}
+        want = min(x for x in ids if x)
+        assert [got[f"k{n}"][0] for n in range(3)] == [want] * 3 and len({got[f"k{n}"][1] for n in range(3)}) == 1
+        assert got["blank"] == (9, None)
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = np.random.default_rng(4)
+    long = [f"w{k}" for k in rng.integers(0, 10**9, 150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:100], "other", *long[100:]])), (3, " ".join(long[:50_000]))]
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(frame(spark, rows, "doc_id long, text string"), width=4).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 99), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -25,6 +25,8 @@ MARGIN = 0.105
 FEW, SHRINK = 4, 0.9
 #: About so many nodes, and shingles, make a part of a bucket; parts meet pair by pair, so many shingles at a time.
 SQUARE, FULL, WIDE = 2048, 1 << 20, 1 << 13
+#: A bucket's rows are dealt in parts of about so many when it meets a row of its own.
+SPLIT = 512
 #: Parts of a set's links that are confirmed in one task, by a hash of the other set.
 SALTS = 32
 PER_CENT = 80
@@ -90,9 +92,11 @@ def minima(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
 
 
 def _sketcher(width: int):
+    """Of batches with text as the last column: the other columns, the size and key of its set, its band hashes."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, texts = columns(batch, "doc_id", "text")
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             for i, j in slices([len(x or "") for x in texts], CHUNK):
                 sets = shingle_sets(texts[i:j], width)
                 n = [len(s) for s in sets]
@@ -106,19 +110,25 @@ def _sketcher(width: int):
                 lists: list[list | None] = [None] * len(sets)
                 for at, b in zip([k for k, x in enumerate(n) if x], bands.view(np.int64).tolist(), strict=True):
                     lists[at] = b
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i:j], pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bands"])
+                own = batch.slice(i, j - i)
+                kept = [own.column(k) for k in range(own.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), *(pa.array([x and x[k] for x in keys], pa.int64()) for k in (0, 1)), pa.array(lists, pa.list_(pa.int64()))], [*own.schema.names[:-1], "n_shingles", "key", "key2", "bands"])
 
     return run
 
 
-def _key(shingles: np.ndarray) -> int | None:
-    """A hash of a whole set."""
+def _key(shingles: np.ndarray) -> tuple[int, int] | None:
+    """128 bits of a hash of a whole set."""
     if not len(shingles):
         return None
-    h = shingles * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return int((h.sum(dtype=np.uint64, keepdims=True) * np.uint64(2) + np.bitwise_xor.reduce(h, keepdims=True)).view(np.int64)[0])
+    out = []
+    for factor in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
+        h = shingles * np.uint64(factor)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(factor)
+        h ^= h >> np.uint64(29)
+        out.append(int((h.sum(dtype=np.uint64, keepdims=True) * np.uint64(2) + np.bitwise_xor.reduce(h, keepdims=True)).view(np.int64)[0]))
+    return out[0], out[1]
 
 
 def pack(m: np.ndarray) -> np.ndarray:
@@ -130,7 +140,8 @@ def pack(m: np.ndarray) -> np.ndarray:
 def _sets(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, texts = columns(batch, "node", "key", "text")
+            nodes, one, two, texts = columns(batch, "node", "key", "key2", "text")
+            keys = list(zip(one, two, strict=True))
             for i, j in slices([len(x or "") for x in texts], CHUNK):
                 got = [(node, s) for node, key, s in zip(nodes[i:j], keys[i:j], shingle_sets(texts[i:j], width), strict=True) if _key(s) == key]
                 signs = pack(minima([s for _, s in got], CLOSER)).view(np.int64).tolist()
@@ -212,6 +223,19 @@ def _meetings(per_cent: int):
     return run
 
 
+def _keyed(width: int):
+    """Of batches with text: the key of its set, and the text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (texts,) = columns(batch, "text")
+            for i, j in slices([len(x or "") for x in texts], CHUNK):
+                keys = [_key(s) for s in shingle_sets(texts[i:j], width)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x and x[k] for x in keys], pa.int64()) for k in (0, 1)), pa.array(texts[i:j], pa.string())], ["key", "key2", "text"])
+
+    return run
+
+
 def estimate(a: str, b: str) -> Column:
     """The similarity that two packed signatures tell, without the share of low bits that agree by chance."""
     half = F.lit(0x5555555555555555)
@@ -221,34 +245,44 @@ def estimate(a: str, b: str) -> Column:
     return ((1 - wrong / CLOSER) - chance) / (1 - chance)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, group_id.
 
     A document's set are its distinct runs of width words (A-Z in small letters, cut at ASCII white space); with fewer
     words, all of them as one. Documents link if 100 * common >= per_cent * together. component_id: the smallest doc_id
-    reachable over links; kept: whether that is its own.
-
-    Equal sets become one node. Nodes that share a band of their MinHash minima are candidates. In each bucket all nodes
-    are compared with one, over full sets, if their b-bit signatures don't rule it out; where the links' components leave
-    a bucket with several, its nodes are compared with another one, and so on; what is left of a bucket is cut into parts
-    that meet two by two (over 32-bit hashes; links are confirmed once more on full sets), and only links that join
-    components leave a meeting. So a bucket of copies gives about a link
-    for each, not one for each pair, and no link between components is missed.
-
-    Null, empty and blank texts: no shingles, linked with nothing, kept. A row with a null doc_id links only with equal
-    sets; its component_id is the others' smallest id, or null, and it isn't kept. Repeated rows share their id and
-    component and are all kept, or none. No rows: none. Other columns are ignored.
+    reachable over links; kept: whether that is its own. group_id: any number of its component, null without words.
+
+    Sets with equal 128-bit keys become one node, numbered. Nodes that share a band of their MinHash minima are
+    candidates. In each bucket all nodes are compared with one, over full sets, if their b-bit signatures don't rule it
+    out; where the links' components leave a bucket with several, its nodes are compared with another one, and so on;
+    what is left of a bucket is cut into parts that meet two by two (over 32-bit hashes; links are confirmed once more on
+    full sets), and only links that join components leave a meeting. So a bucket of copies gives about a link for each,
+    not one for each pair, and no link between components is missed. Rows of a large bucket are dealt in parts.
+
+    Null, empty and blank texts: no shingles, linked with nothing, kept. A row with a null doc_id links as any other and
+    carries links on; its component_id is the others' smallest id, or null, and it isn't kept. Repeated rows share their
+    id and component and are all kept, or none. No rows: none. Other columns are ignored, but for those of carry, which
+    the result has too (any but those named above, key, key2, bands and text).
     """
-    sketch = stored(docs.select("doc_id", "text").mapInArrow(_sketcher(width), "doc_id long, n_shingles long, key long, bands array<long>"))
-    nodes = sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = nodes.select(F.coalesce("doc", "key").alias("node"), "doc", "key", "n", "bands")
+    kept = docs.select("doc_id", *carry, "text")
+    kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in kept.columns[:-1])
+    sketch = stored(kept.mapInArrow(_sketcher(width), f"{kinds}, n_shingles long, key long, key2 long, bands array<long>"))
+    nodes = sketch.where("key is not null").groupBy("key", "key2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
     buckets = nodes.select("node", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
-    members = stored(buckets.join(shared, "band").select("band", "node", "head"))
-    light = nodes.select("node", "doc", "key", "n")
-    asked = members.select("node").distinct()
-    known = light.join(asked, "node", "left_semi")
-    sets = stored(docs.select("doc_id", "text").join(known.select(F.col("doc").alias("doc_id"), "node", "key"), "doc_id").select("node", "key", "text").mapInArrow(_sets(width), "node long, shingles array<long>, brief array<int>, signature array<long>").dropDuplicates(["node"]))
+    shared = stored(buckets.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"))
+    parts = F.ceil(F.col("size") / SPLIT).cast("int")
+    members = stored(buckets.join(shared, "band").select("band", "node", "head", parts.alias("salts")).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")))
+
+    def salted(of_band: DataFrame) -> DataFrame:
+        """A row of a bucket (band, salts), once for each of its parts."""
+        return of_band.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+    asked = nodes.select("node", "doc", "key", "key2").join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.select("doc_id", "text")
+    named = texts.join(asked.select(F.col("doc").alias("doc_id"), "node", "key", "key2"), "doc_id").select("node", "key", "key2", "text")
+    unnamed = texts.where("doc_id is null").select("text").mapInArrow(_keyed(width), "key long, key2 long, text string").join(asked.where("doc is null").select("key", "key2", "node"), ["key", "key2"]).select("node", "key", "key2", "text")
+    sets = stored(named.unionByName(unnamed).mapInArrow(_sets(width), "node long, shingles array<long>, brief array<int>, signature array<long>").dropDuplicates(["node"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that link; a may stand in many."""
@@ -267,30 +301,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT) -
     while True:
         # Buckets in which several components meet; a component's nodes needn't meet each other again.
         placed = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-        meet = cut(placed.join(mixed, "band"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("salts").alias("salts")).where("low < high").select("band", "salts")
+        meet = cut(placed.join(salted(mixed), ["band", "salt"]))
         each = meet.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
         rows, pairs = each.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2), F.lit(0))).first()
         if pairs <= FEW * rows or pairs > SHRINK * before:
             break
         turn, before = turn + 1, pairs
         first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")
-        heads = meet.groupBy("band").agg(F.min(first).alias("f")).select("band", F.col("f.node").alias("a"), F.col("f.component").alias("ca"))
-        again = meet.join(heads, "band").where(F.col("component") != F.col("ca")).select("a", F.col("node").alias("b")).distinct()
+        heads = meet.groupBy("band").agg(F.min(first).alias("f"), F.max("salts").alias("salts")).select("band", "salts", F.col("f.node").alias("a"), F.col("f.component").alias("ca"))
+        again = meet.join(salted(heads), ["band", "salt"]).where(F.col("component") != F.col("ca")).select("a", F.col("node").alias("b")).distinct()
         more = confirmed(again.join(sides[0], "a").join(sides[1], "b").where(likely))
         links = cut(links.union(more))
     weighed = meet.join(sets.select("node", "signature", "brief"), "node")
-    sized = meet.join(sets.select("node", F.size("brief").alias("n")), "node").groupBy("band").agg(F.greatest(F.ceil(F.count("*") / SQUARE), F.ceil(F.sum("n") / FULL)).cast("int").alias("parts"))
-    dealt = weighed.join(sized, "band").withColumn("part", F.pmod(F.hash("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sized = meet.join(sets.select("node", F.size("brief").alias("n")), "node").groupBy("band").agg(F.greatest(F.ceil(F.count("*") / SQUARE), F.ceil(F.sum("n") / FULL)).cast("int").alias("parts"), F.max("salts").alias("salts"))
+    dealt = weighed.join(salted(sized), ["band", "salt"]).withColumn("part", F.pmod(F.hash("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     row = F.struct((F.col("part") > F.col("other")).cast("int").alias("side"), "node", "component", "signature", "brief")
     cells = dealt.groupBy("band", F.least("part", "other"), F.greatest("part", "other")).agg(F.collect_list(row).alias("rows")).select("rows")
     found = cut(cells.mapInArrow(_meetings(per_cent), "a long, b long").distinct())
     more = confirmed(found)
     final = components(links.union(more))
-    # Nodes are ids of documents, or keys where no document of theirs has one: ids first.
-    of_node = nodes.select("key", "node", "doc").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_node = nodes.select("key", "key2", "node", "doc").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = of_node.groupBy("component").agg(F.min("doc").alias("component_id"))
-    of_key = of_node.join(ids, "component").select("key", "component_id")
-    empty = sketch.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    every = sketch.where("key is not null").join(of_key, "key").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    of_key = of_node.join(ids, "component").select("key", "key2", "component_id", F.col("component").alias("group_id"))
+    own = ["doc_id", *carry, "n_shingles", "component_id", "group_id"]
+    empty = sketch.where("key is null").withColumn("component_id", F.col("doc_id")).withColumn("group_id", F.lit(None).cast("long")).select(*own)
+    every = sketch.where("key is not null").join(of_key, ["key", "key2"]).select(*own).unionByName(empty)
     return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -19,7 +19,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(spark.read.parquet(table(sf_dir, "documents")), width=4)
+    return near_duplicates.near_duplicates(spark.read.parquet(table(sf_dir, "documents")), width=4).drop("group_id")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
