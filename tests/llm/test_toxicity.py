@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from visitloom.llm import lookups
 from visitloom.llm import toxicity as t
 
 
@@ -59,7 +60,7 @@ ASKED = ["vilq", "scumq verx viq", "you villains", "zzz", "", None, "Vile VERMIN
 @pytest.mark.parametrize("shared", [1 << 23, 0])
 def test_features_like_plain(spark, monkeypatch, shared):
     monkeypatch.setattr(t, "SHARED", shared)
-    monkeypatch.setattr(t, "PACK", 8)
+    monkeypatch.setattr(lookups, "PACK", 8)
     counts = t.counted(spark.createDataFrame(LEARNED, "text string, cls int"))
     ratios = t.stored(t.keyed(t.log_ratios(counts)))
     rows = spark.createDataFrame(list(enumerate(ASKED)), "doc_id long, text string").repartition(2)

@@ -1,9 +1,8 @@
 """Interpolated Kneser-Ney models over characters, for several classes at once.
 
-A character becomes a symbol of a few bits: 0 for whatever isn't a letter, its own symbol for a to z, and one by hash
-for any other letter. An n-gram is then a number below 2 ** (bits * order), so the number of rows of a model is bounded
-whatever the corpus: Spark counts the highest order over all documents, and only these counts, at most that many for
-each class, reach the driver. The lower orders follow from distinct n-grams, as Kneser-Ney has it.
+A character becomes a symbol of 16 bits: 0 for whatever isn't a letter, the small form's code point for a letter (those
+beyond 16 bits share the private range by hash), so four of them are a 64-bit number. Spark counts the highest order over
+all documents and works out every probability; the orders below follow from distinct n-grams, as Kneser-Ney has it.
 """
 
 from __future__ import annotations
@@ -13,34 +12,40 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import CHUNK, columns, slices
+from visitloom.llm.common import CHUNK, columns, cut, slices, stored
+
+#: Characters of an n-gram, bits of each.
+ORDER, BITS = 4, 16
+#: A row of a model tells the log-probability of an n-gram of so many characters, or, by CONTEXT more, the log-weight
+#: that a context of so many characters leaves to the order below; the empty one's is of a letter never seen.
+CONTEXT = 10
+MODEL = "kind int, key long, cls int, value float"
 
 
 @cache
-def alphabet(bits: int) -> np.ndarray:
+def alphabet() -> np.ndarray:
     """The symbol of each code point."""
-    out = np.zeros(0x110000, np.uint8)
-    rest = (1 << bits) - 27
+    out = np.zeros(0x110000, np.uint16)
     for cp in range(0x110000):
         low = chr(cp).lower()[:1] if cp < 0xD800 or cp > 0xDFFF else " "
         if low.isalpha():
-            out[cp] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) * 2654435761 % (1 << 32) >> 7) % rest
+            out[cp] = ord(low) if ord(low) < 0xE000 else 0xE000 + (ord(low) * 2654435761 % (1 << 32) >> 7) % 0x1900
     return out
 
 
-def ngrams(texts: list[str], order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, each text after order - 1 blanks; where each text begins; its length."""
-    pad = " " * (order - 1)
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram that ends at each character, each text after ORDER - 1 blanks; where each text begins; its length."""
+    pad = " " * (ORDER - 1)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    symbols = alphabet(bits)[np.frombuffer(pad.join(["", *texts]).encode("utf-32-le"), np.uint32)]
-    starts = np.cumsum(sizes + order - 1) - sizes
-    keys = symbols.astype(np.int64)
+    symbols = alphabet()[np.frombuffer(pad.join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    starts = np.cumsum(sizes + ORDER - 1) - sizes
+    keys = symbols.astype(np.uint64)
     n = len(keys)
-    for k in range(1, order):
-        keys[k:] |= symbols[: n - k].astype(np.int64) << (bits * k)
+    for k in range(1, ORDER):
+        keys[k:] |= symbols[: n - k].astype(np.uint64) << np.uint64(BITS * k)
     return keys, starts, sizes
 
 
@@ -50,114 +55,133 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, int, list[str]]]:
         yield a, b, whole[a:b]
 
 
-def counter(order: int, bits: int):
-    """Of batches with text and cls: the n-grams of each class with their counts, summed within the task."""
-    width = bits * order
-    mask = (1 << width) - 1
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(where, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
-
-        for batch in batches:
-            texts, classes = columns(batch, "text", "cls")
-            for a, b, some in pieces(texts):
-                keys, starts, sizes = ngrams(some, order, bits)
-                keep = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, s + n) for s, n in zip(starts, sizes, strict=True))])
-                tagged = keys[keep] | (np.repeat(np.array(classes[a:b], np.int64), sizes) << width)
-                held.append(np.unique(tagged, return_counts=True))
-            if sum(len(k) for k, _ in held) > 4 * CHUNK:
-                held = [merged()]
-        if held:
-            keys, counts = merged()
-            for i in range(0, len(keys), 65536):
-                part = keys[i : i + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array((part >> width).astype(np.int32)), pa.array(part & mask), pa.array(counts[i : i + 65536])], ["cls", "gram", "n"])
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
-    return run
 
+def _counter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches with text and cls: the n-grams of each class with their counts, summed within the task."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-def counted(docs: DataFrame, order: int, bits: int) -> DataFrame:
+    def flushed() -> Iterator[pa.RecordBatch]:
+        for cls in list(held):
+            keys, counts = _merged(held.pop(cls))
+            for i in range(0, len(keys), 65536):
+                part = keys[i : i + 65536].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([cls] * len(part), pa.int32()), pa.array(part), pa.array(counts[i : i + 65536])], ["cls", "gram", "n"])
+
+    for batch in batches:
+        texts, classes = columns(batch, "text", "cls")
+        for a, b, some in pieces(texts):
+            keys, starts, sizes = ngrams(some)
+            of = np.array(classes[a:b])
+            for cls in np.unique(of).tolist():
+                own = np.concatenate([keys[s : s + n] for s, n in zip(starts[of == cls].tolist(), sizes[of == cls].tolist(), strict=True)])
+                held.setdefault(cls, []).append(np.unique(own, return_counts=True))
+        if sum(len(k) for x in held.values() for k, _ in x) > 4 * CHUNK:
+            held = {cls: [_merged(x)] for cls, x in held.items()}
+            if sum(len(x[0][0]) for x in held.values()) > 2 * CHUNK:
+                yield from flushed()
+    yield from flushed()
+
+
+def counted(docs: DataFrame) -> DataFrame:
     """(cls, gram, n) over all rows of docs, which has text and the class as cls int."""
-    parts = docs.select("text", "cls").mapInArrow(counter(order, bits), "cls int, gram long, n long")
+    parts = docs.select("text", "cls").mapInArrow(_counter, "cls int, gram long, n long")
     return parts.groupBy("cls", "gram").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """Log-probabilities of each class: sorted n-grams of the highest order, and dense tables below it."""
-
-    def __init__(self, counts: pa.Table, n_classes: int, order: int, bits: int, shared: bool):
-        cls, gram, n = (counts.column(c).to_numpy() for c in ("cls", "gram", "n"))
-        self.order, self.bits, self.n_classes = order, bits, n_classes
-        self.keys = np.unique(gram)
-        below = order - 1
-        self.lower = np.zeros((1 << (bits * below), n_classes), np.float32)
-        self.backoff = np.zeros((1 << (bits * below), n_classes), np.float32)
-        self.top = np.zeros((len(self.keys), n_classes), np.float32)
-        pooled = self._lower(self.keys) if shared else None
-        for c in range(n_classes):
-            mine = cls == c
-            at = np.argsort(gram[mine])
-            keys, seen = gram[mine][at], n[mine][at].astype(np.float64)
-            low = pooled if shared else self._lower(keys)
-            p, gamma = self._interpolate(keys, seen, low)
-            self.lower[:, c], self.backoff[:, c] = np.log(low), np.log(gamma)
-            every = gamma[self.keys >> bits] * low[self.keys & ((1 << (bits * below)) - 1)]
-            every[np.searchsorted(self.keys, keys)] = p
-            self.top[:, c] = np.log(every)
-
-    def _interpolate(self, keys: np.ndarray, seen: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The probability of each n-gram, and the weight that each context leaves to the order below."""
-        context, n = keys >> self.bits, len(low)
-        total, kinds = np.bincount(context, seen, n), np.bincount(context, minlength=n)
-        once, twice = (seen == 1).sum(), (seen == 2).sum()
-        off = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-        gamma = np.where(total > 0, off * kinds / np.maximum(total, 1), 1.0)
-        return (seen - off) / total[context] + gamma[context] * low[keys & (n - 1)], gamma
-
-    def _lower(self, keys: np.ndarray) -> np.ndarray:
-        """The dense distribution one order below distinct n-grams, from counts of distinct left neighbours."""
-        levels, size = [], self.order - 1
-        while size:
-            kept, kinds = np.unique(keys & ((1 << (self.bits * size)) - 1), return_counts=True)
-            levels.append((kept, kinds.astype(np.float64)))
-            keys, size = kept, size - 1
-        symbols = 1 << self.bits
-        p = np.full(symbols, 1.0 / symbols)
-        kept, kinds = levels.pop()
-        off = 0.5
-        total = max(kinds.sum(), 1.0)
-        spread = off * len(kept) / total if len(kept) else 1.0
-        p *= spread
-        p[kept] += (kinds - off) / total
-        while levels:
-            kept, kinds = levels.pop()
-            context = kept >> self.bits
-            total, n_kinds = np.bincount(context, kinds, len(p)), np.bincount(context, minlength=len(p))
-            once, twice = (kinds == 1).sum(), (kinds == 2).sum()
-            off = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-            gamma = np.where(total > 0, off * n_kinds / np.maximum(total, 1), 1.0)
-            grown = np.repeat(gamma, symbols) * p[np.arange(len(p) * symbols) & (len(p) - 1)]
-            grown[kept] += (kinds - off) / total[context]
-            p = grown
-        return p
+def fitted(counts: DataFrame) -> DataFrame:
+    """MODEL: the interpolated probabilities of every n-gram of counts (cls, gram, n), and the contexts' weights, by class.
+
+    One discount for each class and order, from how many n-grams were seen once and twice. The lowest order leaves its
+    share to the symbols of the class, and one more, evenly.
+    """
+    orders = [stored(counts)]
+    for k in range(ORDER - 1, 0, -1):
+        orders.append(stored(orders[-1].select("cls", F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("gram")).groupBy("cls", "gram").agg(F.count("*").alias("n"))))
+    orders.reverse()
+    out, below = [], None
+    for k, table in enumerate(orders, 1):
+        once, twice = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        off = F.when(once == 0, 0.5).otherwise(F.least(F.lit(0.95), F.greatest(F.lit(0.1), once / (once + 2 * twice))))
+        offs = cut(table.groupBy("cls").agg(off.alias("off"), (F.lit(1.0) / (F.count("*") + 1)).alias("even")))
+        ctx = F.shiftrightunsigned("gram", BITS)
+        named = table.withColumn("ctx", ctx)
+        tops = named.groupBy("cls", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("different")).join(F.broadcast(offs), "cls")
+        tops = stored(tops.select("cls", "ctx", "total", "off", "even", (F.col("off") * F.col("different") / F.col("total")).alias("left")))
+        rest: Column = F.col("even")
+        rows = named.join(tops, ["cls", "ctx"])
+        if below is not None:
+            low = below.select("cls", F.col("gram").alias("low"), F.col("p").alias("low_p"))
+            rows, rest = rows.withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))).join(low, ["cls", "low"]), F.col("low_p")
+        below = stored(rows.select("cls", "gram", ((F.col("n") - F.col("off")) / F.col("total") + F.col("left") * rest).alias("p")))
+        out.append(below.select(F.lit(k).alias("kind"), F.col("gram").alias("key"), "cls", F.log("p").cast("float").alias("value")))
+        weight = F.col("left") * F.col("even") if k == 1 else F.col("left")
+        out.append(tops.select(F.lit(CONTEXT + k - 1).alias("kind"), F.col("ctx").alias("key"), "cls", F.log(weight).cast("float").alias("value")))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every
+
+
+def asked(texts: list[str | None]) -> dict[int, np.ndarray]:
+    """The keys of each kind that a model is looked up with for these texts."""
+    grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *(ngrams(some)[0] for _, _, some in pieces(texts))]))
+    out = {k: np.unique(grams & mask(k)) for k in range(1, ORDER + 1)}
+    return out | {CONTEXT + k - 1: np.unique(out[k] >> np.uint64(BITS)) for k in range(1, ORDER + 1)}
+
+
+def mask(k: int) -> np.uint64:
+    return np.uint64((1 << (BITS * k)) - 1)
 
-    def log_p(self, keys: np.ndarray) -> np.ndarray:
-        """A row of log-probabilities, one for each class, for each n-gram."""
-        if not len(self.keys):
-            return np.zeros((len(keys), self.n_classes), np.float32)
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        out = self.top[at]
-        new = np.flatnonzero(self.keys[at] != keys)
+
+class Model:
+    """Log-probabilities of each class, in sorted arrays for each order, from rows of MODEL (all, or those asked for)."""
+
+    def __init__(self, rows: pa.Table, n_classes: int):
+        kind, key, cls, value = (rows.column(c).to_numpy() for c in ("kind", "key", "cls", "value"))
+        key = key.astype(np.int64).view(np.uint64)
+        self.n_classes = n_classes
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in [*range(1, ORDER + 1), *range(CONTEXT, CONTEXT + ORDER)]:
+            mine = kind == k
+            keys, at = np.unique(key[mine], return_inverse=True)
+            # A context that a class hasn't seen leaves all to the order below; an n-gram that it hasn't is filled in.
+            table = np.full((len(keys), n_classes), np.nan if k < CONTEXT else 0.0, np.float32)
+            table[at, cls[mine]] = value[mine]
+            self.tables[k] = keys, table
+        new = self.tables[CONTEXT][1]
+        self.floor = new[0] if len(new) else np.zeros(n_classes, np.float32)
+        for k in range(1, ORDER + 1):
+            keys, table = self.tables[k]
+            gap = np.isnan(table).any(axis=1)
+            if gap.any():
+                table[gap] = np.where(np.isnan(table[gap]), self._below(k, keys[gap]), table[gap])
+
+    def _find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, table = self.tables[kind]
+        if not len(own):
+            return np.zeros((len(keys), self.n_classes), np.float32), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        return table[at], own[at] == keys
+
+    def _below(self, k: int, keys: np.ndarray) -> np.ndarray:
+        """What an n-gram of k characters has that wasn't seen."""
+        if k == 1:
+            return np.broadcast_to(self.floor, (len(keys), self.n_classes))
+        weight, seen = self._find(CONTEXT + k - 1, keys >> np.uint64(BITS))
+        weight[~seen] = 0.0
+        return weight + self._order(k - 1, keys & mask(k - 1))
+
+    def _order(self, k: int, keys: np.ndarray) -> np.ndarray:
+        out, seen = self._find(k, keys)
+        new = np.flatnonzero(~seen)
         if len(new):
-            odd = keys[new]
-            out[new] = self.backoff[odd >> self.bits] + self.lower[odd & ((1 << (self.bits * (self.order - 1))) - 1)]
+            out[new] = self._below(k, keys[new])
         return out
 
-
-def fitted(counts: DataFrame, n_classes: int, order: int, bits: int, shared: bool = False) -> Model:
-    return Model(counts.select("cls", "gram", "n").toArrow(), n_classes, order, bits, shared)
+    def log_p(self, keys: np.ndarray) -> np.ndarray:
+        """A row of log-probabilities, one for each class, for each n-gram."""
+        return self._order(ORDER, keys)

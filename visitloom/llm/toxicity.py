@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -12,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.llm import charlm
-from visitloom.llm.common import CHUNK, columns, is_held_out, slices, stored
+from visitloom.llm.common import CHUNK, columns, is_held_out, stored
+from visitloom.llm.lookups import joined
 
 #: A letter is predicted from at most ORDER - 1 characters before it in its word, and the models back off to LOW - 1.
 ORDER, LOW = 8, 4
@@ -20,8 +20,6 @@ ORDER, LOW = 8, 4
 OFF, OFF_BOTH = (0.95, 1.8, 2.5), (0.8, 1.2, 1.5)
 #: Up to so many n-grams and contexts are sent to all tasks (12 bytes each); the log-ratios of more are joined.
 SHARED = 1 << 23
-#: Documents that meet the joined log-ratios come in packs of about so many characters.
-PACK = 4 * CHUNK
 #: What tells the key of a context from that of an n-gram of the same letters.
 OF_CONTEXT = np.uint64(0xA0761D6478BD642F)
 #: Letters of a window.
@@ -244,52 +242,14 @@ def _with_shared(shared):
     return run
 
 
-def _packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pack, rows): rows with about PACK characters of text, as a compressed Arrow stream."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def closed() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for x in held:
-                out.write_batch(x)
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack", "rows"])
-
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        for a, b in slices([len(x or "") for x in texts], CHUNK):
-            held.append(batch.slice(a, b - a))
-            size += sum(len(x or "") for x in texts[a:b])
-            if size >= PACK:
-                yield closed()
-                held, size = [], 0
-    if held:
-        yield closed()
-
-
-def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pack, key): each key once that the texts of a pack are looked up with."""
-    for batch in batches:
-        for pack, rows in zip(*columns(batch, "pack", "rows"), strict=True):
-            keys = np.zeros(0, np.uint64)
-            for part in pa.ipc.open_stream(rows):
-                for _, _, some in charlm.pieces(part.column(part.num_columns - 1).to_pylist()):
-                    symbols, begin, end, _ = _places(some)
-                    between = _hasher(symbols)
-                    keys = np.unique(np.concatenate([keys, between(begin, end), between(begin, end - 1) ^ OF_CONTEXT]))
-            for i in range(0, len(keys), 65536):
-                some = keys[i : i + 65536].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([pack] * len(some), pa.string()), pa.array(some)], ["pack", "key"])
-
-
-def _with_found(names: list[str]):
-    def run(packs: pa.Table, found: pa.Table) -> pa.Table:
-        ratios = Ratios(found.column("key").to_numpy().view(np.uint64), found.column("ratio").to_numpy())
-        parts = [part for rows in packs.column("rows").to_pylist() for part in pa.ipc.open_stream(rows)]
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays(_scored(x, ratios), [*names, *FEATURES]) for x in parts])
-
-    return run
+def _asked(texts: list[str | None]) -> dict[int, np.ndarray]:
+    """The keys that texts are looked up with."""
+    keys = np.zeros(0, np.uint64)
+    for _, _, some in charlm.pieces(texts):
+        symbols, begin, end, _ = _places(some)
+        between = _hasher(symbols)
+        keys = np.unique(np.concatenate([keys, between(begin, end), between(begin, end - 1) ^ OF_CONTEXT]))
+    return {0: keys}
 
 
 def featured(rows: DataFrame, ratios: DataFrame) -> DataFrame:
@@ -301,9 +261,12 @@ def featured(rows: DataFrame, ratios: DataFrame) -> DataFrame:
         known = ratios.toArrow()
         shared = spark.sparkContext.broadcast((known.column("key").to_numpy().view(np.uint64), known.column("ratio").to_numpy()))
         return rows.mapInArrow(_with_shared(shared), kinds)
-    packs = stored(rows.mapInArrow(_packs, "pack string, rows binary"))
-    found = packs.mapInArrow(_wanted, "pack string, key long").join(ratios, "key").select("pack", "key", "ratio")
-    return packs.groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(_with_found(names), kinds)
+
+    def score(found: pa.Table, batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = Ratios(found.column("key").to_numpy().view(np.uint64), found.column("ratio").to_numpy())
+        return pa.RecordBatch.from_arrays(_scored(batch, own), [*names, *FEATURES])
+
+    return joined(rows, ratios.withColumn("kind", F.lit(0)), _asked, score, kinds)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
