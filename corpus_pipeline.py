@@ -12,36 +12,57 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't predict to be toxic."""
+    """Documents that the toxicity model doesn't predict to be toxic.
+
+    Rows count one by one, repeated ones too; a null id or text is scored as any other, an empty text by its lack of
+    evidence. Columns besides COLUMNS are dropped. No rows: none.
+    """
     labels = spark.read.parquet(table(sf_dir, "labels"))
     return toxicity.score(docs, labels, carry=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which the language models recognise a language."""
+    """Documents in which the language models recognise a language.
+
+    Null and empty texts and those without a letter go; repeated rows and rows without an id are judged one by one, ties
+    between languages don't matter. Columns besides COLUMNS are dropped. No rows: none.
+    """
     return language.identify(docs, carry=COLUMNS).where("not rejected").select(*COLUMNS)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, once; rows without an id all stay."""
-    rows = docs.select(*COLUMNS)
-    found = near_duplicates.near_duplicates(rows).where("kept").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
-    kept = rows.join(found, "doc_id", "left_semi").withColumn("nth", once).where("nth = 1").select(*COLUMNS)
-    return kept.unionByName(rows.where("doc_id is null"))
+    """One document of each group of near duplicates: that with the smallest id, of several the one with the smallest hash.
+
+    Rows are told apart by all their columns, so rows that share an id but not a text are documents of their own, and a
+    row without an id is kept only where its group has no other. Of rows that are equal in all columns one stays.
+    Documents without words are duplicates of nothing and all stay. Other columns are dropped. No rows: none.
+    """
+    rows = docs.select(*COLUMNS).withColumn("row_hash", F.xxhash64(*COLUMNS))
+    found = near_duplicates.near_duplicates(rows, carry=("row_hash",)).where("group_id is not null")
+    first = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash")).alias("f"))
+    chosen = first.select(F.col("f.doc_id").alias("id"), F.col("f.row_hash").alias("hash"))
+    once = F.row_number().over(Window.partitionBy("row_hash", "doc_id").orderBy("n_chars"))
+    kept = rows.join(chosen, (F.col("row_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").withColumn("nth", once).where("nth = 1")
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.select(*COLUMNS).unionByName(rows.where(blank).select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, to the nearest whole number; those without words stay once."""
+    """Documents as often as the mix takes them, to the nearest whole number; those without words stay once.
+
+    Rows that are equal in id, text and source are taken equally often. A null source is a source; rows without an id are
+    told apart by their texts. Columns besides COLUMNS are dropped. No rows: none.
+    """
     rows = docs.select(*COLUMNS)
-    took = mixing.mix(rows).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).withColumnRenamed("doc_id", "id")
+    took = mixing.mix(rows).groupBy("doc_id", "source", "row_hash").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    counted = took.select("id", times.alias("times")).where("times > 0")
-    return rows.join(counted, F.col("doc_id").eqNullSafe(F.col("id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    counted = took.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "row_hash", times.alias("times")).where("times > 0")
+    same = (F.xxhash64(rows["doc_id"], rows["text"]) == counted["row_hash"]) & F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of"))
+    return rows.join(counted, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences; null and empty texts are one closing token each."""
     return packing.pack(docs)
 
 
