@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.llm.common import CHUNK, columns, cut, slices, stored
@@ -245,6 +245,17 @@ def estimate(a: str, b: str) -> Column:
     return ((1 - wrong / CLOSER) - chance) / (1 - chance)
 
 
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """Nodes with a number each, from 0 in order of doc, those without one first: heads of buckets are the oldest."""
+    raw = stored(nodes.repartitionByRange("doc", "key").sortWithinPartitions("doc", "key").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("at", 33)
+    # A row for each partition.
+    n = raw.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    ahead = cut(n.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead")))
+    inside = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return raw.withColumn("part", part).join(F.broadcast(ahead), "part").withColumn("node", inside + F.col("ahead")).drop("part", "at", "ahead")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, group_id.
 
@@ -268,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT, c
     kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in kept.columns[:-1])
     sketch = stored(kept.mapInArrow(_sketcher(width), f"{kinds}, n_shingles long, key long, key2 long, bands array<long>"))
     nodes = sketch.where("key is not null").groupBy("key", "key2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = _numbered(nodes)
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     shared = stored(buckets.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"))
     parts = F.ceil(F.col("size") / SPLIT).cast("int")
