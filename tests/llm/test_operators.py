@@ -125,6 +125,29 @@ def test_main_text_and_templates(spark):
     assert got[22][0] == "Just text\ntail <ok&am"
 
 
+def test_templates_by_count(spark, monkeypatch):
+    """Widgets go from MANY pages on, prose from a share of the pages on; copies of a page keep their prose."""
+    body = lambda i, more: f"<article><h1>Title {i}</h1><p>The story number {i} has words of its own, and quite a few of them.</p>{more}</article>"
+    widget, notice, copy = "<div class='k'><a>One</a> two</div>", "<p>All stories are &lt;old&gt;.</p>", "".join(f"<p>Line {k} of a copied page, as long as any other.</p>" for k in range(6))
+    rows = []
+    for host, n_widget, n_notice in (("a", 5, 25), ("b", 4, 24), ("c", 5, 4)):
+        rows += [(len(rows) + i, f"https://{host}.example/{i}", body(i, (widget if i < n_widget else "") + (notice if i < n_notice else ""))) for i in range(120)]
+    rows += [(900 + i, f"https://d.example/{i}", f"<article>{copy}<p>Copy {i}</p></article>") for i in range(8)]
+    rows += [(950 + i, "https://e.example/", body(0, widget)) for i in range(7)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, template int")
+    for shared in (1 << 22, 0):
+        monkeypatch.setattr(templates, "SHARED", shared)
+        got = {r.page_id: r.text for r in templates.extract(table).collect()}
+        lines = [got[0], got[120], got[240]]
+        assert ["One two" in x for x in lines] == [False, True, False]
+        assert ["<old>" in x for x in lines] == [False, False, True]
+        assert all(got[900 + i].count("Line") == 6 and got[900 + i].endswith(f"Copy {i}") for i in range(8))
+        assert all("One two" in got[950 + i] for i in range(7))
+    assert templates.extract(table.limit(0)).count() == 0
+    deep = spark.createDataFrame([(1, "u", "<div>" * 50_000 + "deep" + "<p>x</p>" * 50_000)], "page_id long, url string, html string")
+    assert templates.extract(deep).first().n_chars == 4 + 2 * 50_000
+
+
 def test_language(spark, odd, docs):
     rows = language.identify(docs)
     right = rows.join(docs.select("doc_id", "lang"), "doc_id").where("held_out")

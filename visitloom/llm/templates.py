@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import columns
+from visitloom.llm.common import columns, stored
+from visitloom.llm.lookups import joined
 
-#: A subtree is template if it stands on at least MANY pages of a host and on this share of them; a page holds a bounded
-#: number of subtrees, so the share bounds the number of a host's template subtrees.
+#: A subtree is template if it stands on at least MANY different pages of a host; prose, on this share of them as well.
 MANY, SHARE = 5, 0.2
-#: Pages of a host are dealt to so many tasks.
-SALTS = 16
+#: Up to so many template subtrees are sent to all tasks, 8 bytes each; more are joined.
+SHARED = 1 << 22
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -111,9 +112,11 @@ def main_roots(root: Node) -> list[Node]:
     return found(root, "article") or found(root, "main") or [root]
 
 
-def hashes(root: Node) -> dict[int, tuple[int, int]]:
-    """Of each block element that isn't prose: a hash of its subtree, and the characters of text in it; by id of the Node."""
-    out: dict[int, tuple[int, int]] = {}
+def hashes(root: Node, host: str) -> dict[int, tuple[int, int, bool]]:
+    """Of each block element: a hash of host and subtree, the characters of text in it, whether it is prose; by id of the
+    Node."""
+    seed = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
+    out: dict[int, tuple[int, int, bool]] = {}
     done: dict[int, tuple[int, int]] = {}
     ahead: list[tuple[Node, bool]] = [(root, False)]
     while ahead:
@@ -122,7 +125,7 @@ def hashes(root: Node) -> dict[int, tuple[int, int]]:
             ahead.append((node, True))
             ahead += [(c, False) for c in node.children if isinstance(c, Node)]
             continue
-        digest, size = xxhash.xxh64(node.name), 0
+        digest, size = xxhash.xxh64(node.name, seed), 0
         for c in node.children:
             if isinstance(c, Node):
                 part, inside = done[id(c)]
@@ -133,19 +136,25 @@ def hashes(root: Node) -> dict[int, tuple[int, int]]:
                 digest.update(text.encode("utf-8", "surrogatepass"))
                 size += len(text)
         done[id(node)] = digest.intdigest(), size
-        if node.name in BLOCKS and node.name not in PROSE and node is not root:
-            out[id(node)] = done[id(node)]
+        if node.name in BLOCKS and node is not root:
+            out[id(node)] = *done[id(node)], node.name in PROSE
     return out
 
 
-def candidates(page: str) -> list[int]:
-    """Hashes of the subtrees with text that may be template: inside the main part, holding less than half of it."""
-    out = set()
+def length(root: Node) -> int:
+    return sum(len(SPACE.sub(" ", c).strip()) for c in _texts(root))
+
+
+def candidates(page: str, host: str) -> dict[int, bool]:
+    """Hashes of the subtrees with text that may be template: inside the main part, holding less than half of it; whether
+    they are prose."""
+    out: dict[int, bool] = {}
     for root in main_roots(parse(page)):
-        of = hashes(root)
-        whole = sum(len(SPACE.sub(" ", c).strip()) for c in _texts(root))
-        out |= {h - (1 << 64) if h >> 63 else h for h, size in of.values() if 0 < size * 2 < whole}
-    return sorted(out)
+        whole = length(root)
+        for h, size, prose in hashes(root, host).values():
+            if 0 < size * 2 < whole:
+                out[h] = out.get(h, True) and prose
+    return out
 
 
 def _texts(node: Node) -> Iterator[str]:
@@ -158,8 +167,11 @@ def _texts(node: Node) -> Iterator[str]:
                 yield c
 
 
-def main_text(page: str | None, template: frozenset[int]) -> str:
-    """The blocks of the main part without furniture and template subtrees, joined by new lines."""
+def main_text(page: str | None, host: str, template: Container[int]) -> str:
+    """The blocks of the main part without furniture and template subtrees, joined by new lines.
+
+    Where template prose makes half of the text or more, the page is one of many copies, and its prose stays.
+    """
     blocks: list[str] = []
     held: list[str] = []
 
@@ -168,8 +180,14 @@ def main_text(page: str | None, template: frozenset[int]) -> str:
             blocks.append(block)
         held.clear()
 
+    def gone(root: Node) -> set[int]:
+        """Ids of the nodes that are template."""
+        found = {i: x for i, x in hashes(root, host).items() if x[0] in template and x[1]}
+        prose = sum(size for _, size, is_prose in found.values() if is_prose)
+        return {i for i, x in found.items() if not x[2] or prose * 2 < length(root)}
+
     for root in main_roots(parse(page or "")):
-        of = hashes(root) if template else {}
+        template_nodes = gone(root)
         ahead: list[Node | str | None] = [*reversed(root.children)]
         flush()
         while ahead:
@@ -178,7 +196,7 @@ def main_text(page: str | None, template: frozenset[int]) -> str:
                 flush()
             elif isinstance(x, str):
                 held.append(x)
-            elif x.furniture or template and id(x) in of and (h := of[id(x)][0]) - (1 << 64) * (h >> 63) in template:
+            elif x.furniture or id(x) in template_nodes:
                 continue
             elif x.name == "br":
                 held.append(" ")
@@ -192,39 +210,68 @@ def main_text(page: str | None, template: frozenset[int]) -> str:
     return "\n".join(blocks)
 
 
+def _parts(text: str) -> tuple[str, str]:
+    """Host and html of a row's last column."""
+    host, _, page = text.partition("\n")
+    return host, page
+
+
 def _subtrees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, pages = columns(batch, "host", "html")
-        found = [(h, x) for h, p in zip(hosts, pages, strict=True) if p for x in candidates(p)]
-        yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in found], pa.string()), "subtree": pa.array([x for _, x in found], pa.int64())})
+        rows: list[tuple[str, int, int, bool]] = []
+        for text in columns(batch, "hosted")[0]:
+            host, page = _parts(text)
+            content = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))
+            rows += [(host, content, h, prose) for h, prose in candidates(page, host).items()]
+        hosts, contents, keys, prose = zip(*rows, strict=True) if rows else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (contents, keys)), pa.array(prose, pa.bool_())], ["host", "content", "key", "prose"])
 
 
-def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, urls, pages, known = columns(batch, "page_id", "url", "html", "template")
-        sets: dict[tuple[int, ...], frozenset[int]] = {}
-        texts = [main_text(p, sets.setdefault(k := tuple(t or ()), frozenset(k))) for p, t in zip(pages, known, strict=True)]
-        yield pa.RecordBatch.from_pydict({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+def _asked(texts: list[str | None]) -> dict[int, np.ndarray]:
+    return {0: np.unique(np.array([h for x in texts for h in candidates(*_parts(x or "")[::-1])], np.uint64))}
+
+
+def _extracted(batch: pa.RecordBatch, template: Container[int]) -> pa.RecordBatch:
+    texts = [main_text(page, host, template) for host, page in map(_parts, batch.column(2).to_pylist())]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
+def _with_shared(shared):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        template = frozenset(shared.value.tolist())
+        for batch in batches:
+            yield _extracted(batch, template)
+
+    return run
+
+
+def _with_found(found: pa.Table, batch: pa.RecordBatch) -> pa.RecordBatch:
+    return _extracted(batch, frozenset(found.column("key").to_numpy().astype(np.int64).view(np.uint64).tolist()))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
     The main part of a page is its articles, else its main element, else all of it. Elements that are furniture by name,
-    class, id or role go. So do blocks below the main part, other than prose (paragraphs, headings, list items, cells),
-    that hold less than half of its text and whose hash (names and text of the subtree) stands on MANY pages and SHARE
-    of the pages of the host. What is left is cut into blocks: character references are decoded, white space becomes one
-    space, blocks are trimmed and joined by new lines; br is a space.
+    class, id or role go. So do blocks below the main part that hold less than half of its text and whose hash (host,
+    names and text of the subtree) stands on MANY different pages of the host; prose (paragraphs, headings, list items,
+    cells) only if on SHARE of them as well, and if less than half of a page's text is such prose. What is left is cut
+    into blocks: character references are decoded, white space becomes one space, blocks are trimmed and joined by new
+    lines; br is a space.
 
     Null or empty html: empty text. A null url or one without a host counts as the host ''. Repeated rows get a row each
-    and count as pages each; other columns are ignored.
+    and count as one page; other columns are ignored. A block on exactly MANY pages, or on exactly SHARE of them, is
+    template. No rows: none. Pages of any length are parsed whole.
     """
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = rows.select("host", "html").mapInArrow(_subtrees, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    many = seen.where(F.col("n") >= MANY).join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    of_host = many.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
-    salted = of_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS)))
-    return dealt.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@\n]*@)?([^/?#:\n]*)", 1)), F.lit(""))
+    rows = pages.select("page_id", "url", F.concat(host, F.lit("\n"), F.coalesce("html", F.lit(""))).alias("hosted"))
+    seen = stored(rows.select("hosted").mapInArrow(_subtrees, "host string, content long, key long, prose boolean").distinct())
+    sizes = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    many = seen.groupBy("host", "key").agg(F.count("*").alias("n"), F.min("prose").alias("prose")).where(F.col("n") >= MANY)
+    template = stored(many.join(sizes, "host").where(~F.col("prose") | (F.col("n") >= SHARE * F.col("pages"))).select(F.lit(0).alias("kind"), "key"))
+    kinds = "page_id long, url string, text string, n_chars long"
+    rows = rows.withColumn("page_id", F.col("page_id").cast("long"))
+    if template.count() <= SHARED:
+        known = template.select("key").toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64)
+        return rows.mapInArrow(_with_shared(pages.sparkSession.sparkContext.broadcast(known)), kinds)
+    return joined(rows, template, _asked, _with_found, kinds)
