@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ WIDTH, REACH = 64, 32
 FINE_WIDTH, FINE_REACH, SHORT = 8, 4, 1024
 #: Bits of a Bloom filter, features until the next of the chain begins, bits that a feature sets.
 BITS, FULL, HASHES = 2048, 160, 5
+#: Where a null id stands.
+LEAST = -(1 << 63)
 MULTIPLIERS = (np.arange(1, 17, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -140,31 +144,52 @@ def _walker(bits_of_shared):
     return run
 
 
+def _bounds(rows: DataFrame, n: int) -> list[tuple[int, int]]:
+    """At most n - 1 places (id, h) that cut rows into about n ranges; an id that fills several is cut by its hashes."""
+    ids = Counter(map(int, rows.stat.approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else Counter()
+    return [(i, ((k << 64) // m) - (1 << 63)) for i, m in sorted(ids.items()) for k in range(m)]
+
+
+def _part(bounds: list[tuple[int, int]]):
+    """A column function: how many of bounds lie at or before (id, h)."""
+    ids, cuts = (np.array([b[k] for b in bounds], np.int64) for k in (0, 1))
+
+    @F.pandas_udf("int")
+    def part(id: pd.Series, h: pd.Series) -> pd.Series:
+        own, hashes = id.to_numpy(), h.to_numpy()
+        out = np.searchsorted(ids, own, side="left")
+        for i in np.intersect1d(ids, own):
+            here = own == i
+            out[here] += np.searchsorted(cuts[ids == i], hashes[here], side="right")
+        return pd.Series(out.astype(np.int32))
+
+    return part
+
+
 def compare_next(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.
 
-    Documents stand in ascending order of doc_id, ties by text, a null id first; after the last comes the first. Ranges
-    of ids are dealt to tasks, which walk their documents in order; each range also gets the first document of the range
-    after it as a guest. A digest takes the windows of WIDTH bytes that are rarer than all around them, by the surprise of
-    their bytes over all texts, and sets HASHES bits for each in a chain of Bloom filters.
+    Documents stand in ascending order of doc_id, ties by a hash of the text, a null id first; after the last comes the
+    first. Ranges of ids, and of hashes where many rows share an id, are dealt to tasks, which walk their documents in
+    order; each range also gets the first document of the range after it as a guest. A digest takes the windows of WIDTH
+    bytes that are rarer than all around them, by the surprise of their bytes over all texts, and sets HASHES bits for
+    each in a chain of Bloom filters.
 
     Null and empty texts: empty digests; like each other 1, like others 0. Texts of under SHORT bytes also have windows of
     FINE_WIDTH bytes; those of up to FINE_WIDTH bytes are one feature.
     Repeated rows follow each other. A single document is its own next one. No rows: none. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LEAST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    bounds = sorted(set(map(int, rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else [])))
-    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= key)).cast("int") if bounds else F.lit(0)
-    dealt = rows.withColumn("part", part)
-    firsts = sorted((r["part"], r["first"]) for r in dealt.groupBy("part").agg(F.min(key).alias("first")).collect())  # a row for each range
-    after = [(p, firsts[(i + 1) % len(firsts)][1]) for i, (p, _) in enumerate(firsts)]
-    guests = spark.createDataFrame(after, "part int, first long")
-    smallest = rows.where(key.isin([f for _, f in firsts])).groupBy(key.alias("first")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    guests = smallest.join(F.broadcast(guests), "first").select(F.col("first").alias("doc_id"), "text", "part", F.lit(True).alias("guest"))
-    every = dealt.withColumn("guest", F.lit(False)).unionByName(guests).repartition(n, "part").sortWithinPartitions("part", "guest", "doc_id", "text")
+    bounds = _bounds(rows, n)
+    dealt = rows.withColumn("part", _part(bounds)("id", "h"))
+    firsts = sorted((r["part"], r["f"]) for r in dealt.groupBy("part").agg(F.min(F.struct("id", "h")).alias("f")).collect())  # a row for each range
+    after = [(p, *firsts[(i + 1) % len(firsts)][1]) for i, (p, _) in enumerate(firsts)]
+    guests = F.broadcast(spark.createDataFrame(after, "part int, id long, h long"))
+    smallest = rows.where(F.col("id").isin([f["id"] for _, f in firsts])).join(guests, ["id", "h"]).groupBy("id", "h", "part").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    guests = smallest.select(F.lit(None).cast("long").alias("doc_id"), "text", "id", "h", "part", F.lit(True).alias("guest"))
+    every = dealt.withColumn("guest", F.lit(False)).unionByName(guests).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "guest", "id", "h", "text")
     result = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return every.select("part", "guest", "doc_id", "text").mapInArrow(_walker(spark.sparkContext.broadcast(surprise(docs))), result)
