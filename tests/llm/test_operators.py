@@ -1,5 +1,6 @@
 """Each operator against a plain version on small rows, and on the rows that usually break: nulls, empties, ties, repeats."""
 
+import bisect
 import hashlib
 import itertools
 import re
@@ -231,6 +232,33 @@ def test_sweeps_leave_nothing_out():
         assert at <= 1024
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_sweeps_take_as_few_sequences_as_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.clip(rng.lognormal(rng.uniform(2, 6), rng.uniform(0.2, 1.2), 3000).astype(int), 1, 1024)
+    gaps, opened = [], 0
+    for n in sorted(lengths.tolist(), reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        if k < len(gaps):
+            gap = gaps.pop(k)
+        else:
+            gap, opened = 1024, opened + 1
+        if gap > n:
+            bisect.insort(gaps, gap - n)
+    counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+    plan = packing.sweeps(counts)
+    assert int((plan[:, 2] + plan[:, 4]).max()) == opened
+
+
+def test_ids_of_both_tokenizers(spark):
+    rng = np.random.default_rng(2)
+    points = np.concatenate([np.arange(32, 0x250), np.arange(0x4E00, 0x4E80), np.arange(0x1F600, 0x1F640), [9, 10, 13, 0x301, 0x200D]])
+    texts = ["".join(map(chr, rng.choice(points, int(rng.integers(0, 80))))) for _ in range(600)] + ["a" * 50_000, " " * 50_000, "<|endoftext|> x"]
+    encoder = packing.Encoder(packing.vocabulary())
+    for x in texts:
+        assert encoder.ids(x) == np.array(encoder.slow.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_mixing(spark, odd, docs):
     rows = mixing.mix(docs).collect()
     by = {}
@@ -364,7 +392,7 @@ def test_fingerprints(spark, odd):
 
 def test_toxicity(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
-    rows = toxicity.score(docs, labels).join(labels.groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic"), "doc_id").where("toxic is not null").collect()
+    rows = toxicity.score(docs, labels).where("held_out").join(labels.groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic"), "doc_id").where("toxic is not null").collect()
     pos, neg = ([r.score for r in rows if r.toxic == k] for k in (1, 0))
     assert np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.9
     marks = spark.createDataFrame([(3, 1), (5, 0), (5, None), (None, 1)], "doc_id long, toxic int")

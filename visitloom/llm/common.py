@@ -15,10 +15,12 @@ CHUNK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a folder of our own only where none is set."""
+    """The shared folder that spark.checkpoint.dir names; a folder of our own only in local mode where none is set."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="visitloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)

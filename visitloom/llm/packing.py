@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from visitloom.llm.common import columns, stored
 
 ROOM, END = 1024, 2
-#: Hash ranges by which the ranks of a length class are counted.
-RANGES = 1024
+#: A length class is ranked in hash ranges of about so many pieces.
+RANGE = 1 << 16
 
 
 def vocabulary() -> tuple[str, str, str]:
@@ -153,12 +153,12 @@ def pack(docs: DataFrame, files: tuple[str, str, str] | None = None) -> DataFram
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, files))
-    h = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANGES)).cast("int")
-    ranged = cut.withColumn("range", h)
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ROOM rows
+    ranges = max(16, max(counts.values(), default=0) // RANGE)
+    ranged = cut.withColumn("range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(ranges)))
     each = ranged.groupBy("length", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ahead = each.select("length", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ROOM rows
     plan = spark.sparkContext.broadcast(sweeps(counts))
     inside = F.row_number().over(Window.partitionBy("length", "range").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = ranged.withColumn("inside", inside).join(ahead, ["length", "range"])
