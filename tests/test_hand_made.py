@@ -108,3 +108,41 @@ def test_unknown_zone_is_utc(spark):
     now = F.lit("2024-03-05 12:00:00").cast("timestamp")
     start, end = spark.range(1).select(*filters.local_day_bounds("Nowhere/At_All", now)).first()
     assert (start, end) == (datetime(2024, 3, 5), datetime(2024, 3, 6))
+
+
+def test_cut_is_floored_and_not_rounded(spark):
+    """A confidence of 0.8996 doesn't reach a cut of 0.9."""
+    rows = spark.createDataFrame([(0.9001, True)] * 6 + [(0.8996, False)] * 4, "conf double, hit boolean")
+    assert aggregates.threshold_for_precision(rows).first()[0] == 0.9
+    assert aggregates.threshold_for_precision(rows, 0.6, 0.9).first()[0] == 0.899
+
+
+def test_suggestion_needs_an_underscore(spark):
+    rows = spark.createDataFrame([(["plan", "subplan"],), (["plan", "care_plan"],), (["allergy", "x_allergy"],)], "labels array<string>")
+    assert [r[0] for r in rows.select(aggregates.suggestion(F.col("labels"), ["allergy"])).collect()] == [None, "care_plan", None]
+
+
+def test_mined_phrases(spark):
+    rows = [(i, "pain of the back pain of the back") for i in range(3)] + [(9, "of the of"), (10, "sore throat"), (11, "sore throat"), (12, "sore throat sore")]
+    known = spark.createDataFrame([("Sore throat",)], "phrase string")
+    got = {(r.phrase, r.n) for r in aggregates.mine_phrases(spark.createDataFrame(rows, "id long, text string"), ["of", "the"], 3, 50, known).collect()}
+    assert got == {("pain of the back", 6), ("back pain of the", 3), ("the back pain of", 3)} | {(p, n) for p, n in got if p == "of the back pain"}
+
+
+def test_rule_check_names_every_problem(spark):
+    fired = spark.createDataFrame([("v", "A1"), ("v", "B1"), ("w", "C1")], "visit_id string, rule_id string")
+    pair = "visit_id string, rule_id string"
+    prefixes = spark.createDataFrame([(f"Z{i}",) for i in range(1500)] + [("B",)], "prefix string")
+    needed = spark.createDataFrame([("v", "A"), ("w", "A")], "visit_id string, prefix string")
+    got = {tuple(r) for r in linkage.check_rules(fired, spark.createDataFrame([("v", "A2")], pair), spark.createDataFrame([("w", "C1")], pair), prefixes, needed).collect()}
+    assert got == {("v", "A2", "missing"), ("w", "C1", "forbidden"), ("v", "B1", "leaked"), ("w", "A", "absent")}
+
+
+def test_directions_of_tfidf_keep_the_similarities(spark):
+    import numpy as np
+
+    texts = [(i, " ".join(w)) for i, w in enumerate([["ab", "cd", "ef"], ["ab", "cd", "gh"], ["xy", "zw", "uv"], ["xy", "zw", "ab"], ["ef", "gh", "uv"]] * 3)]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    v = np.array([r.v for r in vectors.char_tfidf(rows, most=12, vocabulary=256).orderBy("id").collect()])
+    full = np.array([r.v for r in vectors.char_tfidf(rows, most=200, vocabulary=256).orderBy("id").collect()])
+    assert v.shape == (15, 12) and np.allclose(v @ v.T, full @ full.T, atol=1e-6)

@@ -55,8 +55,8 @@ def conflict_pairs(conflicts: DataFrame) -> DataFrame:
 
 
 def suggestion(labels: Column, sensitive: list[str]) -> Column:
-    """The label that ends in another one of the set and so says more; none if a label is sensitive."""
-    special = F.filter(labels, lambda a: F.exists(labels, lambda b: (a != b) & a.endswith(b)))
+    """The label that ends in another one of the set, after an underscore, and so says more; none if a label is sensitive."""
+    special = F.filter(labels, lambda a: F.exists(labels, lambda b: (a != b) & a.endswith(F.concat(F.lit("_"), b))))
     return F.when(F.size(F.array_intersect(labels, F.array(*map(F.lit, sensitive)))) == 0, F.get(F.array_sort(special), F.lit(0)))
 
 
@@ -99,11 +99,11 @@ def nll(p: Column) -> Column:
 
 
 def threshold_for_precision(pred: DataFrame, precision: float = 0.9, coverage: float = 0.3) -> DataFrame:
-    """The highest cut whose accepted rows (conf >= cut) are right and many enough; cuts are confidences at 3 places.
+    """The highest cut whose accepted rows (conf >= cut) are right and many enough; cuts are confidences cut to 3 places.
 
     Rows are summed per thousandth first, so the running sums go over at most 1,001 rows.
     """
-    per = pred.groupBy(F.round("conf", 3).alias("cut")).agg(F.count("*").alias("k"), F.sum(F.col("hit").cast("int")).alias("h"))
+    per = pred.groupBy((F.floor(F.col("conf") * 1000) / 1000).alias("cut")).agg(F.count("*").alias("k"), F.sum(F.col("hit").cast("int")).alias("h"))
     above = Window.orderBy(F.col("cut").desc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy()
     run = per.select("cut", F.sum("k").over(above).alias("n"), F.sum("h").over(above).alias("right"), F.sum("k").over(whole).alias("all"))
@@ -225,21 +225,31 @@ def label_ids(rows: DataFrame, label: str) -> DataFrame:
     return rows.select(F.col(label).alias("label")).where("label is not null").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("id"))
 
 
-def mine_phrases(texts: DataFrame, stop: list[str], least: int, top: int, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
-    """Word n-grams that don't begin or end with a stop word, in least texts or more, not held by a kept longer one."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,})"))
+def mine_phrases(texts: DataFrame, stop: list[str], least: int, top: int, known: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """Word n-grams that stand least times or more, not held by a kept longer one, nor holding a known form (phrase).
+
+    Those that begin and end with a stop word, or have no other words, go. n: how often a phrase stands; example: the
+    smallest id of a text with it.
+    """
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,})")), lambda w: w != "")
     rows = texts.select("id", words.alias("w"))
+    stops = F.array(*map(F.lit, stop))
 
     def runs(column: str, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(column) - n), lambda i: F.slice(column, i + 1, n))
-
-    out = parts = None
-    for n in sizes:
-        some = rows.where(F.size("w") >= n).select("id", F.explode(F.array_distinct(runs("w", n))).alias("g"))
-        kept = some.where(~F.get("g", F.lit(0)).isin(stop) & ~F.get("g", F.lit(n - 1)).isin(stop)).groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("example")).where(F.col("n") >= least)
-        out = kept if out is None else out.unionByName(kept)
-    phrases = out.select(F.array_join("g", " ").alias("phrase"), "g", "n", "example")
-    for n in sizes[:-1]:
-        inner = phrases.where(F.size("g") > n).select(F.explode(F.transform(runs("g", n), lambda x: F.array_join(x, " "))).alias("phrase"))
-        parts = inner if parts is None else parts.union(inner)
-    return phrases.join(parts.distinct(), "phrase", "left_anti").select("phrase", "n", "example").orderBy(F.col("n").desc(), "phrase").limit(top)
+        return F.transform(F.sequence(F.lit(1), F.size(column) - n + 1), lambda i: F.array_join(F.slice(column, i, F.lit(n)), " "))
+
+    # Counted within each task first, so a frequent phrase is a row a task.
+    parts = [rows.where(F.size("w") >= n).select("id", F.explode(runs("w", n)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"), F.min("id").alias("example")).where(F.col("n") >= least) for n in sizes]
+    many = parts[0]
+    for p in parts[1:]:
+        many = many.unionByName(p)
+    split = many.withColumn("g", F.split("phrase", " "))
+    ends = F.array_contains(stops, F.get("g", F.lit(0))) & F.array_contains(stops, F.element_at("g", -1))
+    kept = split.where(~ends & F.exists("g", lambda w: ~F.array_contains(stops, w)))
+    held = F.flatten(F.array(*[F.when(F.size("g") >= n, runs("g", n)).otherwise(F.array().cast("array<string>")) for n in range(1, max(sizes) + 1)]))
+    listed = kept.select("phrase", "n", "example", held.alias("held"))
+    bad = listed.select("phrase", F.explode("held").alias("form")).join(known.select(F.lower("phrase").alias("form")).distinct(), "form", "left_semi").select("phrase").distinct()
+    good = listed.join(bad, "phrase", "left_anti")
+    inner = good.select("phrase", F.explode("held").alias("form")).where("form <> phrase").select(F.col("form").alias("phrase")).distinct()
+    return good.join(inner, "phrase", "left_anti").select("phrase", "n", "example").orderBy(F.col("n").desc(), "phrase").limit(top)
+

@@ -143,13 +143,22 @@ def supplement_facts(links: DataFrame, found: DataFrame, parents: DataFrame) ->
     return links.withColumn("origin", F.lit("link")).unionByName(extra)
 
 
-def check_rules(fired: DataFrame, must: DataFrame, must_not: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Problems: expected rules that didn't fire, forbidden ones that did, and rules under a forbidden prefix."""
+def check_rules(fired: DataFrame, must: DataFrame, must_not: DataFrame, prefixes: DataFrame, needed: DataFrame) -> DataFrame:
+    """Problems: expected rules that didn't fire, forbidden ones that did, rules under a forbidden prefix, and prefixes
+    that a visit needs (visit_id, prefix) and no rule of it has; these stand as the rule.
+
+    Every beginning of a rule's name is joined with the prefixes on equality, however many there are.
+    """
     key = ["visit_id", "rule_id"]
     missing = must.join(fired, key, "left_anti").select(*key, F.lit("missing").alias("problem"))
     forbidden = must_not.join(fired, key, "left_semi").select(*key, F.lit("forbidden").alias("problem"))
-    leaked = fired.join(F.broadcast(prefixes.limit(1000)), F.col("rule_id").startswith(F.col("prefix"))).select(*key, F.lit("leaked").alias("problem")).distinct()
-    return missing.unionByName(forbidden).unionByName(leaked)
+    begins = F.explode(F.transform(F.sequence(F.lit(1), F.length("rule_id")), lambda n: F.left("rule_id", n)))
+    named = fired.select("rule_id").where("rule_id <> ''").distinct().select("rule_id", begins.alias("prefix"))
+    bad = named.join(prefixes.select("prefix").distinct(), "prefix").select("rule_id").distinct()
+    leaked = fired.join(bad, "rule_id", "left_semi").select(*key, F.lit("leaked").alias("problem")).distinct()
+    has = fired.join(named.join(needed.select("prefix").distinct(), "prefix"), "rule_id").select("visit_id", "prefix")
+    absent = needed.join(has, ["visit_id", "prefix"], "left_anti").select("visit_id", F.col("prefix").alias("rule_id"), F.lit("absent").alias("problem"))
+    return missing.unionByName(forbidden).unionByName(leaked).unionByName(absent)
 
 
 def compare_runs(base: DataFrame, candidate: DataFrame, gate: float) -> DataFrame:

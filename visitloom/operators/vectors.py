@@ -192,10 +192,13 @@ def assign_roles(clusters: DataFrame, margin: float, alone: float) -> DataFrame:
 
 
 def char_tfidf(texts: DataFrame, most: int = 64, vocabulary: int = 4096) -> DataFrame:
-    """id and up to most principal components of TF-IDF over character 2- to 4-grams within words."""
+    """id and v: TF-IDF over character 2- to 4-grams within words, in up to most singular directions.
+
+    N-grams are hashed to vocabulary columns. The directions come from a randomised subspace iteration: each pass sends
+    the tasks vocabulary x (most + 10) numbers, and as many are summed up over them; rows stay where they are.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, PCA, HashingTF
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.feature import IDF, HashingTF
 
     words = F.transform(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
@@ -203,8 +206,39 @@ def char_tfidf(texts: DataFrame, most: int = 64, vocabulary: int = 4096) -> Data
         return F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))))
 
     grams = texts.select("id", words.alias("w")).select("id", F.concat(cut(2), cut(3), cut(4)).alias("g"))
-    model = Pipeline(stages=[HashingTF(inputCol="g", outputCol="tf", numFeatures=vocabulary), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2), PCA(k=most, inputCol="tfidf", outputCol="v")]).fit(grams)
-    return model.transform(grams).select("id", vector_to_array("v").alias("v"))
+    rows = Pipeline(stages=[HashingTF(inputCol="g", outputCol="tf", numFeatures=vocabulary), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2)]).fit(grams).transform(grams).select("id", "tfidf")
+    sc, wide = texts.sparkSession.sparkContext, min(vocabulary, most + 10)
+
+    def summed(basis: np.ndarray, gram: bool) -> np.ndarray:
+        """A'A basis over all rows A, or basis'A'A basis."""
+        sent = sc.broadcast(basis)
+
+        def part(rows):
+            q = sent.value
+            out = np.zeros((q.shape[1] if gram else q.shape[0], q.shape[1]))
+            for r in rows:
+                x = r["tfidf"]
+                y = x.values @ q[x.indices]
+                if gram:
+                    out += np.outer(y, y)
+                else:
+                    out[x.indices] += np.outer(x.values, y)
+            yield out
+
+        return rows.rdd.mapPartitions(part).treeReduce(np.add)
+
+    basis = np.linalg.qr(np.random.default_rng(7).normal(size=(vocabulary, wide)))[0]
+    for _ in range(4):
+        basis = np.linalg.qr(summed(basis, False))[0]
+    _, turned = np.linalg.eigh(summed(basis, True))
+    directions = sc.broadcast(basis @ turned[:, ::-1][:, :most])
+
+    def project(part):
+        for r in part:
+            x = r["tfidf"]
+            yield r["id"], (x.values @ directions.value[x.indices]).tolist()
+
+    return texts.sparkSession.createDataFrame(rows.rdd.mapPartitions(project), "id long, v array<double>")
 
 
 def cluster_label(vectors: DataFrame, k: int) -> DataFrame:

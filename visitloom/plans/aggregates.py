@@ -68,10 +68,12 @@ def agg_07(t: Tables) -> DataFrame:
     return o.conflict_pairs(_conflicts(t))
 
 
-@query("agg_07_suggest", f"with {CONFLICTS}, e as (select first_at, list_transform(labels, lambda x: reverse(x)) labels from conflicts) select first_at, case when not list_has_any(labels, ['0crs']) then list_sort(list_filter(labels, lambda a: len(list_filter(labels, lambda b: a <> b and ends_with(a, b))) > 0))[1] end suggestion from e")
+@query("agg_07_suggest", f"with {CONFLICTS}, e as (select first_at, list_concat(labels, ['sub' || labels[1], 'new_' || labels[2]]) labels from conflicts) select first_at, case when not list_has_any(labels, ['forum']) then list_sort(list_filter(labels, lambda a: len(list_filter(labels, lambda b: a <> b and ends_with(a, '_' || b))) > 0))[1] end suggestion from e")
 def agg_07_suggest(t: Tables) -> DataFrame:
-    rows = _conflicts(t).withColumn("labels", F.transform("labels", F.reverse))
-    return rows.select("first_at", o.suggestion(F.col("labels"), ["0crs"]).alias("suggestion"))
+    """Two labels are added: one that only ends in the first, and one that is the second's special case."""
+    more = F.array(F.concat(F.lit("sub"), F.get("labels", F.lit(0))), F.concat(F.lit("new_"), F.get("labels", F.lit(1))))
+    rows = _conflicts(t).withColumn("labels", F.concat("labels", more))
+    return rows.select("first_at", o.suggestion(F.col("labels"), ["forum"]).alias("suggestion"))
 
 
 @query("agg_08", """with m as (select doc_id id, bool_or(quality = 1) useful from labels group by 1)
@@ -213,13 +215,19 @@ def agg_40(t: Tables) -> DataFrame:
     return items(t).groupBy(rejection(0.5, 0.4).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("agg_41", """with w as (select doc_id id, regexp_extract_all(lower(text), '\\p{L}{2,}') w from documents),
-  s as (select id, w, unnest([2, 3, 4]) n from w), g as (select distinct id, n, unnest(list_transform(range(len(w) - n + 1), lambda i: w[i + 1:i + n])) g from s where len(w) >= n),
-  k as (select g, n as len, count(*) n, min(id) example from g where g[1] not in ('the', 'of', 'and') and g[n] not in ('the', 'of', 'and') group by g, len having count(*) >= 8),
-  i as (select distinct array_to_string(g[x:x + m - 1], ' ') phrase from (select g, unnest([2, 3]) m from k), range(1, 4) t(x) where m < len(g) and x + m - 1 <= len(g))
-  select array_to_string(g, ' ') phrase, n::bigint n, example from k where array_to_string(g, ' ') not in (select phrase from i) order by n desc, phrase limit 100""")
+@query("agg_41", """with w as (select doc_id id, regexp_extract_all(lower(text), '\\p{L}{2,}') w from documents), s as (select id, w, unnest([2, 3, 4]) n from w),
+  g as (select id, unnest(list_transform(range(len(w) - n + 1), lambda i: array_to_string(w[i + 1:i + n], ' '))) phrase from s where len(w) >= n),
+  c as (select phrase, string_split(phrase, ' ') g, count(*) n, min(id) example from g group by all having count(*) >= 8),
+  k as (select * from c where not (g[1] in ('the', 'of', 'and') and g[len(g)] in ('the', 'of', 'and')) and len(list_filter(g, lambda x: x not in ('the', 'of', 'and'))) > 0),
+  h as (select phrase, array_to_string(g[x:x + m - 1], ' ') form from (select phrase, g, unnest([1, 2, 3, 4]) m from k), range(1, 5) t(x) where x + m - 1 <= len(g)),
+  f as (select distinct lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) form from benchmark),
+  o as (select * from k where phrase not in (select phrase from h join f using (form)))
+  select phrase, n::bigint n, example from o where phrase not in (select form from h where form <> phrase and phrase in (select phrase from o)) order by n desc, phrase limit 100""")
 def agg_41(t: Tables) -> DataFrame:
-    return o.mine_phrases(t.documents.select(F.col("doc_id").alias("id"), "text"), ["the", "of", "and"], 8, 100)
+    """Known forms: the first two words of each benchmark passage."""
+    w = F.split("text", " ")
+    known = t.benchmark.select(F.concat_ws(" ", F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit(""))).alias("phrase"))
+    return o.mine_phrases(t.documents.select(F.col("doc_id").alias("id"), "text"), ["the", "of", "and"], 8, 100, known)
 
 
 @query("agg_42", "with n as (select quality as label, count(*)::bigint n from labels group by 1) select label, n, round(1 / n / (select sum(1 / n) from n) * (select count(*) from n), 6) weight from n")

@@ -21,7 +21,10 @@ from visitloom.streaming.state import daily_counts
 def scratch(t: Tables, name: str) -> str:
     """A new folder below the one that driver and executors share."""
     sc = t.spark.sparkContext
-    top = sc.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="visitloom-")
+    top = sc.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = top or tempfile.mkdtemp(prefix="visitloom-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

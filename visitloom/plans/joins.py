@@ -196,12 +196,13 @@ def join_21(t: Tables) -> DataFrame:
 
 
 @query("join_22", f"""with {VFACTS}, f as (select distinct visit_id, 'R-' || code rule_id from vf), m as (select distinct visit_id, 'R-view' rule_id from vf), n as (select distinct visit_id, 'R-error' rule_id from vf where value > 50)
-  select *, 'missing' problem from m where (visit_id, rule_id) not in (select visit_id, rule_id from f) union all select *, 'forbidden' from n where (visit_id, rule_id) in (select visit_id, rule_id from f) union all select *, 'leaked' from f where starts_with(rule_id, 'R-sig')""")
+  select *, 'missing' problem from m where (visit_id, rule_id) not in (select visit_id, rule_id from f) union all select *, 'forbidden' from n where (visit_id, rule_id) in (select visit_id, rule_id from f) union all select *, 'leaked' from f where starts_with(rule_id, 'R-sig')
+  union all select visit_id, 'R-c', 'absent' from (select distinct visit_id from vf) v where not exists (select 1 from f where f.visit_id = v.visit_id and starts_with(f.rule_id, 'R-c'))""")
 def join_22(t: Tables) -> DataFrame:
     f = visit_facts(t)
     fired = f.select("visit_id", F.concat(F.lit("R-"), "code").alias("rule_id")).distinct()
     prefixes = f.where("code = 'signup'").select(F.lit("R-sig").alias("prefix")).distinct()
-    return o.check_rules(fired, f.select("visit_id", F.lit("R-view").alias("rule_id")).distinct(), f.where("value > 50").select("visit_id", F.lit("R-error").alias("rule_id")).distinct(), prefixes)
+    return o.check_rules(fired, f.select("visit_id", F.lit("R-view").alias("rule_id")).distinct(), f.where("value > 50").select("visit_id", F.lit("R-error").alias("rule_id")).distinct(), prefixes, f.select("visit_id", F.lit("R-c").alias("prefix")).distinct())
 
 
 @query("join_23", f"with {ITEMS}, b as (select label as name, round(avg(confidence), 6) score from items group by 1), c as (select label as name, round(avg(confidence + ood / 10), 6) score from items group by 1) select name, b.score \"before\", c.score \"after\", round((c.score - b.score) * 100, 4) gain, round((c.score - b.score) * 100, 4) >= 1.5 passes from b join c using (name)")

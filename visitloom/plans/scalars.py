@@ -137,9 +137,10 @@ def map_01(t: Tables) -> DataFrame:
     return counts.select("job_id", F.transform(by_value, lambda e: F.concat(e["k"], F.lit("="), (-e["v"]).cast("string"))).alias("counts"))
 
 
-@query("arr_01", "select doc_id, array_to_string(list_transform(list_filter(list_transform(range(len(w)), lambda i: struct_pack(i := i, x := w[i + 1])), lambda s: list_position(w, s.x) = s.i + 1), lambda s: s.x)[1:20], ' ') firsts, list_contains(w, 'the') has from (select doc_id, string_split(text, ' ')[1:60] w from documents)")
+@query("arr_01", """with w as (select doc_id, string_split(text, ' ') w from documents), e as (select doc_id, unnest(w) x, generate_subscripts(w, 1) i from w), d as (select doc_id, x, min(i) i from e group by 1, 2),
+  f as (select *, row_number() over (partition by doc_id order by i) n from d) select doc_id, string_agg(x, ' ' order by i) filter (where n <= 20) firsts, bool_or(x = 'the') has from f group by 1""")
 def arr_01(t: Tables) -> DataFrame:
-    w = docs(t).select("doc_id", F.slice(F.split("text", " "), 1, 60).alias("w"))
+    w = docs(t).select("doc_id", F.split("text", " ").alias("w"))
     return w.select("doc_id", F.array_join(F.slice(F.array_distinct("w"), 1, 20), " ").alias("firsts"), F.array_contains("w", "the").alias("has"))
 
 
@@ -160,11 +161,12 @@ def qlt_01(t: Tables) -> DataFrame:
     return docs(t).select("doc_id", tx.reasons(("no_speech", i % 10 / 10 > 0.6), ("log_prob", -(i % 7) / 4 < -1), ("compression", i % 4 > 2.4), ("repetition", (F.length("text") >= 20) & (tx.repetition(F.col("text")) >= 0.5))).alias("reasons"))
 
 
-@query("qlt_02", f"""with {ITEMS}, r as (select item_id, list_filter([case when confidence < 0.3 then 'confidence' end, case when is_suspect then 'suspect' end, case when entropy > 0.75 then 'entropy' end], lambda x: x is not null) r, ood from items)
-  select item_id, case when ood > 0.65 and (len(r) > 0 or ood >= 0.75) then list_append(r, 'ood') else r end reasons from r""")
+@query("qlt_02", f"""with {ITEMS}, r as (select item_id, list_filter([case when confidence < 0.3 then 'confidence' end, case when is_suspect then 'suspect' end, case when entropy > 0.75 then 'entropy' end], lambda x: x is not null) r, ood, is_corrected from items)
+  select item_id, case when ood > 0.65 and (len(r) > 0 or (ood + 0.2 >= 0.95 and not is_corrected)) then list_append(r, 'ood') else r end reasons from r""")
 def qlt_02(t: Tables) -> DataFrame:
+    """Being far out is a reason beside others, or alone if extreme and without a trusted mention; here corrected items have one."""
     early = tx.reasons(("confidence", F.col("confidence") < 0.3), ("suspect", F.col("is_suspect")), ("entropy", F.col("entropy") > 0.75))
-    ood = (F.col("ood") > 0.65) & ((F.size("r") > 0) | (F.col("ood") >= 0.75))
+    ood = (F.col("ood") > 0.65) & ((F.size("r") > 0) | ((F.col("ood") + 0.2 >= 0.95) & ~F.col("is_corrected")))
     return items(t).withColumn("r", early).select("item_id", F.when(ood, F.array_append("r", "ood")).otherwise(F.col("r")).alias("reasons"))
 
 

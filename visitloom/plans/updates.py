@@ -131,18 +131,24 @@ def ext_01(t: Tables) -> DataFrame:
     return me.mentions(t.documents.select(F.col("doc_id").alias("id"), "text"), lexicon(t))
 
 
-HIT = "h as (select doc_id id, text, strpos(lower(text), ' edly') as p from documents where strpos(lower(text), ' edly') > 0)"
+HIT = """h as (select doc_id id, text, unnest(list_transform(range(1, len(s)), lambda k: list_sum(list_transform(s[1:k], lambda x: length(x))) + 5 * (k - 1) + 1))::bigint as p
+    from (select doc_id, text, string_split(lower(text), ' edly') s from documents))"""
 
 
 def _spans(t: Tables) -> DataFrame:
-    at = F.instr(F.lower("text"), " edly")
-    return t.documents.select(F.col("doc_id").alias("id"), "text", at.alias("begin")).where("begin > 0").withColumn("end", F.col("begin") + 4).withColumn("code", F.lit("E"))
+    """Every place of a term in every text."""
+    between = F.transform(F.split(F.lower("text"), " edly"), F.length)
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all"))
+    # Of each stretch between two places, where it ends; the last stretch ends with the text.
+    ends = F.aggregate(between, start, lambda a, n: F.struct((a["at"] + n + 5).alias("at"), F.array_append(a["all"], a["at"] + n).alias("all")), lambda a: a["all"])
+    places = F.slice(ends, F.lit(1), F.size(ends) - 1)
+    return t.documents.select(F.col("doc_id").alias("id"), "text", F.explode(places).alias("begin")).withColumn("end", F.col("begin") + 4).withColumn("code", F.lit("E"))
 
 
 @query("ext_02", f"with {HIT} select id, p::int \"begin\", p::int + 4 \"end\", 'E' code from h where not contains(lower(substr(text, greatest(p + 1 - 18, 1)::bigint, 4 + 36)), 'the')")
 def ext_02(t: Tables) -> DataFrame:
     rows = _spans(t)
-    return me.veto(rows.drop("text"), rows.select("id", "text"), "E", ["the"])
+    return me.veto(rows.drop("text"), t.documents.select(F.col("doc_id").alias("id"), "text"), "E", ["the"])
 
 
 @query("ext_03", f"""with {HIT}, m as (select *, regexp_replace(text, '(\\d)[.,](\\d)', '\\10\\2', 'g') x from h), s as (select *, reverse(substr(x, 1, p)) hd, substr(x, p + 5) tl from m)

@@ -9,6 +9,7 @@ from visitloom.operators import aggregates as ag
 from visitloom.operators import linkage as li
 from visitloom.operators import vectors as o
 from visitloom.plans.joins import MEANS, class_means, vectors
+from visitloom.plans.files import scratch
 from visitloom.plans.registry import Tables, query
 
 LOGITS = f"""{MEANS}, g as (select vec_id id, e.label gold, list(round(-list_sum(list_transform(list_zip(embedding::double[], p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) order by c.label) x from embeddings e, c group by vec_id, e.label),
@@ -46,10 +47,12 @@ def agg_11(t: Tables) -> DataFrame:
 
 @query("agg_12")
 def agg_12(t: Tables) -> DataFrame:
-    return o.calibrate(o.logits(vectors(t), class_means(t)), steps=24)
+    path = scratch(t, "logits")
+    o.logits(vectors(t), class_means(t)).write.parquet(path)
+    return o.calibrate(t.spark.read.parquet(path))
 
 
-@query("agg_13", f"""with {LOGITS}, k as (select round(conf, 3) cut, count(*) k, sum(hit::int) h from pred group by 1), s as (select cut, sum(k) over (order by cut desc) n, sum(h) over (order by cut desc) g, sum(k) over () a from k)
+@query("agg_13", f"""with {LOGITS}, k as (select floor(conf * 1000) / 1000 cut, count(*) k, sum(hit::int) h from pred group by 1), s as (select cut, sum(k) over (order by cut desc) n, sum(h) over (order by cut desc) g, sum(k) over () a from k)
   select max(cut) threshold from s where g >= 0.9 * n and n >= 0.3 * a""")
 def agg_13(t: Tables) -> DataFrame:
     return ag.threshold_for_precision(_pred(t))
@@ -85,12 +88,13 @@ def agg_16(t: Tables) -> DataFrame:
     return o.distance_quantiles(o.class_distance(vectors(t), o.class_stats(vectors(t))))
 
 
-@query("agg_17", """with s as (select vec_id id, unnest(range(4)) pass, embedding::double[] e from embeddings), q as (select id, pass, unnest(range(5))::int class, e from s), p as (select id, pass, class, round(abs(e[pass * 5 + class + 1]), 6) p from q),
+@query("agg_17", """with s as (select vec_id id, unnest(range(4)) pass, embedding::double[] e from embeddings), q as (select id, pass, unnest(range(len(e) // 4))::int class, e from s), p as (select id, pass, class, round(abs(e[pass * (len(e) // 4) + class + 1]), 6) p from q),
   v as (select id, class, var_pop(p) v, avg(p) m from p group by 1, 2), a as (select id, round(avg(v), 8) variance, round(max(m), 8) confidence from v group by 1), w as (select id, pass, arg_max(class, (p, -class)) vote from p group by 1, 2), k as (select id, vote, count(*) k from w group by 1, 2)
   select id, variance, confidence, round(1 - max(k) / sum(k), 6) disagreement from a join k using (id) group by 1, 2, 3""")
 def agg_17(t: Tables) -> DataFrame:
-    long = t.embeddings.select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 20)).alias("i", "x"))
-    return o.mc_stats(long.select("id", F.floor(F.col("i") / 5).alias("pass"), (F.col("i") % 5).alias("class"), F.round(F.abs(F.col("x").cast("double")), 6).alias("p")))
+    """A vector's components as four passes over as many classes as a quarter of them."""
+    long = t.embeddings.select(F.col("vec_id").alias("id"), F.floor(F.size("embedding") / 4).cast("int").alias("w"), F.posexplode("embedding").alias("i", "x"))
+    return o.mc_stats(long.select("id", F.floor(F.col("i") / F.col("w")).alias("pass"), (F.col("i") % F.col("w")).alias("class"), F.round(F.abs(F.col("x").cast("double")), 6).alias("p")))
 
 
 def _clusters(t: Tables) -> DataFrame:
@@ -124,12 +128,16 @@ def mth_06(t: Tables) -> DataFrame:
 
 @query("vec_01")
 def vec_01(t: Tables) -> DataFrame:
-    return o.char_tfidf(t.benchmark.select(F.col("item_id").alias("id"), "text"), most=8, vocabulary=512).select("id", F.size("v").alias("n"))
+    return o.char_tfidf(t.documents.select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("vec_02")
 def vec_02(t: Tables) -> DataFrame:
-    return o.cluster_label(vectors(t).where("label = 1"), 4)
+    every = None
+    for r in vectors(t).select("label").where("label is not null").distinct().orderBy("label").collect():  # a row per class
+        one = o.cluster_label(vectors(t).where(F.col("label") == r["label"]), 4).select("id", F.lit(r["label"]).alias("label"), "cluster")
+        every = one if every is None else every.unionByName(one)
+    return every
 
 
 @query("vec_03", f"""with {STATS}, m as (select id, label, round(min(g) filter (where c <> 9), 6) g from ds group by 1, 2), g as (select g, count(*) filter (where label = 9) p, count(*) filter (where label <> 9) n from m group by 1),
