@@ -126,7 +126,7 @@ def test_mined_phrases(spark):
     rows = [(i, "pain of the back pain of the back") for i in range(3)] + [(9, "of the of"), (10, "sore throat"), (11, "sore throat"), (12, "sore throat sore")]
     known = spark.createDataFrame([("Sore throat",)], "phrase string")
     got = {(r.phrase, r.n) for r in aggregates.mine_phrases(spark.createDataFrame(rows, "id long, text string"), ["of", "the"], 3, 50, known).collect()}
-    assert got == {("pain of the back", 6), ("back pain of the", 3), ("the back pain of", 3)} | {(p, n) for p, n in got if p == "of the back pain"}
+    assert got == {("pain of the back", 6), ("back pain of the", 3), ("of the back pain", 3)}
 
 
 def test_rule_check_names_every_problem(spark):
