@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitloom.llm import language, mixing, near_duplicates, packing, toxicity
-from visitloom.llm.common import stored, table
+from visitloom.llm.common import noted, removed, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -66,13 +68,35 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", not_toxic), ("language", known_language), ("near_duplicates", distinct), ("mixing", mixed), ("packing", packed)]
+_left: list[str] = []
+
+
+def _alone(stage):
+    """The stage, once the tables that the stage before stored on its way are deleted: its result has been written."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        removed(spark, _left)
+        with noted(_left):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+#: Each stage's result must be written before the next one is called.
+STAGES = [("toxicity", _alone(not_toxic)), ("language", _alone(known_language)), ("near_duplicates", _alone(distinct)), ("mixing", _alone(mixed)), ("packing", _alone(packed))]
 #: SQL can't express what the models of the first stages learn; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table(sf_dir, "documents"))
+    before: list[str] = []
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        now: list[str] = []
+        result = stage(spark, docs, sf_dir)
+        with noted(now):
+            docs = stored(result)
+        removed(spark, before)
+        before = now
     return STAGES[-1][1](spark, docs, sf_dir)

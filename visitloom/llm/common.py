@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,10 +34,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Lists that stored tables' folders are noted in.
+_noting: list[list[str]] = []
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Notes in paths the folders of the tables that are stored meanwhile."""
+    _noting.append(paths)
+    try:
+        yield
+    finally:
+        _noting.pop()
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables that nothing will read again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: work done once, and safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    if _noting:
+        _noting[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
