@@ -324,9 +324,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT, c
         again = meet.join(salted(heads), ["band", "salt"]).where(F.col("component") != F.col("ca")).select("a", F.col("node").alias("b")).distinct()
         more = confirmed(again.join(sides[0], "a").join(sides[1], "b").where(likely))
         links = cut(links.union(more))
-    weighed = meet.join(sets.select("node", "signature", "brief"), "node")
     sized = meet.join(sets.select("node", F.size("brief").alias("n")), "node").groupBy("band").agg(F.greatest(F.ceil(F.count("*") / SQUARE), F.ceil(F.sum("n") / FULL)).cast("int").alias("parts"), F.max("salts").alias("salts"))
-    dealt = weighed.join(salted(sized), ["band", "salt"]).withColumn("part", F.pmod(F.hash("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Parts are found on narrow rows; sets come to them afterwards, and are shuffled once more, to their cells.
+    placed = meet.select("band", "salt", "node", "component").join(salted(sized), ["band", "salt"]).withColumn("part", F.pmod(F.hash("node"), F.col("parts"))).drop("salt")
+    dealt = placed.join(sets.select("node", "signature", "brief"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     row = F.struct((F.col("part") > F.col("other")).cast("int").alias("side"), "node", "component", "signature", "brief")
     cells = dealt.groupBy("band", F.least("part", "other"), F.greatest("part", "other")).agg(F.collect_list(row).alias("rows")).select("rows")
     found = cut(cells.mapInArrow(_meetings(per_cent), "a long, b long").distinct())
