@@ -28,12 +28,6 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small table that a loop carries on."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 #: Lists that stored tables' folders are noted in.
 _noting: list[list[str]] = []
 
@@ -60,12 +54,18 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: work done once, and safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    if _noting:
-        _noting[-1].append(path)
+    for paths in _noting:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small table that a loop carries on. Files of many small parts are read by few tasks, and
+    their size lets joins broadcast them, which parts of a checkpoint don't."""
+    return stored(df)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """Whether a document is kept from learning; without an id it is."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

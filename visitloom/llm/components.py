@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import cut
+from visitloom.llm.common import cut, noted, removed
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,9 +13,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links a node's larger neighbours, then its smaller ones, to the smallest around it; rounds double the
     reach, and their number grows with the logarithm of the longest path. Nothing is collected but one count and sum a
-    round. A node with many neighbours is aggregated map-side before the shuffle.
+    round, and each round's table is deleted once the next one is written. A node with many neighbours is aggregated map-side before the shuffle.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    old: list[str] = []
+    with noted(old):
+        now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = now.union(now.select("v", "u"))
@@ -24,7 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         linked = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(linked)
+        new: list[str] = []
+        with noted(new):
+            now = cut(linked)
+        removed(edges.sparkSession, old)
+        old = new
         state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -256,6 +256,13 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     return raw.withColumn("part", part).join(F.broadcast(ahead), "part").withColumn("node", inside + F.col("ahead")).drop("part", "at", "ahead")
 
 
+def _wider(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) once more links (a, b) join them."""
+    if links.isEmpty():
+        return joined
+    return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, group_id.
 
@@ -307,11 +314,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT, c
     sides = [signed.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"]
     likely = (F.col("na") * 100 >= per_cent * F.col("nb")) & (F.col("nb") * 100 >= per_cent * F.col("na")) & (estimate("sa", "sb") >= per_cent / 100 - MARGIN)
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(stars.join(sides[0], "a").join(sides[1], "b").where(likely))
+    # A component's nodes, linked with its smallest, stand for the links that they were found by.
+    joined = components(confirmed(stars.join(sides[0], "a").join(sides[1], "b").where(likely)))
     turn, before = 0, float("inf")
     while True:
         # Buckets in which several components meet; a component's nodes needn't meet each other again.
-        placed = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("salts").alias("salts")).where("low < high").select("band", "salts")
         meet = cut(placed.join(salted(mixed), ["band", "salt"]))
         each = meet.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
@@ -322,8 +330,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT, c
         first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")
         heads = meet.groupBy("band").agg(F.min(first).alias("f"), F.max("salts").alias("salts")).select("band", "salts", F.col("f.node").alias("a"), F.col("f.component").alias("ca"))
         again = meet.join(salted(heads), ["band", "salt"]).where(F.col("component") != F.col("ca")).select("a", F.col("node").alias("b")).distinct()
-        more = confirmed(again.join(sides[0], "a").join(sides[1], "b").where(likely))
-        links = cut(links.union(more))
+        joined = _wider(joined, confirmed(again.join(sides[0], "a").join(sides[1], "b").where(likely)))
     sized = meet.join(sets.select("node", F.size("brief").alias("n")), "node").groupBy("band").agg(F.greatest(F.ceil(F.count("*") / SQUARE), F.ceil(F.sum("n") / FULL)).cast("int").alias("parts"), F.max("salts").alias("salts"))
     # Parts are found on narrow rows; sets come to them afterwards, and are shuffled once more, to their cells.
     placed = meet.select("band", "salt", "node", "component").join(salted(sized), ["band", "salt"]).withColumn("part", F.pmod(F.hash("node"), F.col("parts"))).drop("salt")
@@ -331,8 +338,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = PER_CENT, c
     row = F.struct((F.col("part") > F.col("other")).cast("int").alias("side"), "node", "component", "signature", "brief")
     cells = dealt.groupBy("band", F.least("part", "other"), F.greatest("part", "other")).agg(F.collect_list(row).alias("rows")).select("rows")
     found = cut(cells.mapInArrow(_meetings(per_cent), "a long, b long").distinct())
-    more = confirmed(found)
-    final = components(links.union(more))
+    final = _wider(joined, confirmed(found))
     of_node = nodes.select("key", "key2", "node", "doc").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = of_node.groupBy("component").agg(F.min("doc").alias("component_id"))
     of_key = of_node.join(ids, "component").select("key", "key2", "component_id", F.col("component").alias("group_id"))
