@@ -146,3 +146,22 @@ def test_directions_of_tfidf_keep_the_similarities(spark):
     v = np.array([r.v for r in vectors.char_tfidf(rows, most=12, vocabulary=256).orderBy("id").collect()])
     full = np.array([r.v for r in vectors.char_tfidf(rows, most=200, vocabulary=256).orderBy("id").collect()])
     assert v.shape == (15, 12) and np.allclose(v @ v.T, full @ full.T, atol=1e-6)
+
+
+def test_nearest_over_many_parts(spark):
+    import numpy as np
+
+    from visitloom.operators import linkage
+
+    m = np.random.default_rng(3).integers(-4, 5, (40, 5)).astype(float)
+    m[7] = m[3]
+    m[:, 0] += 9
+    rows = [(i, v.tolist()) for i, v in enumerate(m)]
+    table = spark.createDataFrame([*rows, (99, None), (None, rows[0][1])], "id long, v array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -9)
+    want = {i: int(k) for i, k in enumerate(s.argmax(1))}
+    for block in (6, 100):
+        assert {r.id: r.neighbour for r in linkage.nearest(table, block).collect()} == want
+    assert linkage.nearest(table.limit(0)).count() == 0

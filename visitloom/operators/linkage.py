@@ -83,40 +83,49 @@ def apply_decisions(rows: DataFrame, merges: DataFrame, decisions: DataFrame) ->
     return final.withColumn("nth", first).where("nth = 1").select("id", "text", F.col("final").alias("label"))
 
 
-def nearest(vectors: DataFrame, parts: int = 16) -> DataFrame:
+def nearest(vectors: DataFrame, block: int = 2048) -> DataFrame:
     """The nearest other vector by cosine, ties to the smaller id: exact, in blocks.
 
-    vectors: id, v. Unit vectors are dealt to parts; each part is one row of vectors, and parts meet pair by pair, so a
-    task holds two parts. parts grows with the table.
+    vectors: id, v; rows with a null id or v take no part. Unit vectors are dealt to parts of about block vectors, each
+    packed into one row, and two parts meet once for both sides; so a task holds two parts, and the number of parts
+    grows with the table.
     """
-    unit = vectors.select("id", l2(F.col("v")).alias("v")).withColumn("part", F.pmod(F.hash("id"), F.lit(parts)))
-    blocks = unit.groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    dealt = unit.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = dealt.join(blocks.select(F.col("part").alias("other"), "rows"), "other")
-    return _best_of_blocks(met)
+    unit = vectors.where("id is not null and v is not null").select("id", l2(F.col("v")).alias("v"))
+    parts = max(1, -(-unit.count() // block))
+    blocks = unit.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.col("part"), F.lit(parts - 1))))
+    met = dealt.join(blocks.select(F.col("part").alias("other"), F.col("rows").alias("others")), "other")
+    # A row for each meeting: they are spread over tasks, not packed into as few as their bytes fill.
+    found = met.repartition(min(parts * (parts + 1) // 2, 4 * vectors.sparkSession.sparkContext.defaultParallelism), "part", "other").select("part", "other", "rows", "others").mapInArrow(_best_of_blocks, "id long, neighbour long, cosine double")
+    best = F.max_by(F.struct("neighbour", "cosine"), F.struct("cosine", (-F.col("neighbour")).alias("first")))
+    return found.groupBy("id").agg(best.alias("b")).select("id", "b.neighbour", "b.cosine")
 
 
-def _best_of_blocks(met: DataFrame) -> DataFrame:
+def _best_of_blocks(batches):
+    """Of meetings (part, other, rows, others): the best in the other part for each row of both."""
     import numpy as np
-    import pandas as pd
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for rows, part in f.groupby("other"):
-                block = part["rows"].iloc[0]
-                ids = np.array([r["id"] for r in block])
-                order = np.argsort(ids)
-                ids, m = ids[order], np.array([r["v"] for r in block], float)[order]
-                s = np.round(np.stack(part["v"].to_list()) @ m.T, 9)
-                s[part["id"].to_numpy()[:, None] == ids[None, :]] = -9
-                k = s.argmax(1)
-                out.append(pd.DataFrame({"id": part["id"].to_numpy(), "neighbour": ids[k], "cosine": s[np.arange(len(k)), k]}))
-            yield pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "cosine": []})
-
-    found = met.mapInPandas(run, "id long, neighbour long, cosine double").where("cosine > -9")
-    best = F.max_by(F.struct("neighbour", "cosine"), F.struct("cosine", (-F.col("neighbour")).alias("first")))
-    return found.groupBy("id").agg(best.alias("b")).select("id", "b.neighbour", "b.cosine")
+    import pyarrow as pa
+
+    def side(column, k):
+        ids, v = column.slice(k, 1).flatten().flatten()
+        ids = ids.to_numpy()
+        order = np.argsort(ids)
+        return ids[order], v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+
+    def rows(ids, others, scores):
+        k = scores.argmax(1)
+        best = scores[np.arange(len(k)), k]
+        some = best > -9
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(others[k][some]), pa.array(best[some])], ["id", "neighbour", "cosine"])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            (a, left), (b, right) = side(batch.column(2), k), side(batch.column(3), k)
+            scores = np.round(left @ right.T, 9)
+            scores[a[:, None] == b[None, :]] = -9
+            yield rows(a, b, scores)
+            if batch.column(0)[k] != batch.column(1)[k]:
+                yield rows(b, a, scores.T)
 
 
 def neighbours(seed: DataFrame, candidates: DataFrame, n: int) -> DataFrame:

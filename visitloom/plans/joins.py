@@ -166,7 +166,7 @@ def vectors(t: Tables) -> DataFrame:
   select id, arg_max(n, (c, -n)) neighbour, max(c) cosine from p group by 1""")
 def join_17(t: Tables) -> DataFrame:
     rows = vectors(t)
-    return o.nearest(rows, max(4, -(-rows.count() // 4096)))
+    return o.nearest(rows)
 
 
 @query("join_18", "with e as (select vec_id id, embedding::double[] v from embeddings), s as (select * from e where id = 0) select s.id seed_id, e.id, round(list_cosine_similarity(s.v, e.v), 6) cosine from e, s where e.id <> 0 order by cosine desc, e.id limit 25")

@@ -115,7 +115,7 @@ def agg_25(t: Tables) -> DataFrame:
   select round(avg((l = o)::int), 6) purity, case when round(avg((l = o)::int), 6) >= 0.8 then 'separable' when round(avg((l = o)::int), 6) >= 0.6 then 'weak' else 'not separable' end band from n""")
 def agg_45(t: Tables) -> DataFrame:
     rows = vectors(t).where("label in (1, 2)")
-    near = li.nearest(rows, max(4, -(-rows.count() // 4096)))
+    near = li.nearest(rows)
     own = rows.select("id", "label")
     joined = near.join(own, "id").join(own.select(F.col("id").alias("neighbour"), F.col("label").alias("other")), "neighbour")
     return o.separability(joined, 1, 2)
