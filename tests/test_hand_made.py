@@ -66,7 +66,7 @@ def test_split_sizes(spark):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("no sign of fever today", "absent"), ("if there is fever call", "hypothetical"), ("my mother had fever", "family"), ("there was pain, fever now", "present"), ("she had fever", "historical"), ("we will check fever", "planned"), ("fever", "present"), ("temperature 38.5 fever, not cough", "present")],
+    [("no sign of fever today", "absent"), ("if there is fever call", "hypothetical"), ("my mother had fever", "family"), ("there was pain, fever now", "present"), ("she had fever", "historical"), ("we will check fever", "planned"), ("fever", "present"), ("temperature 38.5 fever, not cough", "present"), ("fever denied by all", "absent"), ("fever mild, cough denied", "present"), ("no doubt fever", "present"), ("a lack of fever", "absent"), ("a lack of any fever", "present"), ("no cough but fever", "present"), ("fever if at all", "present"), ("\u00d1o fever", "present"), ("n\u00f3 fever", "present"), ("no\u0301 fever", "absent"), ("no " + "x" * 40 + " fever", "present")],
 )
 def test_assertion(spark, text, want):
     at = text.index("fever")
@@ -74,6 +74,23 @@ def test_assertion(spark, text, want):
     assert row.select(mentions.assertion(F.col("text"), F.col("b"), F.col("e"))).first()[0] == want
 
 
+def test_affirmed_mentions(spark):
+    rows = [(1, "no fever", 3, 8), (1, "no fever. fever", 10, 15), (2, "no fever", 3, 8)]
+    got = {(r.id, r.found, r.affirmed) for r in mentions.find_affirmed(spark.createDataFrame(rows, "id long, text string, begin int, end int")).collect()}
+    assert got == {(1, 2, True), (2, 1, False)}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("iron high today", ("high", None)), ("iron not high, 9", (None, None)), ("iron 9,5 low", ("low", 9.5)), ("iron normal but pressure high", ("normal", None)), ("no trouble at all, iron low", ("low", None)), ("iron " + "x" * 40 + " high 7", (None, None)), ("high iron low 3 4", ("high", 3.0)), ("iron", (None, None))],
+)
+def test_lab_values(spark, text, want):
+    at = text.index("iron")
+    row = spark.createDataFrame([(text, at, at + 4)], "text string, begin int, end int")
+    got = mentions.lab_values(row, {"high": ["high"], "low": ["low"], "normal": ["normal"]}).first()
+    assert (got.qualifier, got.value) == want
+
+
 def test_review_queue(spark):
     rows = [("a", 1, 0.1, 0.95, False), ("b", 1, 0.2, 0.9, False), ("c", 1, 0.9, 0.4, False), ("d", 1, None, 0.1, False), ("e", 1, 1.0, 0.1, True)]
     got = filters.review_queue(spark.createDataFrame(rows, "item_id string, job_id long, review_priority double, confidence double, is_corrected boolean"), 10)

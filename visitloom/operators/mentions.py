@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# What ends a clause, and cues of each assertion, in small letters.
-TERMINATORS = [".", ",", ";", ":", "!", "?", "\n"]
-CUES = {"family": ["mother", "sister"], "hypothetical": ["if", "unless"], "absent": ["no", "not", "without"], "historical": ["was", "had"], "planned": ["will", "plan"]}
+# What ends a clause, and cues of each assertion, in small letters. Absent ones stand somewhere before a
+# mention, nominal ones right before it, denied ones right after it; pseudo ones hold such a word and deny nothing.
+TERMINATORS = [".", ",", ";", ":", "!", "?", "\n", " but ", " however ", " although ", " whereas ", " except ", " yet "]
+CUES = {
+    "family": ["mother", "sister"],
+    "hypothetical": ["if", "unless", "in case"],
+    "absent": ["no", "not", "without", "denies"],
+    "nominal": ["lack of", "absence of", "free of"],
+    "denied": ["absent", "denied", "ruled out", "not seen"],
+    "pseudo": ["no doubt", "not only", "no wonder"],
+    "historical": ["was", "had", "previously"],
+    "planned": ["will", "plan"],
+}
+#: Characters before and after a mention in which it can be denied, around one in which its value stands, and before a
+#: value's word in which that can be denied.
+BACK, ON, AROUND, LOCAL = 40, 25, 30, 12
 
 
 def find_terms(texts: DataFrame, lexicon: DataFrame, most_words: int = 3) -> DataFrame:
@@ -53,26 +69,78 @@ def clause(text: Column, begin: Column, end: Column, terminators: list[str] = TE
     A full stop or comma between digits ends nothing.
     """
     masked = F.regexp_replace(text, r"(?<=\d)[.,](?=\d)", "0")
-    head, tail = F.reverse(F.substring(masked, F.lit(1), begin)), F.substring(masked, end + 1, F.length(text))
-    left = F.array_min(F.array(*[F.when(F.locate(t, head) > 0, F.locate(t, head) - 1).otherwise(F.length(head)) for t in terminators]))
-    right = F.array_min(F.array(*[F.when(F.locate(t, tail) > 0, F.locate(t, tail) - 1).otherwise(F.length(tail)) for t in terminators]))
-    return begin - left, end + right
+    ends = "|".join(rf"\Q{t}\E" for t in terminators)
+    left = F.regexp_extract(F.substring(masked, F.lit(1), begin), rf"(?is)^.*(?:{ends})", 0)
+    right = F.regexp_extract(F.substring(masked, end + 1, F.length(text)), rf"(?is)^(.*?)(?:{ends}|\z)", 1)
+    return F.length(left), end + F.length(right)
+
+
+def _plain(text: Column) -> Column:
+    """Small letters without marks, between spaces."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"\p{Mn}", ""), F.lit(" "))
+
+
+def _said(before: Column, near: Column, after: Column, whole: Column, cues: dict[str, list[str]]) -> Column:
+    """The assertion that the words around a mention make; whole is its clause, which starts with before."""
+
+    def any_of(kind: str, test) -> Column:
+        return reduce(or_, (test(w) for w in cues.get(kind, [])), F.lit(False))
+
+    def holds(where: Column, kind: str) -> Column:
+        return any_of(kind, lambda w: F.contains(where, F.lit(f" {w} ")))
+
+    before, near, after, whole = map(_plain, (before, near, after, whole))
+    opened = any_of("hypothetical", lambda w: F.locate(f" {w} ", whole).between(1, F.length(before) - 1))
+    right_before = any_of("nominal", lambda w: F.endswith(F.rtrim(near), F.lit(f" {w}")))
+    right_after = any_of("denied", lambda w: F.startswith(F.ltrim(after), F.lit(f"{w} ")))
+    absent = ~holds(near, "pseudo") & (holds(near, "absent") | right_before | right_after)
+    return F.when(holds(before, "family"), "family").when(opened, "hypothetical").when(absent, "absent").when(holds(whole, "historical"), "historical").when(holds(before, "planned"), "planned").otherwise("present")
 
 
 def assertion(text: Column, begin: Column, end: Column, cues: dict[str, list[str]] = CUES) -> Column:
     """family, hypothetical, absent, historical, planned or present, the first that a cue of the span's clause tells.
 
-    Cues of absence count in the 40 characters before the span, historical ones anywhere in its clause, others before it.
+    Family and planned cues stand before the span, hypothetical ones start no later than it, historical ones stand
+    anywhere in its clause. A span is absent if a cue of absence stands in the BACK characters before it or a nominal one
+    right before it, or the ON characters after it begin with one of denial, unless a pseudo cue stands in those before.
+    Cues are whole words, without regard to case and marks; kinds that cues lacks tell nothing.
     """
     start, stop = clause(text, begin, end)
-    before = F.concat(F.lit(" "), F.lower(F.substring(text, start + 1, begin - start)), F.lit(" "))
-    near = F.concat(F.lit(" "), F.lower(F.substring(text, F.greatest(start, begin - 40) + 1, begin - F.greatest(start, begin - 40))), F.lit(" "))
-    whole = F.concat(F.lit(" "), F.lower(F.substring(text, start + 1, stop - start)), F.lit(" "))
+    back = F.greatest(start, begin - BACK)
+    return _said(F.substring(text, start + 1, begin - start), F.substring(text, back + 1, begin - back), F.substring(text, end + 1, F.least(stop - end, F.lit(ON))), F.substring(text, start + 1, stop - start), cues)
+
+
+def find_affirmed(spans: DataFrame, cues: dict[str, list[str]] = CUES) -> DataFrame:
+    """id, found (mentions of a text), affirmed (whether one is present) of spans (id, text, begin, end)."""
+    said = spans.select("id", assertion(F.col("text"), F.col("begin"), F.col("end"), cues).alias("said"))
+    return said.groupBy("id").agg(F.count("*").alias("found"), F.bool_or(F.col("said") == "present").alias("affirmed"))
 
-    def any_of(where: Column, kind: str) -> Column:
-        return F.exists(F.array(*map(F.lit, cues[kind])), lambda w: F.contains(where, F.concat(F.lit(" "), w, F.lit(" "))))
 
-    return F.when(any_of(before, "family"), "family").when(any_of(before, "hypothetical"), "hypothetical").when(any_of(near, "absent"), "absent").when(any_of(whole, "historical"), "historical").when(any_of(before, "planned"), "planned").otherwise("present")
+def lab_values(spans: DataFrame, levels: dict[str, list[str]], cues: dict[str, list[str]] = CUES) -> DataFrame:
+    """spans (text, begin, end) with qualifier and value, null where the text gives none.
+
+    Both stand within AROUND characters of the span and within its clause. qualifier: the first of levels one of whose
+    words is there and isn't denied, hypothetical or the like by what stands in the LOCAL characters before it. value:
+    the first number after the span.
+    """
+    text, begin, end = F.col("text"), F.col("begin"), F.col("end")
+    start, stop = clause(text, begin, end)
+    own = spans.withColumn("_start", start).withColumn("_from", F.greatest(start, begin - AROUND)).withColumn("_to", F.least(stop, end + AROUND))
+    own = own.withColumn("_near", F.lower(F.substring(text, F.col("_from") + 1, F.col("_to") - F.col("_from"))))
+
+    def stands(word: str) -> Column:
+        def affirmed(i: Column) -> Column:
+            at = F.col("_from") + i
+            back = F.greatest(F.col("_start"), at - LOCAL)
+            before = F.substring(text, back + 1, at - back)
+            return (F.substring("_near", i + 1, F.lit(len(word))) == word) & (_said(before, before, F.lit(""), F.concat(before, F.lit(word)), cues) == "present")
+
+        return F.contains("_near", F.lit(word)) & F.exists(F.sequence(F.lit(0), F.length("_near")), affirmed)
+
+    level = F.coalesce(*[F.when(reduce(or_, map(stands, words)), name) for name, words in levels.items()])
+    number = F.regexp_extract(F.substring(text, end + 1, F.col("_to") - end), r"(\d+(?:[.,]\d+)?)", 1)
+    value = F.nullif(F.replace(number, F.lit(","), F.lit(".")), F.lit("")).cast("double")
+    return own.withColumn("qualifier", level).withColumn("value", value).drop("_start", "_from", "_to", "_near")
 
 
 def readings(texts: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:

@@ -151,23 +151,46 @@ def ext_02(t: Tables) -> DataFrame:
     return me.veto(rows.drop("text"), t.documents.select(F.col("doc_id").alias("id"), "text"), "E", ["the"])
 
 
-@query("ext_03", f"""with {HIT}, m as (select *, regexp_replace(text, '(\\d)[.,](\\d)', '\\10\\2', 'g') x from h), s as (select *, reverse(substr(x, 1, p)) hd, substr(x, p + 5) tl from m)
-  select id, (p - coalesce(list_min(list_filter([strpos(hd, '.'), strpos(hd, ','), strpos(hd, ';'), strpos(hd, ':'), strpos(hd, '!'), strpos(hd, '?'), strpos(hd, chr(10))], lambda z: z > 0)) - 1, length(hd)))::int start,
-    (p + 4 + coalesce(list_min(list_filter([strpos(tl, '.'), strpos(tl, ','), strpos(tl, ';'), strpos(tl, ':'), strpos(tl, '!'), strpos(tl, '?'), strpos(tl, chr(10))], lambda z: z > 0)) - 1, length(tl)))::int stop from s""")
+ENDS = "[.,;:!?\\n]| but | however | although | whereas | except | yet "
+CLAUSE = f"""{HIT}, m as (select *, regexp_replace(text, '(\\d)[.,](\\d)', '\\10\\2', 'g') x from h),
+  b as (select *, length(regexp_extract(substr(x, 1, p), '(?is)^.*(?:{ENDS})')) st, p + 4 + length(regexp_extract(substr(x, p + 5), '(?is)^(.*?)(?:{ENDS}|$)', 1)) en from m)"""
+
+
+@query("ext_03", f"with {CLAUSE} select id, st::int start, en::int stop from b")
 def ext_03(t: Tables) -> DataFrame:
     start, stop = me.clause(F.col("text"), F.col("begin"), F.col("end"))
     return _spans(t).select("id", start.alias("start"), stop.alias("stop"))
 
 
-@query("ext_04")
+#: Cues among the words that the texts hold.
+SAYS = {"family": ["that"], "hypothetical": ["if", "si", "with"], "absent": ["not", "no", "pas", "nicht", "is"], "nominal": ["of"], "denied": ["and"], "pseudo": ["is the"], "historical": ["was", "to"], "planned": ["for"]}
+
+
+def _said_sql(before: str, near: str, after: str, whole: str) -> str:
+    before, near, after, whole = (f"(' ' || regexp_replace(lower({x}), '\\p{{Mn}}', '', 'g') || ' ')" for x in (before, near, after, whole))
+
+    def any_of(kind: str, test: str) -> str:
+        return "(" + " or ".join(test.format(w=w) for w in SAYS[kind]) + ")"
+
+    opened = any_of("hypothetical", f"strpos({whole}, ' {{w}} ') between 1 and length({before}) - 1".replace("{Mn}", "{{Mn}}"))
+    told = {kind: any_of(kind, f"contains({where}, ' {{w}} ')".replace("{Mn}", "{{Mn}}")) for kind, where in (("family", before), ("pseudo", near), ("absent", near), ("historical", whole), ("planned", before))}
+    nominal = any_of("nominal", f"suffix(rtrim({near}), ' {{w}}')".replace("{Mn}", "{{Mn}}"))
+    denied = any_of("denied", f"prefix(ltrim({after}), '{{w}} ')".replace("{Mn}", "{{Mn}}"))
+    return f"case when {told['family']} then 'family' when {opened} then 'hypothetical' when not {told['pseudo']} and ({told['absent']} or {nominal} or {denied}) then 'absent' when {told['historical']} then 'historical' when {told['planned']} then 'planned' else 'present' end"
+
+
+SAID = f"""{CLAUSE}, c as (select id, substr(text, st + 1, p - st) bf, substr(text, greatest(st, p - 40) + 1, p - greatest(st, p - 40)) nr, substr(text, p + 5, least(en - p - 4, 25)) af, substr(text, st + 1, en - st) wh from b),
+  a as (select id, {_said_sql("bf", "nr", "af", "wh")} as assertion from c)"""
+
+
+@query("ext_04", f"with {SAID} select id, assertion from a")
 def ext_04(t: Tables) -> DataFrame:
-    return _spans(t).select("id", me.assertion(F.col("text"), F.col("begin"), F.col("end"), CUES | {"planned": ["for"], "absent": ["not", "no", "pas", "nicht"]}).alias("assertion"))
+    return _spans(t).select("id", me.assertion(F.col("text"), F.col("begin"), F.col("end"), SAYS).alias("assertion"))
 
 
-@query("ext_05")
+@query("ext_05", f"with {SAID} select id, count(*)::bigint found, bool_or(assertion = 'present') affirmed from a group by id")
 def ext_05(t: Tables) -> DataFrame:
-    said = me.assertion(F.col("text"), F.col("begin"), F.col("end"), CUES | {"planned": ["for"], "absent": ["not", "no", "pas", "nicht"]})
-    return _spans(t).groupBy("id").agg(F.count("*").alias("found"), F.bool_or(said == "present").alias("affirmed"))
+    return me.find_affirmed(_spans(t), SAYS)
 
 
 PATTERNS = [("phone", r"\((\d{3})\)", "code"), ("version", r"[Vv]ersion (\d+(?:\.\d+)?)", "v"), ("by", r"BY[-A-Z]* (\d+\.\d+)", "v")]
@@ -185,11 +208,16 @@ def ext_07(t: Tables) -> DataFrame:
     return found.select("id", "nth", me.short_pressure(F.col("value")).alias("value"))
 
 
-@query("ext_08", f"with {HIT} select id, case when contains(lower(substr(text, greatest(p - 29, 1)::bigint, 64)), 'the') then 'high' when contains(lower(substr(text, greatest(p - 29, 1)::bigint, 64)), 'of') then 'low' end qualifier, try_cast(nullif(regexp_extract(substr(text, greatest(p - 29, 1)::bigint, 64), '(\\d+)', 1), '') as double) as value from h")
+def _level_sql(word: str) -> str:
+    at = "substr(text, greatest(st, f + i - 12) + 1, f + i - greatest(st, f + i - 12))"
+    said = _said_sql(at, at, "''", f"{at} || '{word}'")
+    return f"len(list_filter(range(0, length(nr) + 1), lambda i: substr(nr, i + 1, {len(word)}) = '{word}' and {said} = 'present')) > 0"
+
+
+@query("ext_08", f"""with {CLAUSE}, w as (select *, greatest(st, p - 30) f, least(en, p + 34) u from b), v as (select *, lower(substr(text, f + 1, u - f)) nr from w)
+  select id, case when {_level_sql("the")} then 'high' when {_level_sql("in")} then 'low' when {_level_sql("re")} then 'normal' end qualifier, try_cast(replace(nullif(regexp_extract(substr(text, p + 5, u - p - 4), '(\\d+(?:[.,]\\d+)?)', 1), ''), ',', '.') as double) as value from v""")
 def ext_08(t: Tables) -> DataFrame:
-    near = F.substring("text", F.greatest(F.col("begin") - 29, F.lit(1)), F.lit(64))
-    word = F.when(F.lower(near).contains("the"), "high").when(F.lower(near).contains("of"), "low")
-    return _spans(t).select("id", word.alias("qualifier"), F.nullif(F.regexp_extract(near, r"(\d+)", 1), F.lit("")).cast("double").alias("value"))
+    return me.lab_values(_spans(t), {"high": ["the"], "low": ["in"], "normal": ["re"]}, SAYS).select("id", "qualifier", "value")
 
 
 @query("ext_09", "with w as (select distinct doc_id id, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) w from documents) select id, lower(w) name, case when lower(w) in ('that', 'with') then 'medication' else 'unknown_drug' end kind from w group by all")
