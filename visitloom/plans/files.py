@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from visitloom.operators.rules import evaluate
 from visitloom.plans.bindings import ITEMS, SEGMENTS, STATES, items, segments, states
-from visitloom.plans.joins import visit_facts
+from visitloom.plans.joins import OBSERVED, observed, visit_facts
 from visitloom.plans.registry import Tables, query
 from visitloom.plans.updates import _rules
 from visitloom.sources import readers as r
 from visitloom.sources import writers as w
-from visitloom.streaming.state import daily_counts
+from visitloom.streaming.state import OUTPUT, daily_counts, state_changes
 
 
 def scratch(t: Tables, name: str) -> str:
@@ -134,25 +134,26 @@ def sink_03(t: Tables) -> DataFrame:
 
 @query("stm_01", f"with {STATES} select effective_at::date as day, kind, count(*)::bigint n from states group by 1, 2")
 def stm_01(t: Tables) -> DataFrame:
-    """The table as a stream of files, shuffled by arrival; the finished stream has the batch's rows."""
-    path, name = scratch(t, "arrivals"), f"days_{uuid.uuid4().hex}"
+    """The table as a stream of files, shuffled by arrival; the finished stream has the batch's rows. A batch's counts replace those before."""
+    path, out = scratch(t, "arrivals"), scratch(t, "days")
     states(t).withColumn("effective_at", F.col("effective_at").cast("timestamp")).select("effective_at", "kind", "event_id").repartition(4, F.hash("event_id")).write.parquet(path)
     stream = daily_counts(t.spark.readStream.schema("effective_at timestamp, kind string, event_id long").parquet(path))
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(t, "stream")).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("complete").foreachBatch(lambda days, _: days.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch(t, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return t.spark.table(name)
+    return t.spark.read.schema("day date, kind string, n long").parquet(out)
 
 
-@query("stm_02")
+@query("stm_02", f"""with {OBSERVED}, l as (select patient_id, unnest(arg_max({{'status': status, 'expires_at': expires_at}}, (effective_at, status))) from obs group by 1)
+  select patient_id, status, coalesce(epoch_ms(expires_at) < (select epoch_ms(max(effective_at) - interval 40 day) from obs), false) expired from l""")
 def stm_02(t: Tables) -> DataFrame:
-    """State changes as a stream; the last change of each patient is the newest observation."""
-    from visitloom.plans.joins import observed
-    from visitloom.streaming.state import state_changes
-
-    path, name = scratch(t, "observed"), f"states_{uuid.uuid4().hex}"
+    """State changes as a stream, appended to files; a patient's last change is the newest observation, and it has expired
+    if its end lies before the watermark of the finished stream."""
+    path, out = scratch(t, "observed"), scratch(t, "changes")
     rows = observed(t).select("patient_id", "status", F.col("effective_at").cast("timestamp").alias("effective_at"), F.col("expires_at").cast("timestamp").alias("expires_at"))
     rows.write.parquet(path)
     changes = state_changes(t.spark.readStream.schema(rows.schema).parquet(path), "40 days")
-    query = changes.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", scratch(t, "stream")).trigger(availableNow=True).start()
+    query = changes.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", scratch(t, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return t.spark.table(name).where("event = 'changed'").groupBy("patient_id").agg(F.max_by("status", "effective_at").alias("status"))
+    told = t.spark.read.schema(OUTPUT).parquet(out)
+    last = F.max_by("status", F.when(F.col("event") == "changed", F.struct("effective_at", "status")))
+    return told.groupBy("patient_id").agg(last.alias("status"), F.bool_or(F.col("event") == "expired").alias("expired"))

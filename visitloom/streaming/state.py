@@ -22,7 +22,7 @@ def daily_counts(stream: DataFrame, late: str = "40 days") -> DataFrame:
 
 
 def _update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep a patient's newest observation; say when it changes and when it expires."""
+    """Keep a patient's newest observation, of several the one with the greatest status; say when it changes and expires."""
     if state.hasTimedOut:
         status, effective, expires = state.get
         state.remove()
@@ -34,7 +34,7 @@ def _update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> It
         for status, at, until in zip(frame["status"], frame["effective_at"], frame["expires_at"], strict=True):
             at_us = int(pd.Timestamp(at).value // 1000)
             until_us = None if pd.isna(until) else int(pd.Timestamp(until).value // 1000)
-            if best is None or at_us > best[1]:
+            if best is None or (at_us, status) > (best[1], best[0]):
                 best = (status, at_us, until_us)
     if best is not None and best != old:
         state.update(best)
