@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from visitloom.functions import text
 from visitloom.operators import aggregates, discourse, filters, linkage, mentions, rules, states, updates, vectors
 
 T0 = datetime(2024, 1, 1)
@@ -91,6 +92,49 @@ def test_lab_values(spark, text, want):
     assert (got.qualifier, got.value) == want
 
 
+@pytest.mark.parametrize(
+    ("raw", "candidate", "want", "status"),
+    [
+        ("she takes 5 mg of iron", "she takes 5 mg of iron daily", [], "accepted"),
+        ("she takes 5 mg of iron", "she takes 5 mg of iron", [], "unchanged"),
+        ("she takes 5 mg of iron", None, None, "failed"),
+        ("short", "other", None, "not_eligible"),
+        ("she takes 5 mg of iron", " ", ["empty"], "rejected"),
+        ("she takes 5 mg of iron", "she takes 7 kg of iron", ["numbers", "units"], "rejected"),
+        ("she takes 5 mg of iron", "he takes 5 mg of iron?", ["question", "gender"], "rejected"),
+        ("she takes 5 mg of iron", "she has not 5 mg of zinc", ["scope", "lost", "new"], "rejected"),
+        ("iron was very high today", "iron was high today", ["qualifiers"], "rejected"),
+        ("she takes 5 mg of iron", "5 mg iron", ["length"], "rejected"),
+        ("she takes 5 mg of iron", "she takes 5 mg of iron, cancer", ["sensitive"], "rejected"),
+    ],
+)
+def test_guard(spark, raw, candidate, want, status):
+    row = spark.createDataFrame([(raw, candidate)], "raw string, candidate string")
+    parts = {"high": ["high"], "very": ["very high"]}, {"iron": ["iron"], "zinc": ["zinc"]}, {"f": ["she"], "m": ["he"]}, {"cancer": ["cancer"]}
+    reasons = mentions.guard(F.col("raw"), F.col("candidate"), ["mg", "kg"], {"negated": ["not"]}, *parts)
+    got = row.withColumn("reasons", reasons).withColumn("status", mentions.guard_status(F.col("raw"), F.col("candidate"), F.length("raw") > 5, F.col("reasons"))).first()
+    assert got.status == status and (want is None or got.reasons == want)
+
+
+def test_signatures(spark):
+    row = spark.createDataFrame([("is it 9,5 or \u0663\u066b\u0665? very high, then high",)], "c string")
+    got = row.select(text.numeric_sig(F.col("c")).alias("n"), text.speech_sig(F.col("c")).alias("q"), text.qualifier_sig(F.col("c"), {"h": ["high"], "v": ["very high"]}).alias("s")).first()
+    assert (got.n, got.q, got.s) == (["9.5", "3.5"], True, ["v", "h"])
+
+
+def test_archive_tells_new_objects(spark):
+    new = spark.createDataFrame([(b"a",), (b"a",), (b"b",)], "content binary")
+    known = new.where("content = X'62'").select(F.sha2("content", 256).alias("sha256"))
+    got = {(r.size, r.was_new, r.key.endswith(r.sha256)) for r in updates.archive(new, known).collect()}
+    assert got == {(1, True, True), (1, False, True)} and updates.archive(new, known).count() == 2
+
+
+def test_gazetteer_is_longest_first(spark):
+    rows = [("lab", "hb", "Hb", "haemoglobin", "blood", "g", 11.0), ("lab", "hb", "haemoglobin", "haemoglobin", "blood", "g", 16.0), ("lab", "fe", "iron", "iron", None, None, None)]
+    got = [(r.surface, r.low, r.high) for r in mentions.gazetteer(spark.createDataFrame(rows, "kind string, code string, surface string, name string, family string, unit string, value double")).collect()]
+    assert got == [("haemoglobin", 11.0, 16.0), ("iron", None, None), ("hb", 11.0, 16.0)]
+
+
 def test_review_queue(spark):
     rows = [("a", 1, 0.1, 0.95, False), ("b", 1, 0.2, 0.9, False), ("c", 1, 0.9, 0.4, False), ("d", 1, None, 0.1, False), ("e", 1, 1.0, 0.1, True)]
     got = filters.review_queue(spark.createDataFrame(rows, "item_id string, job_id long, review_priority double, confidence double, is_corrected boolean"), 10)

@@ -46,9 +46,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{2,})"))
 
 
+# Arabic-Indic and Persian digits, decimal and thousands separators.
+DIGITS = "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669\u06f0\u06f1\u06f2\u06f3\u06f4\u06f5\u06f6\u06f7\u06f8\u06f9\u066b\u066c"
+
+
 def numeric_sig(text: Column) -> Column:
-    """The numbers of a text in order."""
-    return F.regexp_extract_all(text, F.lit(r"(\d+(?:[.,]\d+)?)"))
+    """The numbers of a text in order, in ASCII digits with a point."""
+    found = F.regexp_extract_all(F.translate(text, DIGITS, "01234567890123456789."), F.lit(r"(\d+(?:[.,]\d+)?)"))
+    return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")))
 
 
 def unit_sig(text: Column, units: list[str]) -> Column:
@@ -56,13 +61,22 @@ def unit_sig(text: Column, units: list[str]) -> Column:
 
 
 def speech_sig(text: Column) -> Column:
-    """Whether a text asks."""
-    return F.rtrim(text).endswith("?")
+    """Whether a text asks, anywhere in it."""
+    return text.rlike("[?\u061f]")
+
+
+def qualifier_sig(text: Column, groups: dict[str, list[str]]) -> Column:
+    """The groups of the qualifiers in a text, in order; of phrases that overlap the longest counts."""
+    group_of = {phrase: name for name, phrases in groups.items() for phrase in phrases}
+    longest = sorted(group_of, key=lambda x: (-len(x), x))
+    known = F.create_map(*[F.lit(x) for pair in group_of.items() for x in pair])
+    found = F.regexp_extract_all(F.lower(text), F.lit("(" + "|".join(rf"\Q{x}\E" for x in longest) + ")"))
+    return F.transform(found, lambda x: known[x])
 
 
 def scope_sig(text: Column, cues: dict[str, list[str]]) -> Column:
-    """The kinds of cues that a text holds, in the order given."""
-    low = F.concat(F.lit(" "), clean(F.lower(text)), F.lit(" "))
+    """The kinds of cues that a text holds as whole words, in the order given."""
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "), F.lit(" "))
     flags = [F.when(_any(low, words), F.lit(kind)) for kind, words in cues.items()]
     return F.array_compact(F.array(*flags))
 

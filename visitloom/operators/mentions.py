@@ -162,16 +162,44 @@ def triggers(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return texts.crossJoin(F.broadcast(listed)).select("id", F.explode(F.array_distinct(F.transform(held, lambda p: p["code"]))).alias("code"))
 
 
-def guard(raw: Column, candidate: Column, units: list[str], cues: dict[str, list[str]]) -> Column:
-    """Why a rewrite isn't safe: length, numbers, units, scope, question; empty if it is."""
+def guard(raw: Column, candidate: Column, units: list[str], cues: dict[str, list[str]], qualifiers: dict[str, list[str]], terms: dict[str, list[str]], genders: dict[str, list[str]], sensitive: dict[str, list[str]]) -> Column:
+    """Why a rewrite isn't safe, in this order; empty if it is.
+
+    Length, numbers, units, qualifiers, scope and question compare signatures of both texts; gender is a text of one
+    gender's words against one of another's only; lost and new are terms (code to words) in one text only; sensitive is a
+    concept that only the candidate holds. An empty candidate has no other reason.
+    """
     from visitloom.functions import text as tx
 
     ratio = F.length(candidate) / F.greatest(F.length(raw), F.lit(1))
-    return tx.reasons(
-        ("empty", F.trim(candidate) == ""),
+    before, after = tx.scope_sig(raw, terms), tx.scope_sig(candidate, terms)
+    one, other = tx.scope_sig(raw, genders), tx.scope_sig(candidate, genders)
+    found = tx.reasons(
         ("length", ~ratio.between(0.45, 2.2)),
         ("numbers", tx.numeric_sig(raw) != tx.numeric_sig(candidate)),
         ("units", tx.unit_sig(raw, units) != tx.unit_sig(candidate, units)),
+        ("qualifiers", tx.qualifier_sig(raw, qualifiers) != tx.qualifier_sig(candidate, qualifiers)),
         ("scope", tx.scope_sig(raw, cues) != tx.scope_sig(candidate, cues)),
         ("question", tx.speech_sig(raw) != tx.speech_sig(candidate)),
+        ("gender", (F.size(one) > 0) & (F.size(other) > 0) & ~F.arrays_overlap(one, other)),
+        ("lost", F.size(F.array_except(before, after)) > 0),
+        ("new", F.size(F.array_except(after, before)) > 0),
+        ("sensitive", F.size(F.array_except(tx.scope_sig(candidate, sensitive), tx.scope_sig(raw, sensitive))) > 0),
     )
+    return F.when(F.trim(candidate) == "", F.array(F.lit("empty"))).otherwise(found)
+
+
+def guard_status(raw: Column, candidate: Column, eligible: Column, reasons: Column) -> Column:
+    """not_eligible, failed (no candidate), unchanged, accepted or rejected."""
+    return F.when(~eligible, "not_eligible").when(candidate.isNull(), "failed").when(candidate == raw, "unchanged").when(F.size(reasons) == 0, "accepted").otherwise("rejected")
+
+
+def gazetteer(rows: DataFrame) -> DataFrame:
+    """The terms of rows (kind, code, surface, name, family, unit, value), a row each, longest surface first in each kind.
+
+    kind, code, surface, size, name, family, unit and the range of values (low, high) of the code. Of several names,
+    families or units the smallest counts.
+    """
+    per = rows.groupBy("kind", "code").agg(*[F.min(c).alias(c) for c in ("name", "family", "unit")], F.min("value").alias("low"), F.max("value").alias("high"))
+    terms = rows.select("kind", "code", F.lower("surface").alias("surface")).distinct().withColumn("size", F.length("surface"))
+    return terms.join(per, ["kind", "code"]).orderBy("kind", F.col("size").desc(), "surface", "code")

@@ -67,9 +67,11 @@ def add_feedback(suggestions: DataFrame, feedback: DataFrame, actions: tuple[str
 
 
 def archive(new: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Objects to store, one per hash that the catalog hasn't: sha256, size."""
-    hashed = new.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"))
-    return hashed.dropDuplicates(["sha256"]).join(catalog.select("sha256"), "sha256", "left_anti")
+    """The objects of new (content), one per hash: sha256, key, size, was_new (whether the catalog hasn't got it)."""
+    hashed = new.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size")).dropDuplicates(["sha256"])
+    key = F.concat_ws("/", F.lit("objects"), F.substring("sha256", 1, 2), "sha256")
+    known = catalog.select("sha256", F.lit(False).alias("was_new")).distinct()
+    return hashed.join(known, "sha256", "left").select("sha256", key.alias("key"), "size", F.coalesce("was_new", F.lit(True)).alias("was_new"))
 
 
 def finalize(sessions: DataFrame, finals: DataFrame) -> DataFrame:

@@ -51,15 +51,18 @@ def str_05(t: Tables) -> DataFrame:
 
 
 CUES = {"negated": ["not", "no", "pas"], "hypothetical": ["if", "si"], "historical": ["was"], "family": ["mother"]}
-LOW = f"' ' || lower({CLEAN}) || ' '"
+#: Qualifiers among the words that the texts hold.
+QUALIFIERS = {"high": ["the of"], "low": ["and"], "normal": ["the", "of"]}
+LOW = "(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g') || ' ')"
 
 
-@query("str_08", f"""select doc_id, ends_with(rtrim(text), '?') asks, regexp_extract_all(text, '\\d+(?:[.,]\\d+)?') numbers, regexp_extract_all(lower(text), '\\d ?(kg|mg|cc)', 1) units,
+@query("str_08", f"""select doc_id, regexp_matches(text, '[?\u061f]') asks, list_transform(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?'), lambda x: replace(x, ',', '.')) numbers,
+  list_transform(regexp_extract_all(lower(text), 'the of|the|of|and'), lambda x: case x when 'the of' then 'high' when 'and' then 'low' else 'normal' end) qualifiers, regexp_extract_all(lower(text), '\\d ?(kg|mg|cc)', 1) units,
   list_filter([case when contains({LOW}, ' not ') or contains({LOW}, ' no ') or contains({LOW}, ' pas ') then 'negated' end, case when contains({LOW}, ' if ') or contains({LOW}, ' si ') then 'hypothetical' end,
     case when contains({LOW}, ' was ') then 'historical' end, case when contains({LOW}, ' mother ') then 'family' end], lambda x: x is not null) scope from documents""")
 def str_08(t: Tables) -> DataFrame:
     c = F.col("text")
-    return docs(t).select("doc_id", tx.speech_sig(c).alias("asks"), tx.numeric_sig(c).alias("numbers"), tx.unit_sig(c, ["mg", "kg", "cc"]).alias("units"), tx.scope_sig(c, CUES).alias("scope"))
+    return docs(t).select("doc_id", tx.speech_sig(c).alias("asks"), tx.numeric_sig(c).alias("numbers"), tx.unit_sig(c, ["mg", "kg", "cc"]).alias("units"), tx.qualifier_sig(c, QUALIFIERS).alias("qualifiers"), tx.scope_sig(c, CUES).alias("scope"))
 
 
 @query("str_09", "select doc_id, len(regexp_extract_all(lower(text), '\\p{L}{2,}'))::int n, md5(array_to_string(regexp_extract_all(lower(text), '\\p{L}{2,}'), ' ')) tokens from documents")

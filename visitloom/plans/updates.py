@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.operators import curation as cu
@@ -13,7 +13,7 @@ from visitloom.plans.bindings import FACTS, ITEMS, JOBS, SEGMENTS, STATES, facts
 from visitloom.plans.joins import VFACTS, visit_facts
 from visitloom.plans.registry import Tables, query
 from visitloom.plans.rows import PRIORITY, with_priority
-from visitloom.plans.scalars import CUES, docs
+from visitloom.plans.scalars import CUES, LOW, QUALIFIERS, docs
 
 
 @query("upd_01", f"with {JOBS}, o as (select distinct patient_id from jobs where status = 'complete') select patient_id, true known from o union all select distinct patient_id, false from jobs where patient_id not in (select patient_id from o)")
@@ -73,7 +73,7 @@ def upd_11(t: Tables) -> DataFrame:
     return o.add_feedback(rows.select(F.col("job_id").alias("id"), (F.col("status") != "queued").alias("is_active")), rows.select(F.col("job_id").alias("id"), action.alias("action")))
 
 
-@query("sink_06", "select distinct sha256(text) sha256, strlen(text)::bigint size from documents where sha256(text) not in (select sha256(text) from documents where doc_id % 4 = 0)")
+@query("sink_06", "with o as (select sha256(text) h from documents where doc_id % 4 = 0) select distinct sha256(text) sha256, 'objects/' || sha256(text)[1:2] || '/' || sha256(text) as key, strlen(text)::bigint size, sha256(text) not in (from o) was_new from documents")
 def sink_06(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.col("text").cast("binary").alias("content"))
     old = rows.where("doc_id % 4 = 0").select(F.sha2("content", 256).alias("sha256")).distinct()
@@ -115,9 +115,13 @@ def lexicon(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(LEXICON, "kind string, code string, surface string")
 
 
-@query("src_05", f"with {LEX} select kind, code, surface, length(surface)::int size from lex order by size desc, surface")
+@query("src_05", """with p as (select 'part' kind, p_brand code, min(p_name) as name, min(p_type) family, 'size ' || min(p_size) unit, min(p_retailprice) low, max(p_retailprice) high from part group by p_brand)
+  select distinct kind, code, lower(p_name) surface, length(p_name)::int size, name, family, unit, low, high from part join p on p_brand = code""")
 def src_05(t: Tables) -> DataFrame:
-    return lexicon(t).withColumn("size", F.length("surface")).join(t.region.limit(1).select(F.lit(1).alias("one"))).drop("one").orderBy(F.col("size").desc(), "surface")
+    """Parts as terms: brands are codes, names are what they are called, prices their range."""
+    unit = F.min("p_size").over(Window.partitionBy("p_brand"))
+    rows = t.part.select(F.lit("part").alias("kind"), F.col("p_brand").alias("code"), F.col("p_name").alias("surface"), F.col("p_name").alias("name"), F.col("p_type").alias("family"), F.concat(F.lit("size "), unit.cast("string")).alias("unit"), F.col("p_retailprice").alias("value"))
+    return me.gazetteer(rows)
 
 
 @query("join_16", f"with {SPANS} select id, kind, code, surface, \"at\"::int \"at\", n_words::int n_words from c")
@@ -259,12 +263,49 @@ def ext_14(t: Tables) -> DataFrame:
     return items(t).select("item_id", F.when((F.col("label") == "R") & (c < 0.5), True).when((F.col("ood") > 0.7) & (c < 0.7), True).otherwise(False).alias("critical"))
 
 
-@query("grd_01")
+TERMS, GENDERS, SENSITIVE = {"T": ["the"], "F": ["for"]}, {"f": ["she", "elle"], "m": ["he", "il"]}, {"S": ["cancer"]}
+CHANGES = [" 7 mg?", " not", "", " cancer and", " for she", None, " the he", " " * 3]
+
+
+def _held_sql(text: str, groups: dict[str, list[str]]) -> str:
+    low = LOW.replace("text", text)
+    return "list_filter([" + ", ".join("case when " + " or ".join(f"contains({low}, ' {w} ')" for w in words) + f" then '{name}' end" for name, words in groups.items()) + "], lambda x: x is not null)"
+
+
+def _changed_sql(of: str) -> str:
+    return f"{of} <> {of.replace('text', 'candidate')}"
+
+
+_numbers, _units, _quals = "regexp_extract_all(text, '\\d+(?:[.,]\\d+)?')", "regexp_extract_all(lower(text), '\\d ?(kg|mg)($|[^a-z])', 1)", "regexp_extract_all(lower(text), 'the of|the|of|and')"
+GUARD = ", ".join(
+    f"case when {test} then '{name}' end"
+    for name, test in [
+        ("length", "length(candidate) / greatest(length(text), 1) not between 0.45 and 2.2"),
+        ("numbers", _changed_sql(_numbers)),
+        ("units", _changed_sql(_units)),
+        ("qualifiers", _changed_sql(f"list_transform({_quals}, lambda x: case x when 'the of' then 'high' when 'and' then 'low' else 'normal' end)")),
+        ("scope", f"{_held_sql('text', CUES)} <> {_held_sql('candidate', CUES)}"),
+        ("question", _changed_sql("regexp_matches(text, '[?\u061f]')")),
+        ("gender", f"len({_held_sql('text', GENDERS)}) > 0 and len({_held_sql('candidate', GENDERS)}) > 0 and not list_has_any({_held_sql('text', GENDERS)}, {_held_sql('candidate', GENDERS)})"),
+        ("lost", f"not list_has_all({_held_sql('candidate', TERMS)}, {_held_sql('text', TERMS)})"),
+        ("new", f"not list_has_all({_held_sql('text', TERMS)}, {_held_sql('candidate', TERMS)})"),
+        ("sensitive", f"not list_has_all({_held_sql('text', SENSITIVE)}, {_held_sql('candidate', SENSITIVE)})"),
+    ]
+)
+
+
+@query("grd_01", f"""with c as (select doc_id, text, case when doc_id % 8 = 7 then '   ' when doc_id % 8 = 6 then text[1:length(text) // 3] || ' the he' else rtrim(text) || case doc_id % 8 {" ".join(f"when {i} then '{x}'" for i, x in enumerate(CHANGES[:5]))} end end candidate from documents),
+  g as (select *, case when trim(candidate) = '' then ['empty'] else list_filter([{GUARD}], lambda x: x is not null) end r from c)
+  select doc_id, case when candidate is not null then r end reasons, case when length(text) < 40 then 'not_eligible' when candidate is null then 'failed' when candidate = text then 'unchanged' when len(r) = 0 then 'accepted' else 'rejected' end status from g""")
 def grd_01(t: Tables) -> DataFrame:
-    pairs = docs(t).select("doc_id", "text", F.concat(F.rtrim("text"), F.when(F.col("doc_id") % 4 == 0, " 7 mg?").when(F.col("doc_id") % 4 == 1, " not").otherwise("")).alias("candidate"))
-    reasons = me.guard(F.col("text"), F.col("candidate"), ["mg", "kg"], CUES)
-    status = F.when(F.col("candidate") == F.col("text"), "unchanged").when(F.size("reasons") == 0, "accepted").otherwise("rejected")
-    return pairs.withColumn("reasons", reasons).select("doc_id", "reasons", status.alias("status"))
+    """Rewrites that change something else in each eighth of the documents: nothing, words at the end, most of the text, all."""
+    n = F.col("doc_id") % 8
+    end = F.get(F.array(*[F.lit(x) for x in CHANGES]), n.cast("int"))
+    third = F.concat(F.substring("text", F.lit(1), F.floor(F.length("text") / 3).cast("int")), end)
+    pairs = docs(t).withColumn("candidate", F.when(n == 7, end).when(n == 6, third).otherwise(F.concat(F.rtrim("text"), end)))
+    raw, candidate = F.col("text"), F.col("candidate")
+    reasons = F.when(candidate.isNotNull(), me.guard(raw, candidate, ["mg", "kg"], CUES, QUALIFIERS, TERMS, GENDERS, SENSITIVE))
+    return pairs.withColumn("reasons", reasons).select("doc_id", "reasons", me.guard_status(raw, candidate, F.length(raw) >= 40, F.col("reasons")).alias("status"))
 
 
 @query("agg_30", f"with {VFACTS}, a as (select visit_id, max(value) >= 90 h, count(*) filter (where code = 'view') >= 2 v, coalesce(bool_or(code = 'error' and value > 20), false) e from vf group by 1) select visit_id, unnest(['high', 'views', 'errors']) code, unnest([h, v, e]) holds from a")
