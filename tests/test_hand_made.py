@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visitloom.functions import text
-from visitloom.operators import aggregates, discourse, filters, linkage, mentions, rules, states, updates, vectors
+from visitloom.operators import aggregates, discourse, filters, linkage, mentions, routing, rules, states, updates, vectors
 
 T0 = datetime(2024, 1, 1)
 OBS = "patient_id long, effective_at timestamp, created_at timestamp, pregnant boolean, postpartum boolean, ga_weeks int"
@@ -135,6 +135,49 @@ def test_gazetteer_is_longest_first(spark):
     assert got == [("haemoglobin", 11.0, 16.0), ("iron", None, None), ("hb", 11.0, 16.0)]
 
 
+LINK = "array<struct<kind: string, code: string, assertion: string, value: double, value2: double>>"
+MEANT = {"emergency": "assessment", "diagnosis": "assessment", "follow_up": "plan"}
+
+
+@pytest.mark.parametrize(
+    ("labels", "said", "links", "want"),
+    [
+        (["diagnosis"], "", [("context", "plan_continuation", "present", None, None)], ("plan", ["assessment"])),
+        (["diagnosis"], "", [("symptom", "s", "hypothetical", None, None), ("lab", "l", "hypothetical", None, None)], ("plan", ["assessment"])),
+        (["diagnosis"], "", [("symptom", "s", "hypothetical", None, None), ("lab", "l", "present", None, None)], ("assessment", [])),
+        (["diagnosis"], "we plan", [], ("plan", ["assessment"])),
+        (["diagnosis"], "", [("vital", "cervical_dilation_cm", "present", 4.0, None)], ("objective", ["assessment"])),
+        (["emergency"], "", [("symptom", "s", "absent", None, None)], ("subjective", ["assessment"])),
+        (["emergency"], "", [], ("assessment", [])),
+        (["diagnosis"], "she says", [("symptom", "s", "present", None, None)], ("subjective", ["assessment"])),
+        (["diagnosis"], "she says", [("symptom", "s", "present", None, None), ("condition", "c", "suspected", None, None)], ("assessment", [])),
+        (["follow_up"], "moves", [], ("subjective", ["plan"])),
+        (["diagnosis", "follow_up"], "", None, ("plan", ["assessment"])),
+        (None, "", None, ("subjective", [])),
+    ],
+)
+def test_route_item(spark, labels, said, links, want):
+    row = spark.createDataFrame([(labels, said, links)], f"labels array<string>, said string, links {LINK}")
+    wording = {"plan": F.col("said") == "we plan", "exam": F.col("said") == "exam", "reported": F.col("said") == "she says", "movement": F.col("said") == "moves"}
+    got = routing.route_item(row, MEANT, wording).first()
+    assert (got.section, got.also) == want
+
+
+def test_urgent(spark):
+    rows = [
+        (["emergency"], [], None, True),
+        (["emergency"], [("symptom", "s", "absent", None, None)], False, False),
+        (["emergency"], [("symptom", "s", "present", None, None)], False, True),
+        (["diagnosis"], [("vital", "bp", "present", 120.0, 110.0)], False, True),
+        (["diagnosis"], [("vital", "bp", "absent", 170.0, None)], False, False),
+        (["diagnosis"], [("vital", "bp", "present", 159.0, None)], False, False),
+        (None, None, True, True),
+        (None, None, None, False),
+    ]
+    got = spark.createDataFrame(rows, f"labels array<string>, links {LINK}, said boolean, want boolean").select("want", routing.is_urgent(F.col("said")).alias("urgent")).collect()
+    assert [r.urgent for r in got] == [r.want for r in got]
+
+
 def test_review_queue(spark):
     rows = [("a", 1, 0.1, 0.95, False), ("b", 1, 0.2, 0.9, False), ("c", 1, 0.9, 0.4, False), ("d", 1, None, 0.1, False), ("e", 1, 1.0, 0.1, True)]
     got = filters.review_queue(spark.createDataFrame(rows, "item_id string, job_id long, review_priority double, confidence double, is_corrected boolean"), 10)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from visitloom.functions import scores as sc
 from visitloom.functions import text as tx
+from visitloom.operators import routing as ro
 from visitloom.plans.bindings import FACTS, ITEMS, JOBS, SEGMENTS, STATES, facts, items, jobs, segments, states
 from visitloom.plans.registry import Tables, query
 from visitloom.plans.rows import PRIORITY, with_priority
@@ -173,12 +174,6 @@ def qlt_02(t: Tables) -> DataFrame:
     return items(t).withColumn("r", early).select("item_id", F.when(ood, F.array_append("r", "ood")).otherwise(F.col("r")).alias("reasons"))
 
 
-@query("qlt_03", f"with {JOBS} select job_id, (severity = '1-URGENT' and status <> 'queued') or price > 450000 urgent from jobs")
-def qlt_03(t: Tables) -> DataFrame:
-    emergency = (F.col("severity") == "1-URGENT") & (F.col("status") != "queued")
-    return jobs(t).select("job_id", (emergency | (F.col("price") > 450000)).alias("urgent"))
-
-
 SECTIONS = {"R": "plan", "A": "assessment", "N": "subjective"}
 
 
@@ -189,11 +184,36 @@ def rte_01(t: Tables) -> DataFrame:
     return labels.select("job_id", tx.route(F.col("labels"), SECTIONS, ["plan", "assessment", "objective", "subjective"]).alias("section"), (F.size("labels") - 1).alias("others"))
 
 
-@query("rte_02", f"""with {SEGMENTS} select job_id, order_index, case when speaker = 'assistant' and ends_with(trim(text), '?') then 'plan' when contains(lower(text), ' if ') then 'plan' when speaker = 'user' then 'subjective' when length(text) > 400 then 'objective' else 'assessment' end section from segments""")
+#: Links and labels by words that turns hold: kind, code, word.
+LINKED = [("symptom", "pain", " the "), ("condition", "anaemia", " for "), ("context", "plan_continuation", "ther"), ("lab", "hb", " in "), ("context", "exam_finding", "ation"), ("vital", "bp", " is ")]
+MEANT = {"emergency": "assessment", "follow_up": "plan", "history": "subjective", "exam": "objective"}
+ROUTED = f"""{SEGMENTS}, s as (select *, case when contains(text, ' not ') then 'absent' when contains(text, ' if ') then 'hypothetical' else 'present' end said, [['emergency'], ['follow_up', 'history'], ['history'], ['exam', 'history']][(order_index + job_id) % 4 + 1] labels from segments),
+  l as (select *, list_filter([{", ".join(f"case when contains(text, '{w}') then '{k}' end" for k, _, w in LINKED)}], lambda x: x is not null) kinds, list_filter([{", ".join(f"case when contains(text, '{w}') then '{c}' end" for _, c, w in LINKED)}], lambda x: x is not null) codes from s),
+  f as (select *, list_has_any(kinds, ['symptom', 'condition', 'lab', 'vital']) clinical, list_contains(labels, 'emergency') emergency, contains(text, ' will ') wants, contains(text, ' was ') reported from l),
+  r as (select *, case when list_contains(codes, 'plan_continuation') or (clinical and said = 'hypothetical') or wants then 'plan' when list_contains(codes, 'exam_finding') or ends_with(text, '!') then 'objective'
+    when (emergency and clinical and said <> 'present') or (said = 'present' and list_contains(kinds, 'symptom') and not list_contains(kinds, 'condition') and reported) or (list_contains(labels, 'follow_up') and contains(text, ' to ')) then 'subjective'
+    when list_contains(labels, 'follow_up') then 'plan' when emergency then 'assessment' when list_contains(labels, 'exam') then 'objective' else 'subjective' end section from f)"""
+
+
+def _linked(t: Tables) -> DataFrame:
+    c = F.col("text")
+    said = F.when(c.contains(" not "), "absent").when(c.contains(" if "), "hypothetical").otherwise("present")
+    links = [F.when(c.contains(w), F.struct(F.lit(k).alias("kind"), F.lit(code).alias("code"), said.alias("assertion"), F.length(c).cast("double").alias("value"), F.lit(None).cast("double").alias("value2"))) for k, code, w in LINKED]
+    labels = F.array(*[F.array(*map(F.lit, x)) for x in (["emergency"], ["follow_up", "history"], ["history"], ["exam", "history"])])
+    return segments(t).withColumn("labels", F.get(labels, ((F.col("order_index") + F.col("job_id")) % 4).cast("int"))).withColumn("links", F.array_compact(F.array(*links)))
+
+
+@query("rte_02", f"with {ROUTED} select job_id, order_index, section, list_filter(list_filter(['plan', 'assessment', 'objective', 'subjective'], lambda x: list_contains(list_transform(labels, lambda y: case y when 'emergency' then 'assessment' when 'follow_up' then 'plan' when 'exam' then 'objective' else 'subjective' end), x)), lambda x: x <> section) also from r")
 def rte_02(t: Tables) -> DataFrame:
     c = F.col("text")
-    section = F.when((F.col("speaker") == "assistant") & F.trim(c).endswith("?"), "plan").when(F.lower(c).contains(" if "), "plan").when(F.col("speaker") == "user", "subjective").when(F.length(c) > 400, "objective").otherwise("assessment")
-    return segments(t).select("job_id", "order_index", section.alias("section"))
+    wording = {"plan": c.contains(" will "), "exam": c.endswith("!"), "reported": c.contains(" was "), "movement": c.contains(" to ")}
+    return ro.route_item(_linked(t), MEANT, wording).select("job_id", "order_index", "section", "also")
+
+
+@query("qlt_03", f"with {ROUTED} select job_id, order_index, (emergency and (not clinical or said = 'present')) or (list_contains(codes, 'bp') and said = 'present' and length(text) >= 160) or (wants and contains(text, ' and ')) urgent from r")
+def qlt_03(t: Tables) -> DataFrame:
+    c = F.col("text")
+    return _linked(t).select("job_id", "order_index", ro.is_urgent(c.contains(" will ") & c.contains(" and ")).alias("urgent"))
 
 
 @query("rte_03", "select doc_id, not regexp_matches(lower(text), 'was done') and (regexp_matches(lower(text), 'thnt the') or regexp_matches(lower(text), '(?s)(?:onan|ther).{0,56}(?:edly|stin)')) plan from documents")
