@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import fingerprints, language, licenses, mixing, near_duplicates, packing, prefix_trie, templates, topk, toxicity, warc
+from visitloom.llm import fingerprints, language, licenses, mixing, near_duplicates, packing, prefix_trie, ranked_search, secrets_scan, templates, topk, toxicity, warc
 from visitloom.llm.common import table
 
 #: Queries of the top-k search: rows whose vec_id is divisible by this.
@@ -60,10 +60,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(table(sf_dir, "conversations")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(spark.read.parquet(table(sf_dir, "documents")), spark.read.parquet(table(sf_dir, "benchmark")))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.digest(secrets_scan.scan(spark.read.parquet(table(sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_license_scan, op2_minhash_near_dedup, op3_html_extraction, op4_language_id, op5_warc_fixity, op6_best_fit_packing, op7_source_mix, op8_exact_top_k, op9_fingerprints, op10_toxicity, op11_prefix_trie)
+    every = (op1_license_scan, op2_minhash_near_dedup, op3_html_extraction, op4_language_id, op5_warc_fixity, op6_best_fit_packing, op7_source_mix, op8_exact_top_k, op9_fingerprints, op10_toxicity, op11_prefix_trie, op12_ranked_search, op13_secret_scan)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle_sql(), "op5_warc_fixity": warc.oracle_sql(), "op8_exact_top_k": topk.oracle_sql(every=EVERY), "op11_prefix_trie": prefix_trie.oracle_sql()}
+    return {"op1_license_scan": licenses.oracle_sql(), "op5_warc_fixity": warc.oracle_sql(), "op8_exact_top_k": topk.oracle_sql(every=EVERY), "op11_prefix_trie": prefix_trie.oracle_sql(), "op12_ranked_search": ranked_search.oracle_sql()}
