@@ -96,7 +96,7 @@ def test_merged_states_loop():
     made = secrets_scan.inferred({p: v for p, v in tree.items() if v.sum() >= secrets_scan.EVIDENCE})
     assert len(made.goes) < whole / 20
     fixed = {"K" * i: v for i, v in enumerate(np.eye(secrets_scan.END + 1)[[secrets_scan.SYMBOLS.index("K")] * 3 + [secrets_scan.END]] * 500)}
-    assert len(secrets_scan.inferred(fixed).goes) == 2
+    assert len(secrets_scan.inferred(fixed).goes) == 4  # exactly three: nothing to merge
 
 
 def test_likelihood_symbol_by_symbol():
