@@ -47,12 +47,12 @@ def tokens(text: Column) -> Column:
 
 
 # Arabic-Indic and Persian digits, decimal and thousands separators.
-DIGITS = "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669\u06f0\u06f1\u06f2\u06f3\u06f4\u06f5\u06f6\u06f7\u06f8\u06f9\u066b\u066c"
+DIGITS_AND_MARKS = "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669\u06f0\u06f1\u06f2\u06f3\u06f4\u06f5\u06f6\u06f7\u06f8\u06f9\u066b\u066c"
 
 
 def numeric_sig(text: Column) -> Column:
     """The numbers of a text in order, in ASCII digits with a point."""
-    found = F.regexp_extract_all(F.translate(text, DIGITS, "01234567890123456789."), F.lit(r"(\d+(?:[.,]\d+)?)"))
+    found = F.regexp_extract_all(F.translate(text, DIGITS_AND_MARKS, "01234567890123456789."), F.lit(r"(\d+(?:[.,]\d+)?)"))
     return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")))
 
 

@@ -147,41 +147,6 @@ def mahalanobis(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "v").mapInPandas(measure, "id long, distance double")
 
 
-def link_clusters(vectors: DataFrame, owner: str, most: float = 0.65) -> DataFrame:
-    """Average-linkage clusters of an owner's vectors by cosine distance: owner, id, cluster (its smallest id).
-
-    An owner's vectors are one group, so owners must be small (recordings of one doctor); that is the caller's to keep.
-    """
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        v = np.stack(rows["v"].to_list()).astype(float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        groups, far = [[i] for i in range(len(v))], 1 - v @ v.T
-        np.fill_diagonal(far, np.inf)
-        while len(groups) > 1:
-            i, j = sorted(divmod(int(far.argmin()), len(groups)))
-            if far[i, j] > most:
-                break
-            a, b = len(groups[i]), len(groups[j])
-            far[i] = far[:, i] = (a * far[i] + b * far[j]) / (a + b)
-            far[i, i] = np.inf
-            groups[i] += groups.pop(j)
-            far = np.delete(np.delete(far, j, 0), j, 1)
-        ids = rows["id"].to_numpy()
-        return pd.DataFrame([(rows[owner].iloc[0], ids[k], ids[min(g)]) for g in groups for k in g], columns=[owner, "id", "cluster"])
-
-    kind = vectors.schema[owner].dataType.simpleString()
-    return vectors.groupBy(owner).applyInPandas(link, f"{owner} {kind}, id long, cluster long")
-
-
-def speaker_profile(clusters: DataFrame) -> DataFrame:
-    """Per owner the cluster that covers most recordings, two at least; ties to the larger. clusters: owner, cluster, recording."""
-    per = clusters.groupBy("owner", "cluster").agg(F.count_distinct("recording").alias("recordings"), F.count("*").alias("size")).where("recordings >= 2")
-    best = F.max_by(F.struct("cluster", "recordings", "size"), F.struct("recordings", "size", -F.col("cluster")))
-    return per.groupBy("owner").agg(best.alias("b")).select("owner", "b.*")
-
-
 def assign_roles(clusters: DataFrame, margin: float, alone: float) -> DataFrame:
     """doctor, patient or unknown for each cluster of a job by its score; too small a lead leaves all unknown."""
     by = Window.partitionBy("job_id").orderBy(F.col("score").desc(), "cluster")

@@ -30,9 +30,9 @@ def str_02(t: Tables) -> DataFrame:
     return docs(t).select("doc_id", F.md5(tx.expand(F.col("text"), NAMES)).alias("expanded"))
 
 
-@query("str_03", "select doc_id, translate('٣٤-' || doc_id || '-۵' || 'ـ', '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹ـ', '01234567890123456789') as text from documents")
+@query("str_03", "select doc_id, translate('٣٤-' || doc_id || '-۵ ٣٫٥' || 'ـ', '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹ـ', '01234567890123456789') as text from documents")
 def str_03(t: Tables) -> DataFrame:
-    return docs(t).select("doc_id", tx.fold_digits(F.concat(F.lit("٣٤-"), F.col("doc_id").cast("string"), F.lit("-۵ـ"))).alias("text"))
+    return docs(t).select("doc_id", tx.fold_digits(F.concat(F.lit("٣٤-"), F.col("doc_id").cast("string"), F.lit("-۵ ٣٫٥ـ"))).alias("text"))
 
 
 CLEAN = "trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.operators import aggregates as ag
+from visitloom.operators import clusters as cl
 from visitloom.operators import linkage as li
 from visitloom.operators import vectors as o
 from visitloom.plans.joins import MEANS, class_means, vectors
@@ -97,18 +98,16 @@ def agg_17(t: Tables) -> DataFrame:
     return o.mc_stats(long.select("id", F.floor(F.col("i") / F.col("w")).alias("pass"), (F.col("i") % F.col("w")).alias("class"), F.round(F.abs(F.col("x").cast("double")), 6).alias("p")))
 
 
-def _clusters(t: Tables) -> DataFrame:
-    return o.link_clusters(vectors(t).withColumn("owner", F.floor(F.col("id") / 40)), "owner")
-
-
 @query("vec_04")
 def vec_04(t: Tables) -> DataFrame:
-    return _clusters(t)
+    return cl.link_clusters(vectors(t), "label")
 
 
 @query("agg_25")
 def agg_25(t: Tables) -> DataFrame:
-    return o.speaker_profile(_clusters(t).withColumn("recording", F.col("id") % 5))
+    """Labels as owners; a fifth of the vectors in each recording."""
+    rows = vectors(t).select(F.col("label").alias("owner"), "id", "v", (F.col("id") % 5).alias("recording"))
+    return cl.speaker_profile(rows).withColumn("prototype", F.transform("prototype", lambda x: F.round(x, 6)))
 
 
 @query("agg_45", """with e as (select vec_id id, label, embedding::double[] v from embeddings where label in (1, 2)), p as (select a.id, a.label l, b.label o, b.id bi, round(list_cosine_similarity(a.v, b.v), 9) c from e a join e b on a.id <> b.id), n as (select id, l, arg_max(o, (c, -bi)) o from p group by 1, 2)
