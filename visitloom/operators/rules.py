@@ -73,12 +73,6 @@ def recompute(facts: DataFrame, old: DataFrame, changed: DataFrame, rules: list[
     return old.join(ids, "visit_id", "left_anti").unionByName(fresh)
 
 
-def derived_facts(facts: DataFrame, flags: dict[str, Column]) -> DataFrame:
-    """Named conditions over a visit's facts as facts: visit_id, code, holds."""
-    per = facts.groupBy("visit_id").agg(F.array(*[F.struct(F.lit(n).alias("code"), F.coalesce(c, F.lit(False)).alias("holds")) for n, c in flags.items()]).alias("f"))
-    return per.select("visit_id", F.inline("f"))
-
-
 def visit_stage(facts: DataFrame, stages: list[tuple[str, list[str]]], none: str) -> DataFrame:
     """The most advanced stage (first in the list) of which a visit has a marker."""
     per = facts.groupBy("visit_id").agg(F.collect_set("code").alias("codes"))

@@ -308,12 +308,6 @@ def grd_01(t: Tables) -> DataFrame:
     return pairs.withColumn("reasons", reasons).select("doc_id", "reasons", me.guard_status(raw, candidate, F.length(raw) >= 40, F.col("reasons")).alias("status"))
 
 
-@query("agg_30", f"with {VFACTS}, a as (select visit_id, max(value) >= 90 h, count(*) filter (where code = 'view') >= 2 v, coalesce(bool_or(code = 'error' and value > 20), false) e from vf group by 1) select visit_id, unnest(['high', 'views', 'errors']) code, unnest([h, v, e]) holds from a")
-def agg_30(t: Tables) -> DataFrame:
-    flags = {"high": F.max("value") >= 90, "views": F.count_if(F.col("code") == "view") >= 2, "errors": F.bool_or((F.col("code") == "error") & (F.col("value") > 20))}
-    return ru.derived_facts(visit_facts(t), flags)
-
-
 @query("agg_34", f"with {VFACTS} select visit_id, case when bool_or(code = 'purchase') then 'postpartum' when bool_or(code = 'error') then 'labour' when bool_or(code in ('signup', 'click')) then 'antenatal' else 'none' end stage from vf group by 1")
 def agg_34(t: Tables) -> DataFrame:
     return ru.visit_stage(visit_facts(t), [("postpartum", ["purchase"]), ("labour", ["error"]), ("antenatal", ["signup", "click"])], "none")
@@ -351,14 +345,6 @@ def rul_03(t: Tables) -> DataFrame:
     return ru.stratified(visit_facts(t), [[("A", ru.has("error"), [], [])], [("B", ru.has("view"), ["A"], []), ("C", ru.has("click"), [], ["A"])]])
 
 
-@query("rul_04", f"""with {FIRED}, m as (select 'R01' rule_id, unnest(['error', 'purchase']) code union all select 'R02', 'view' union all select 'R03', 'signup')
-  select visit_id, rule_id, list_sort(list(fact_id)) evidence from fired join m using (rule_id) join vf using (visit_id, code) group by 1, 2""")
-def rul_04(t: Tables) -> DataFrame:
-    f = visit_facts(t)
-    codes = F.when(F.col("rule_id") == "R01", F.array(F.lit("error"), F.lit("purchase"))).when(F.col("rule_id") == "R02", F.array(F.lit("view"))).when(F.col("rule_id") == "R03", F.array(F.lit("signup")))
-    return ru.rule_evidence(ru.evaluate(f, _rules()).withColumn("codes", codes), f)
-
-
 @query("rul_05", f"with {VFACTS}, p as (select patient_id, code from vf where not negated group by 1, 2 having count(distinct visit_id) >= 2) select distinct visit_id, code, (patient_id, code) in (select (patient_id, code) from p) trend from vf")
 def rul_05(t: Tables) -> DataFrame:
     from visitloom.operators.aggregates import persistent
@@ -368,11 +354,6 @@ def rul_05(t: Tables) -> DataFrame:
     return f.select("visit_id", "patient_id", "code").distinct().join(trend, ["patient_id", "code"], "left").select("visit_id", "code", F.coalesce("trend", F.lit(False)).alias("trend"))
 
 
-@query("rul_06", f"with {FIRED} select rule_id, severity, count(*)::bigint n from fired group by 1, 2")
-def rul_06(t: Tables) -> DataFrame:
-    return ru.evaluate(visit_facts(t), _rules()).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
-
-
 @query("rul_07", f"with {FIRED} select * from fired")
 def rul_07(t: Tables) -> DataFrame:
     f = visit_facts(t)
