@@ -81,7 +81,7 @@ def values(docs: DataFrame) -> DataFrame:
 
     A candidate that is or holds a credential is no ordinary one.
     """
-    every = docs.select("text").mapInArrow(_gathered, "label string, value string").distinct()
+    every = stored(docs.select("text").mapInArrow(_gathered, "label string, value string").distinct())
     named = every.where(F.col("label") != ORDINARY)
     plain = every.where(F.col("label") == ORDINARY).where(~F.col("value").rlike(r"(?i)(password|passwd|secret|token|api_?key)[:=]") & ~F.col("value").rlike("AKIA[A-Z0-9]{12}|[0-9a-f]{32}"))
     return named.unionByName(plain.join(named.select("value").distinct(), "value", "left_anti").select("label", "value"))
