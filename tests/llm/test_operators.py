@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -399,3 +400,26 @@ def test_toxicity(spark, odd):
     got = toxicity.score(odd, marks).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert toxicity.score(odd.limit(0), marks).count() == 0
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<h1>T</h1><p title=it's>Hello world</p><p>I don't care</p><p>end</p>", "T\nHello world\nI don't care\nend"),
+    ("<p>a</p><p title=\"x>still here</p><p>b</p>", "a\nstill here\nb"),
+    ("<p data-x = 'a>b' title=\"c > d\">one</p>two 5\" wide<p>three</p>", "one\ntwo 5\" wide\nthree"),
+    ("<h1 class=\"page-header\">Title</h1><div class=\"related-work\">what others did</div><p class=form>formed</p>", "Title\nwhat others did\nformed"),
+    ("<p>a</p><div class=\"related-posts\"><a>one</a> <a>two</a></div><div class=\"my-search-thing\"><input> find</div><div class=\"page-comments\"><p>me too</p></div><p title='class=ad'>b</p>", "a\nb"),
+])
+def test_pages_lose_furniture_only(page, text):
+    assert templates.main_text(page, "", frozenset()) == text
+
+
+def test_stray_tags_take_linear_time():
+    began = time.time()
+    for page in ("<b>" * 40_000 + "</i>" * 40_000, "<table><td>" + "<b>" * 40_000 + "<hr>" * 40_000, "<ul><li>" + "<div>" * 40_000 + "<li/>" * 40_000, "<p a='" * 40_000):
+        templates.parse(page + "x")
+    assert time.time() - began < 8
+
+
+def test_page_columns_that_clash(spark):
+    table = spark.createDataFrame([(1, "https://a.example/1", "<p>kept</p>", "h", "x", 7, 8)], "page_id long, url string, html string, hosted string, host string, key int, content int")
+    assert [tuple(r) for r in templates.extract(table).collect()] == [(1, "https://a.example/1", "kept", 4)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Container, Iterable, Iterator
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from visitloom.llm.common import columns, stored
 from visitloom.llm.lookups import joined
 
-#: A subtree is template if it stands on at least MANY different pages of a host; prose, on this share of them as well.
+#: A subtree is template if it stands on at least MANY different pages of a host; prose, which articles repeat too, on
+#: this share of them as well.
 MANY, SHARE = 5, 0.2
 #: Up to so many template subtrees are sent to all tasks, 8 bytes each; more are joined.
 SHARED = 1 << 22
@@ -28,27 +30,80 @@ BLOCKS = frozenset("address article blockquote body center dd details div dl dt
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th tr tbody li figcaption".split())
 #: A paragraph ends where one of these begins; a list item, where the next begins.
 CLOSES = {"li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"])}
-#: What classes, ids and roles call furniture.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side|aside|widget|complementary|contentinfo|notice|notices|cookie|cookies|consent|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|comment|comments|replies|disqus|respond|form|search|pagination|pager|toolbar|alert)(?:$|[\s_-])")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: What classes, ids and roles call furniture; and what else stands in the name of a box of it. A name with other words is
+#: a hint only, and so is any name of a heading, paragraph or cell: LINKS of its text in links, or form controls, confirm it.
+NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget complementary contentinfo notice notices cookie cookies consent popup modal newsletter subscribe signup share sharing social related comment comments replies disqus respond form search pagination pager toolbar alert".split())
+BOXES = frozenset("area bar block body box buttons col column container content footer group header inner item items left links list main outer page panel post right section site thread top bottom user wrap wrapper".split())
+LINKS = 0.5
+CONTROLS = frozenset("input select textarea button form".split())
+WORD = re.compile(r"[a-z0-9]+")
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]+|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*+)(>|$)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its name, whether it is furniture by name, and its children, each a Node or a text."""
+    """An element: its name, whether it is furniture, whether its class hints so, and its children, each a Node or a text."""
 
-    __slots__ = ("name", "furniture", "children")
+    __slots__ = ("name", "furniture", "hinted", "children")
 
-    def __init__(self, name: str, furniture: bool):
-        self.name, self.furniture, self.children = name, furniture, []
+    def __init__(self, name: str, furniture: bool, hinted: bool = False):
+        self.name, self.furniture, self.hinted, self.children = name, furniture, hinted, []
+
+
+def called(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element's class, id or role names a box of furniture, and whether it has such a name in it."""
+    low = attributes.lower()
+    if name in ("html", "body", "main", "article") or not ("class" in low or "id" in low or "role" in low):
+        return False, False
+    sure = hint = False
+    for key, double, single, bare in ATTRIBUTE.findall(low):
+        if key in ("class", "id", "role"):
+            for token in (double or single or bare).split():
+                words = WORD.findall(token)
+                if not NAMES.isdisjoint(words):
+                    hint = True
+                    sure = sure or all(w in NAMES or w in BOXES or w.isdigit() for w in words)
+    return sure and name not in PROSE, hint
+
+
+def confirm(root: Node) -> None:
+    """Makes furniture of what is hinted at and holds form controls, or mostly links."""
+    sums: dict[int, tuple[int, int, bool]] = {}
+    ahead: list[tuple[Node, bool]] = [(root, False)]
+    while ahead:
+        node, over = ahead.pop()
+        if not over:
+            ahead.append((node, True))
+            ahead += [(c, False) for c in node.children if isinstance(c, Node)]
+            continue
+        size = linked = 0
+        controls = node.name in CONTROLS
+        for c in node.children:
+            if isinstance(c, Node):
+                n, k, held = sums.pop(id(c))
+                size, linked, controls = size + n, linked + k, controls or held
+            else:
+                size += len(SPACE.sub(" ", c).strip())
+        if node.name == "a":
+            linked = size
+        if node.hinted and not node.furniture and (controls or (linked and linked >= LINKS * size)):
+            node.furniture = True
+        sums[id(node)] = size, linked, controls
 
 
 def parse(page: str) -> Node:
     """A forgiving tree: unclosed elements end with what holds them, a tag that the page breaks off in is dropped."""
     root = Node("html", False)
     path, at = [root], 0
-    n = len(page)
+    open_now: dict[str, int] = defaultdict(int)
+    n, hints = len(page), False
+
+    def close(k: int) -> None:
+        for x in path[k:]:
+            open_now[x.name] -= 1
+        del path[k:]
+
     while at < n:
         tag = TOKEN.search(page, at)
         begin = tag.start() if tag else n
@@ -61,36 +116,34 @@ def parse(page: str) -> Node:
         if not name or not tag[4]:
             continue
         if tag[1]:
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].name == name:
-                    del path[k:]
-                    break
+            if open_now[name] > 0:
+                close(next(k for k in range(len(path) - 1, 0, -1) if path[k].name == name))
             continue
-        if name in BLOCKS:
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].name == "p":
-                    del path[k:]
-                    break
-                if path[k].name in BLOCKS:
-                    break
-        if name in CLOSES:
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].name in CLOSES[name]:
-                    del path[k:]
-                    break
-                if path[k].name in ("ul", "ol", "dl", "table"):
-                    break
-        called = tag[3] and name not in ("html", "body", "main", "article") and any(NAMES.search((a[2] or a[3] or a[4] or "").lower()) for a in ATTRIBUTE.finditer(tag[3]))
-        node = Node(name, name in FURNITURE or bool(called))
+        # What is open is closed by what can't stand in it; nothing is looked for that isn't open, and what is passed by
+        # on the way is below what is opened now, so no element is passed by often.
+        if name in BLOCKS and open_now["p"] > 0:
+            k = next(k for k in range(len(path) - 1, -1, -1) if path[k].name in BLOCKS or not k)
+            if path[k].name == "p":
+                close(k)
+        if name in CLOSES and any(open_now[x] > 0 for x in CLOSES[name]):
+            k = next(k for k in range(len(path) - 1, -1, -1) if path[k].name in CLOSES[name] or path[k].name in ("ul", "ol", "dl", "table") or not k)
+            if path[k].name in CLOSES[name]:
+                close(k)
+        sure, hint = called(name, tag[3]) if tag[3] else (False, False)
+        hints = hints or (hint and not sure)
+        node = Node(name, name in FURNITURE or sure, hint)
         path[-1].children.append(node)
         if name in RAW:
-            close = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(page, at)
-            end = close.start() if close else n
+            ending = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(page, at)
+            end = ending.start() if ending else n
             node.furniture, at = True, end
             stop = page.find(">", end)
-            at = stop + 1 if close and stop >= 0 else n
-        elif name not in VOID and not tag[3].endswith("/"):
+            at = stop + 1 if ending and stop >= 0 else n
+        elif name not in VOID and (name in CLOSES or not tag[3].endswith("/")):
             path.append(node)
+            open_now[name] += 1
+    if hints:
+        confirm(root)
     return root
 
 
@@ -253,9 +306,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
     The main part of a page is its articles, else its main element, else all of it. Elements that are furniture by name,
-    class, id or role go. So do blocks below the main part that hold less than half of its text and whose hash (host,
-    names and text of the subtree) stands on MANY different pages of the host; prose (paragraphs, headings, list items,
-    cells) only if on SHARE of them as well, and if less than half of a page's text is such prose. What is left is cut
+    class, id or role go; where the name says other things too, or is that of a heading, paragraph or cell, only with form
+    controls or mostly links in it. So do blocks below the main part that hold less than half of its text and whose hash
+    (host, names and text of the subtree) stands on MANY different pages of the host; prose (paragraphs, headings, list
+    items, cells) only if on SHARE of them as well, and if less than half of a page's text is such prose. What is left is cut
     into blocks: character references are decoded, white space becomes one space, blocks are trimmed and joined by new
     lines; br is a space.
 
