@@ -72,6 +72,24 @@ def test_features_like_plain(spark, monkeypatch, shared):
         assert [got[i][c] for c in t.FEATURES] == pytest.approx(want, abs=1e-5)
 
 
+def test_counts_sent_on_often_add_up(monkeypatch):
+    import pyarrow as pa
+
+    rows = [(f"some words {i} ähnlich {'zq' * (i % 7)} repeated repeated", i % 2) for i in range(400)]
+    monkeypatch.setattr(t, "HELD", 10)
+    batches = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows[i : i + 20]]), pa.array([k for _, k in rows[i : i + 20]])], ["text", "cls"]) for i in range(0, 400, 20)]
+    sent = [b.to_pylist() for b in t._count(batches)]
+    got = {1: Counter(), 0: Counter()}
+    for batch in sent:
+        for r in batch:
+            got[1][r["gram"]] += r["toxic"]
+            got[0][r["gram"]] += r["ordinary"]
+    want = {1: Counter(), 0: Counter()}
+    for text, k in rows:
+        want[k].update(grams(text))
+    assert len(sent) > 5 and {k: +c for k, c in got.items()} == want
+
+
 def test_keys_that_begin_alike_keep_their_own_ratios():
     near = np.uint64(0xFFFFFF0000000000) + np.arange(50, dtype=np.uint64)
     keys = np.concatenate([near, np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)])

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,18 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-#: Lists that stored tables' folders are noted in.
-_noting: list[list[str]] = []
+#: Lists that stored tables' folders are noted in, of this thread.
+_noting: ContextVar[tuple[list[str], ...]] = ContextVar("noting", default=())
 
 
 @contextmanager
 def noted(paths: list[str]) -> Iterator[None]:
     """Notes in paths the folders of the tables that are stored meanwhile."""
-    _noting.append(paths)
+    before = _noting.set((*_noting.get(), paths))
     try:
         yield
     finally:
-        _noting.pop()
+        _noting.reset(before)
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
@@ -54,7 +55,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: work done once, and safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    for paths in _noting:
+    for paths in _noting.get():
         paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

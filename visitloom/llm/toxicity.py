@@ -81,9 +81,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         _held[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (base, back)]
     return _held[0][:n], _held[1][:n]
 
+#: N-grams that a task holds before it sends their counts on.
+HELD = 2 * CHUNK
+
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of batches with text and cls: n-grams and their counts in either class, summed within the task.
+    """Of batches with text and cls: n-grams and their counts in either class, summed within the task until there are
+    more than HELD different ones, and then sent on.
 
     An n-gram is its letters, after a blank where its word begins.
     """
@@ -94,6 +98,12 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, first, where = np.unique(keys, return_index=True, return_inverse=True)
         return kept, words[first], *(np.bincount(where, x, len(kept)).astype(np.int64) for x in counts)
 
+    def flushed() -> Iterator[pa.RecordBatch]:
+        _, words, *counts = merged(held)
+        held.clear()
+        for i in range(0, len(words), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 65536], pa.string()), *(pa.array(x[i : i + 65536]) for x in counts)], ["gram", "toxic", "ordinary"])
+
     for batch in batches:
         texts, classes = columns(batch, "text", "cls")
         for a, b, some in charlm.pieces(texts):
@@ -104,12 +114,12 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words[:] = [whole[i:j] for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
             kind = np.repeat(np.array(classes[a:b], np.int64), sizes)
             held.append((keys, words, *(np.bincount(where[kind == k], minlength=len(keys)).astype(np.int64) for k in (1, 0))))
-        if sum(len(x[0]) for x in held) > 2 * CHUNK:
-            held = [merged(held)]
+            if sum(len(x[0]) for x in held) > 2 * HELD:
+                held[:] = [merged(held)]
+                if len(held[0][0]) > HELD:
+                    yield from flushed()
     if held:
-        _, words, *counts = merged(held)
-        for i in range(0, len(words), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 65536], pa.string()), *(pa.array(x[i : i + 65536]) for x in counts)], ["gram", "toxic", "ordinary"])
+        yield from flushed()
 
 
 def counted(docs: DataFrame) -> DataFrame:
