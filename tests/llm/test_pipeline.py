@@ -67,3 +67,13 @@ def test_odd_rows(spark):
             n = rows.count()
             assert n <= 2 * len(ROWS) if name == "mixing" else n <= few[name]
         assert stage(spark, docs.limit(0), FOLDER).count() == 0, name
+
+
+def test_runs_keep_their_own_tables(spark):
+    """Results of two runs and of one stage called twice, read after all are made."""
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    stages = dict(p.STAGES)
+    a, b = stages["packing"](spark, docs, FOLDER), stages["packing"](spark, docs, FOLDER)
+    assert b.count() == a.count() > 0
+    one, other = p.run(spark, FOLDER), p.run(spark, FOLDER)
+    assert other.count() == one.count() > 0
