@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitloom.llm import language, mixing, near_duplicates, packing, toxicity
@@ -43,8 +43,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(rows, carry=("row_hash",)).where("group_id is not null")
     first = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash")).alias("f"))
     chosen = first.select(F.col("f.doc_id").alias("id"), F.col("f.row_hash").alias("hash"))
-    once = F.row_number().over(Window.partitionBy("row_hash", "doc_id").orderBy("n_chars"))
-    kept = rows.join(chosen, (F.col("row_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").withColumn("nth", once).where("nth = 1")
+    kept = rows.join(chosen, (F.col("row_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["row_hash", "doc_id"])
     blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return kept.select(*COLUMNS).unionByName(rows.where(blank).select(*COLUMNS))
 
@@ -68,35 +67,41 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-_left: list[str] = []
+_PLAIN = [("toxicity", not_toxic), ("language", known_language), ("near_duplicates", distinct), ("mixing", mixed), ("packing", packed)]
+#: What the last call of each stage over each folder left on its way.
+_left: dict[tuple[int, str], list[str]] = {}
 
 
-def _alone(stage):
-    """The stage, once the tables that the stage before stored on its way are deleted: its result has been written."""
+def _alone(nth: int, stage):
+    """The stage, once what the last call of the stage before stored on its way is deleted: its result has been written.
+    What a stage itself or any later one left stays, so results that aren't read yet keep theirs."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        removed(spark, _left)
-        with noted(_left):
-            return stage(spark, docs, sf_dir)
+        removed(spark, _left.pop((nth - 1, sf_dir), []))
+        own: list[str] = []
+        with noted(own):
+            out = stage(spark, docs, sf_dir)
+        _left[nth, sf_dir] = own
+        return out
 
     return run
 
 
-#: Each stage's result must be written before the next one is called.
-STAGES = [("toxicity", _alone(not_toxic)), ("language", _alone(known_language)), ("near_duplicates", _alone(distinct)), ("mixing", _alone(mixed)), ("packing", _alone(packed))]
+#: Called one by one, each stage's result must be written before the next one of the same folder is called.
+STAGES = [(name, _alone(k, stage)) for k, (name, stage) in enumerate(_PLAIN)]
 #: SQL can't express what the models of the first stages learn; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. A run deletes only what it stored itself; runs at the same time don't meet."""
     docs = spark.read.parquet(table(sf_dir, "documents"))
     before: list[str] = []
-    for _, stage in STAGES[:-1]:
+    for _, stage in _PLAIN[:-1]:
         now: list[str] = []
-        result = stage(spark, docs, sf_dir)
         with noted(now):
-            docs = stored(result)
+            docs = stored(stage(spark, docs, sf_dir))
         removed(spark, before)
         before = now
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return _PLAIN[-1][1](spark, docs, sf_dir)
