@@ -26,36 +26,6 @@ CUES = {
 BACK, ON, AROUND, LOCAL = 40, 25, 30, 12
 
 
-def find_terms(texts: DataFrame, lexicon: DataFrame, most_words: int = 3) -> DataFrame:
-    """Candidate spans: id, kind, code, surface, at (from 0), n_words.
-
-    Words of a text and runs of up to most_words of them are joined with the lexicon on equality, so a large lexicon is
-    a shuffle and a small one a broadcast; texts are never scanned once per term.
-    """
-    words = texts.select("id", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"))
-    out = None
-    for n in range(1, most_words + 1):
-        runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " ")) if n > 1 else F.col("w")
-        one = words.where(F.size("w") >= n).select("id", F.posexplode(runs).alias("at", "surface"), F.lit(n).alias("n_words"))
-        out = one if out is None else out.unionByName(one)
-    return out.join(lexicon.select("kind", "code", F.lower("surface").alias("surface")), "surface").select("id", "kind", "code", "surface", "at", "n_words")
-
-
-def mentions(texts: DataFrame, lexicon: DataFrame, most_words: int = 3) -> DataFrame:
-    """Candidates that no longer one of the same kind overlaps, and the first of each code; longest surface first.
-
-    A candidate loses to one of the same kind that is longer, or as long and earlier, and overlaps it; two passes of
-    windows suffice as surfaces have few words.
-    """
-    found = find_terms(texts, lexicon, most_words).withColumn("stop", F.col("at") + F.col("n_words"))
-    longer = Window.partitionBy("id", "kind").orderBy("at").rangeBetween(-(most_words - 1), most_words - 1)
-    near = F.collect_list(F.struct("at", "stop", "n_words", "code")).over(longer)
-    beaten = F.exists("near", lambda x: (x["at"] < F.col("stop")) & (x["stop"] > F.col("at")) & ((x["n_words"] > F.col("n_words")) | ((x["n_words"] == F.col("n_words")) & ((x["at"] < F.col("at")) | ((x["at"] == F.col("at")) & (x["code"] < F.col("code")))))))
-    kept = found.withColumn("near", near).where(~beaten)
-    first = F.row_number().over(Window.partitionBy("id", "kind", "code").orderBy(F.col("n_words").desc(), "at"))
-    return kept.withColumn("nth", first).where("nth = 1").select("id", "kind", "code", "surface", "at", "n_words")
-
-
 def veto(spans: DataFrame, texts: DataFrame, code: str, forbidden: list[str], around: int = 18) -> DataFrame:
     """Spans (id, code, begin, end in characters) of a code with a forbidden word within so many characters go."""
     near = F.lower(F.substring("text", F.greatest(F.col("begin") + 1 - around, F.lit(1)), F.col("end") - F.col("begin") + 2 * around))
@@ -155,13 +125,6 @@ def short_pressure(value: Column) -> Column:
     return F.when(value <= 25, value * 10).otherwise(value)
 
 
-def triggers(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """id, code of each phrase that a text holds. Few phrases: one array, tested in place; no pair of rows is made."""
-    listed = phrases.agg(F.array_sort(F.collect_set(F.struct("code", "phrase"))).alias("phrases"))
-    held = F.filter("phrases", lambda p: F.contains(F.col("text"), p["phrase"]))
-    return texts.crossJoin(F.broadcast(listed)).select("id", F.explode(F.array_distinct(F.transform(held, lambda p: p["code"]))).alias("code"))
-
-
 def guard(raw: Column, candidate: Column, units: list[str], cues: dict[str, list[str]], qualifiers: dict[str, list[str]], terms: dict[str, list[str]], genders: dict[str, list[str]], sensitive: dict[str, list[str]]) -> Column:
     """Why a rewrite isn't safe, in this order; empty if it is.
 

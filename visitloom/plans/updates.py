@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.operators import curation as cu
+from visitloom.operators import lexicon as lx
 from visitloom.operators import mentions as me
 from visitloom.operators import rules as ru
 from visitloom.operators import updates as o
@@ -126,13 +127,18 @@ def src_05(t: Tables) -> DataFrame:
 
 @query("join_16", f"with {SPANS} select id, kind, code, surface, \"at\"::int \"at\", n_words::int n_words from c")
 def join_16(t: Tables) -> DataFrame:
-    return me.find_terms(t.documents.select(F.col("doc_id").alias("id"), "text"), lexicon(t))
+    return lx.find_terms(t.documents.select(F.col("doc_id").alias("id"), "text"), lexicon(t)).select("id", "kind", "code", "surface", "at", "n_words")
 
 
-@query("ext_01", f"""with {SPANS}, k as (select * from c a where not exists (select 1 from c b where a.id = b.id and a.kind = b.kind and b."at" < a."at" + a.n_words and b."at" + b.n_words > a."at" and (b.n_words > a.n_words or (b.n_words = a.n_words and (b."at" < a."at" or (b."at" = a."at" and b.code < a.code)))))),
-  r as (select *, row_number() over (partition by id, kind, code order by n_words desc, "at") n from k) select id, kind, code, surface, "at"::int "at", n_words::int n_words from r where n = 1""")
+# Of each kind, codes by falling length of their surface; each takes its first place that no code before it has taken.
+CLAIMS = f"""{SPANS}, b1 as (select id, arg_min(c, "at") h from c where code = 'B' group by 1), a1 as (select c.id, arg_min(c, c."at") h from c left join b1 using (id) where c.code = 'A' and (b1.h is null or c."at" not in (b1.h."at", b1.h."at" + 1)) group by 1),
+  c1 as (select c.id, arg_min(c, c."at") h from c left join b1 using (id) left join a1 using (id) where c.code = 'C' and (b1.h is null or c."at" not in (b1.h."at", b1.h."at" + 1)) and (a1.h is null or c."at" <> a1.h."at") group by 1),
+  d1 as (select id, arg_min(c, "at") h from c where code = 'D' group by 1), k as (select unnest(h) from (from b1 union all from a1 union all from c1 union all from d1))"""
+
+
+@query("ext_01", f"with {CLAIMS} select id, kind, code, surface, \"at\"::int \"at\", n_words::int n_words from k")
 def ext_01(t: Tables) -> DataFrame:
-    return me.mentions(t.documents.select(F.col("doc_id").alias("id"), "text"), lexicon(t))
+    return lx.mentions(t.documents.select(F.col("doc_id").alias("id"), "text"), lexicon(t)).select("id", "kind", "code", "surface", "at", "n_words")
 
 
 HIT = """h as (select doc_id id, text, unnest(list_transform(range(1, len(s)), lambda k: list_sum(list_transform(s[1:k], lambda x: length(x))) + 5 * (k - 1) + 1))::bigint as p
@@ -233,7 +239,7 @@ def ext_09(t: Tables) -> DataFrame:
 @query("ext_10")
 def ext_10(t: Tables) -> DataFrame:
     texts = t.documents.select(F.col("doc_id").alias("id"), "text")
-    terms = me.mentions(texts, lexicon(t)).select("id", "kind", "code", F.lit(None).cast("double").alias("value"))
+    terms = lx.mentions(texts, lexicon(t)).select("id", "kind", "code", F.lit(None).cast("double").alias("value"))
     numbers = me.readings(texts, PATTERNS).select("id", F.lit("reading").alias("kind"), "code", "value")
     implied = numbers.select("id", F.lit("test").alias("kind"), "code", F.lit(None).cast("double").alias("value")).distinct()
     return terms.unionByName(numbers).unionByName(implied)
@@ -242,7 +248,7 @@ def ext_10(t: Tables) -> DataFrame:
 @query("ext_11", "with p as (select item_id, text from benchmark) select doc_id id, 'B' || item_id code from documents d join p on contains(d.text, p.text)")
 def ext_11(t: Tables) -> DataFrame:
     phrases = t.benchmark.select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("code"), F.col("text").alias("phrase"))
-    return me.triggers(t.documents.select(F.col("doc_id").alias("id"), "text"), phrases)
+    return lx.triggers(t.documents.select(F.col("doc_id").alias("id"), "text"), phrases)
 
 
 @query("ext_12", f"with {STATES} select event_id, case kind when 'view' then 'symptom' when 'click' then 'symptom' when 'error' then 'sign' end kind, case kind when 'click' then 'view' else kind end code, value as value from states where kind in ('view', 'click', 'error') and not postpartum")
