@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visitloom.functions import text
-from visitloom.operators import aggregates, discourse, filters, linkage, mentions, routing, rules, states, updates, vectors
+from visitloom.operators import aggregates, discourse, filters, linkage, mentions, phrases, routing, rules, states, updates, vectors
 
 T0 = datetime(2024, 1, 1)
 OBS = "patient_id long, effective_at timestamp, created_at timestamp, pregnant boolean, postpartum boolean, ga_weeks int"
@@ -229,7 +229,7 @@ def test_suggestion_needs_an_underscore(spark):
 def test_mined_phrases(spark):
     rows = [(i, "pain of the back pain of the back") for i in range(3)] + [(9, "of the of"), (10, "sore throat"), (11, "sore throat"), (12, "sore throat sore")]
     known = spark.createDataFrame([("Sore throat",)], "phrase string")
-    got = {(r.phrase, r.n) for r in aggregates.mine_phrases(spark.createDataFrame(rows, "id long, text string"), ["of", "the"], 3, 50, known).collect()}
+    got = {(r.phrase, r.n) for r in phrases.mine_phrases(spark.createDataFrame(rows, "id long, text string"), ["of", "the"], 3, 50, known).collect()}
     assert got == {("pain of the back", 6), ("back pain of the", 3), ("of the back pain", 3)}
 
 

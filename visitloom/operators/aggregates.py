@@ -223,33 +223,3 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 
 def label_ids(rows: DataFrame, label: str) -> DataFrame:
     return rows.select(F.col(label).alias("label")).where("label is not null").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("id"))
-
-
-def mine_phrases(texts: DataFrame, stop: list[str], least: int, top: int, known: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
-    """Word n-grams that stand least times or more, not held by a kept longer one, nor holding a known form (phrase).
-
-    Those that begin and end with a stop word, or have no other words, go. n: how often a phrase stands; example: the
-    smallest id of a text with it.
-    """
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,})")), lambda w: w != "")
-    rows = texts.select("id", words.alias("w"))
-    stops = F.array(*map(F.lit, stop))
-
-    def runs(column: str, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(column) - n + 1), lambda i: F.array_join(F.slice(column, i, F.lit(n)), " "))
-
-    # Counted within each task first, so a frequent phrase is a row a task.
-    parts = [rows.where(F.size("w") >= n).select("id", F.explode(runs("w", n)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"), F.min("id").alias("example")).where(F.col("n") >= least) for n in sizes]
-    many = parts[0]
-    for p in parts[1:]:
-        many = many.unionByName(p)
-    split = many.withColumn("g", F.split("phrase", " "))
-    ends = F.array_contains(stops, F.get("g", F.lit(0))) & F.array_contains(stops, F.element_at("g", -1))
-    kept = split.where(~ends & F.exists("g", lambda w: ~F.array_contains(stops, w)))
-    held = F.flatten(F.array(*[F.when(F.size("g") >= n, runs("g", n)).otherwise(F.array().cast("array<string>")) for n in range(1, max(sizes) + 1)]))
-    listed = kept.select("phrase", "n", "example", held.alias("held"))
-    bad = listed.select("phrase", F.explode("held").alias("form")).join(known.select(F.lower("phrase").alias("form")).distinct(), "form", "left_semi").select("phrase").distinct()
-    good = listed.join(bad, "phrase", "left_anti")
-    inner = good.select("phrase", F.explode("held").alias("form")).where("form <> phrase").select(F.col("form").alias("phrase")).distinct()
-    return good.join(inner, "phrase", "left_anti").select("phrase", "n", "example").orderBy(F.col("n").desc(), "phrase").limit(top)
-

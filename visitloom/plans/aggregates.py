@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from visitloom.operators import aggregates as o
 from visitloom.operators.filters import local_day_bounds
+from visitloom.operators.phrases import mine_phrases
 from visitloom.plans.bindings import FACTS, ITEMS, JOBS, SEGMENTS, STATES, facts, items, jobs, segments, states
 from visitloom.plans.registry import Tables, query
 from visitloom.plans.rows import CORRECTIONS, PRIORITY, corrections, with_priority
@@ -227,7 +228,7 @@ def agg_41(t: Tables) -> DataFrame:
     """Known forms: the first two words of each benchmark passage."""
     w = F.split("text", " ")
     known = t.benchmark.select(F.concat_ws(" ", F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit(""))).alias("phrase"))
-    return o.mine_phrases(t.documents.select(F.col("doc_id").alias("id"), "text"), ["the", "of", "and"], 8, 100, known)
+    return mine_phrases(t.documents.select(F.col("doc_id").alias("id"), "text"), ["the", "of", "and"], 8, 100, known)
 
 
 @query("agg_42", "with n as (select quality as label, count(*)::bigint n from labels group by 1) select label, n, round(1 / n / (select sum(1 / n) from n) * (select count(*) from n), 6) weight from n")
