@@ -86,31 +86,39 @@ def find_affirmed(spans: DataFrame, cues: dict[str, list[str]] = CUES) -> DataFr
     return said.groupBy("id").agg(F.count("*").alias("found"), F.bool_or(F.col("said") == "present").alias("affirmed"))
 
 
-def lab_values(spans: DataFrame, levels: dict[str, list[str]], cues: dict[str, list[str]] = CUES) -> DataFrame:
-    """spans (text, begin, end) with qualifier and value, null where the text gives none.
+def lab_reading(text: Column, begin: Column, end: Column, levels: dict[str, list[str]], cues: dict[str, list[str]] = CUES) -> Column:
+    """A struct of qualifier and value of a span, null where the text gives none.
 
     Both stand within AROUND characters of the span and within its clause. qualifier: the first of levels one of whose
     words is there and isn't denied, hypothetical or the like by what stands in the LOCAL characters before it. value:
     the first number after the span.
     """
-    text, begin, end = F.col("text"), F.col("begin"), F.col("end")
     start, stop = clause(text, begin, end)
-    own = spans.withColumn("_start", start).withColumn("_from", F.greatest(start, begin - AROUND)).withColumn("_to", F.least(stop, end + AROUND))
-    own = own.withColumn("_near", F.lower(F.substring(text, F.col("_from") + 1, F.col("_to") - F.col("_from"))))
-
-    def stands(word: str) -> Column:
-        def affirmed(i: Column) -> Column:
-            at = F.col("_from") + i
-            back = F.greatest(F.col("_start"), at - LOCAL)
-            before = F.substring(text, back + 1, at - back)
-            return (F.substring("_near", i + 1, F.lit(len(word))) == word) & (_said(before, before, F.lit(""), F.concat(before, F.lit(word)), cues) == "present")
-
-        return F.contains("_near", F.lit(word)) & F.exists(F.sequence(F.lit(0), F.length("_near")), affirmed)
-
-    level = F.coalesce(*[F.when(reduce(or_, map(stands, words)), name) for name, words in levels.items()])
-    number = F.regexp_extract(F.substring(text, end + 1, F.col("_to") - end), r"(\d+(?:[.,]\d+)?)", 1)
-    value = F.nullif(F.replace(number, F.lit(","), F.lit(".")), F.lit("")).cast("double")
-    return own.withColumn("qualifier", level).withColumn("value", value).drop("_start", "_from", "_to", "_near")
+    first, last = F.greatest(start, begin - AROUND), F.least(stop, end + AROUND)
+    whole = F.array(F.struct(start.alias("start"), first.alias("first"), last.alias("last"), F.lower(F.substring(text, first + 1, last - first)).alias("near")))
+
+    def read(w: Column) -> Column:
+        def stands(word: str) -> Column:
+            def affirmed(i: Column) -> Column:
+                at = w["first"] + i
+                back = F.greatest(w["start"], at - LOCAL)
+                before = F.substring(text, back + 1, at - back)
+                return (F.substring(w["near"], i + 1, F.lit(len(word))) == word) & (_said(before, before, F.lit(""), F.concat(before, F.lit(word)), cues) == "present")
+
+            return F.contains(w["near"], F.lit(word)) & F.exists(F.sequence(F.lit(0), F.length(w["near"])), affirmed)
+
+        level = F.coalesce(F.lit(None).cast("string"), *[F.when(reduce(or_, map(stands, words)), name) for name, words in levels.items()])
+        number = F.regexp_extract(F.substring(text, end + 1, w["last"] - end), r"(\d+(?:[.,]\d+)?)", 1)
+        return F.struct(level.alias("qualifier"), F.nullif(F.replace(number, F.lit(","), F.lit(".")), F.lit("")).cast("double").alias("value"))
+
+    # The window is worked out once: an array of one, whose element the expressions below share.
+    return F.get(F.transform(whole, read), F.lit(0))
+
+
+def lab_values(spans: DataFrame, levels: dict[str, list[str]], cues: dict[str, list[str]] = CUES) -> DataFrame:
+    """spans (text, begin, end) with the qualifier and value of lab_reading."""
+    read = lab_reading(F.col("text"), F.col("begin"), F.col("end"), levels, cues)
+    return spans.withColumn("_read", read).withColumn("qualifier", F.col("_read.qualifier")).withColumn("value", F.col("_read.value")).drop("_read")
 
 
 def readings(texts: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:

@@ -54,13 +54,6 @@ def upd_05(t: Tables) -> DataFrame:
     return o.apply_corrections(rows, label.unionByName(text), {"F": "plan"}, "O")
 
 
-@query("upd_06", f"with {SEGMENTS}, e as (select job_id, order_index, case when order_index % 2 = 0 then 'the other' else text end as text from segments) select job_id, order_index, len(list_filter(string_split(lower(text), ' '), lambda w: w = 'the'))::int n from e")
-def upd_06(t: Tables) -> DataFrame:
-    edited = segments(t).where("order_index % 2 = 0").withColumn("text", F.lit("the other"))
-    now = segments(t).join(edited.select("job_id", "order_index"), ["job_id", "order_index"], "left_anti").unionByName(edited)
-    return now.select("job_id", "order_index", F.size(F.filter(F.split(F.lower("text"), " "), lambda w: w == "the")).alias("n"))
-
-
 @query("upd_09", f"""with {JOBS}, r as (select job_id id, patient_id key, severity fp, visit_at v from jobs), f as (select *, first(fp) over w a, row_number() over w n from r window w as (partition by key order by v, id))
   select id, key, case when n = 1 then 'created' when fp = a then 'existing' else 'conflict' end outcome from f""")
 def upd_09(t: Tables) -> DataFrame:
@@ -212,12 +205,6 @@ def ext_06(t: Tables) -> DataFrame:
     return me.readings(t.documents.select(F.col("doc_id").alias("id"), "text"), PATTERNS)
 
 
-@query("ext_07", "with x as (select doc_id id, unnest(regexp_extract_all(text, '(\\d+)', 1)) v, generate_subscripts(regexp_extract_all(text, '(\\d+)', 1), 1) - 1 nth from documents) select id, nth::int nth, case when try_cast(v as double) <= 25 then try_cast(v as double) * 10 else try_cast(v as double) end as value from x")
-def ext_07(t: Tables) -> DataFrame:
-    found = me.readings(t.documents.select(F.col("doc_id").alias("id"), "text"), [("pressure", r"(\d+)", "mmHg")])
-    return found.select("id", "nth", me.short_pressure(F.col("value")).alias("value"))
-
-
 def _level_sql(word: str) -> str:
     at = "substr(text, greatest(st, f + i - 12) + 1, f + i - greatest(st, f + i - 12))"
     said = _said_sql(at, at, "''", f"{at} || '{word}'")
@@ -230,21 +217,6 @@ def ext_08(t: Tables) -> DataFrame:
     return me.lab_values(_spans(t), {"high": ["the"], "low": ["in"], "normal": ["re"]}, SAYS).select("id", "qualifier", "value")
 
 
-@query("ext_09", "with w as (select distinct doc_id id, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) w from documents) select id, lower(w) name, case when lower(w) in ('that', 'with') then 'medication' else 'unknown_drug' end kind from w group by all")
-def ext_09(t: Tables) -> DataFrame:
-    words = t.documents.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})")), F.lower))).alias("name"))
-    return words.withColumn("kind", F.when(F.col("name").isin("that", "with"), "medication").otherwise("unknown_drug"))
-
-
-@query("ext_10")
-def ext_10(t: Tables) -> DataFrame:
-    texts = t.documents.select(F.col("doc_id").alias("id"), "text")
-    terms = lx.mentions(texts, lexicon(t)).select("id", "kind", "code", F.lit(None).cast("double").alias("value"))
-    numbers = me.readings(texts, PATTERNS).select("id", F.lit("reading").alias("kind"), "code", "value")
-    implied = numbers.select("id", F.lit("test").alias("kind"), "code", F.lit(None).cast("double").alias("value")).distinct()
-    return terms.unionByName(numbers).unionByName(implied)
-
-
 @query("ext_11", "with p as (select item_id, text from benchmark) select doc_id id, 'B' || item_id code from documents d join p on contains(d.text, p.text)")
 def ext_11(t: Tables) -> DataFrame:
     phrases = t.benchmark.select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("code"), F.col("text").alias("phrase"))
