@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitloom.operators.ranks import running
+
 
 def archive_stats(audio: DataFrame, warn_gb: float) -> DataFrame:
     """audio: size (bytes), recorded_at, verified_at. One row."""
@@ -111,10 +113,10 @@ def threshold_for_precision(pred: DataFrame, precision: float = 0.9, coverage: f
 
 
 def auroc(scores: DataFrame) -> DataFrame:
-    """Of score and positive: the share of pairs in order, ties half. Sums per score, then running sums over scores."""
+    """Of score and positive: the share of pairs in order, ties half. Sums per score, then running sums over scores, range
+    by range. NaN if one side has no rows."""
     per = scores.groupBy("score").agg(F.count_if(F.col("positive")).alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = per.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("won"))
+    pairs = running(per, ["score"], ["n"]).select("p", "n", (F.col("p") * (F.col("before_n") + F.col("n") / 2)).alias("won"))
     return pairs.agg(F.when((F.sum("p") > 0) & (F.sum("n") > 0), F.round(F.sum("won") / (F.sum("p") * F.sum("n")), 8)).otherwise(float("nan")).alias("auroc"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitloom.operators.ranks import running
+
 
 def dedupe_first(rows: DataFrame, text: str, position: str) -> DataFrame:
     """The first row of each text."""
@@ -17,16 +19,22 @@ def quota(rows: DataFrame, label: str, order: list[Column], n: int) -> DataFrame
 
 def stratified_split(rows: DataFrame, label: str, key: str, seed: str) -> DataFrame:
     """test, val or train for each row: 15 % each of a label by a hash order, rounded half to even; a label of three or
-    more has at least one in either."""
-    n = F.count("*").over(Window.partitionBy(label))
-    nth = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(label).cast("string"), F.col(key).cast("string"))), key))
+    more has at least one in either.
+
+    All rows are ranked at once, range by range, label after label; a label's first rank is what the labels before hold,
+    and labels are few. Rows without a label are a label of their own, the first.
+    """
+    hashed = rows.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.col(label).cast("string"), F.col(key).cast("string")))).withColumn("_one", F.lit(1))
+    ranked = running(hashed, [F.col(label).asc_nulls_first(), "_order", key], ["_one"])
+    sizes = ranked.groupBy(F.col(label).alias("_of")).agg(F.count("*").alias("n"), F.min("before__one").alias("first"))
+    both = ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_of"))).withColumn("nth", F.col("before__one") - F.col("first") + 1)
+    n = F.col("n")
     share = F.bround(n * 0.15)
     least = F.when(n >= 3, F.greatest(share, F.lit(1.0))).otherwise(share)
     test = F.least(least, n - 1)
     val = F.least(least, n - test - 1)
-    out = rows.withColumns({"nth": nth, "test_n": test, "val_n": val})
-    part = F.when(F.col("nth") <= F.col("test_n"), "test").when(F.col("nth") <= F.col("test_n") + F.col("val_n"), "val").otherwise("train")
-    return out.withColumn("part", part).drop("nth", "test_n", "val_n")
+    part = F.when(F.col("nth") <= test, "test").when(F.col("nth") <= test + val, "val").otherwise("train")
+    return both.select(*rows.columns, part.alias("part"))
 
 
 def continuation_flags(rows: DataFrame, key: str, start: str, end: str, order: str, low: float = -0.25, high: float = 1.5) -> DataFrame:

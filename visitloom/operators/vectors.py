@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from visitloom.functions.scores import softmax
 from visitloom.operators.aggregates import ece
+from visitloom.operators.ranks import quantiles
 
 
 def components(vectors: DataFrame) -> DataFrame:
@@ -45,7 +48,10 @@ def class_distance(vectors: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def distance_quantiles(distances: DataFrame) -> DataFrame:
-    return distances.agg(*[F.round(F.percentile("distance", F.lit(q)), 6).alias(f"p{str(q)[2:]}") for q in (0.5, 0.9, 0.95, 0.99, 0.995)])
+    """One row of exact quantiles of distance, 6 places."""
+    shares = [0.5, 0.9, 0.95, 0.99, 0.995]
+    found = quantiles(distances, "distance", shares)
+    return distances.sparkSession.range(1).select(*[F.round(F.lit(v).cast("double"), 6).alias(f"p{str(q)[2:]}") for q, v in zip(shares, found, strict=True)])
 
 
 def logits(vectors: DataFrame, means: DataFrame) -> DataFrame:
@@ -120,7 +126,8 @@ def separability(neighbours: DataFrame, a: object, b: object) -> DataFrame:
 def mahalanobis(vectors: DataFrame) -> DataFrame:
     """Distances to the mean under the full covariance, shrunk by a thousandth of its mean variance.
 
-    Spark sums the moments, a matrix of the dimension's size; its pseudo-inverse is the driver's only work.
+    Tasks sum the moments of their rows and Spark sums those element by element, so one matrix of the dimension's size
+    comes to the driver, whose only work is its pseudo-inverse.
     """
 
     def moments(frames):
@@ -132,8 +139,13 @@ def mahalanobis(vectors: DataFrame) -> DataFrame:
         if n:
             yield pd.DataFrame({"n": [n], "s": [np.asarray(s).tolist()], "ss": [np.asarray(ss).ravel().tolist()]})
 
-    parts = vectors.select("v").mapInPandas(moments, "n long, s array<double>, ss array<double>").toPandas()
-    n, s, ss = parts["n"].sum(), np.sum([np.array(x) for x in parts["s"]], 0), np.sum([np.array(x) for x in parts["ss"]], 0)
+    parts = vectors.select("v").mapInPandas(moments, "n long, s array<double>, ss array<double>")
+    long = parts.select(F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "ss")).alias("i", "x"))
+    every = np.array([r["x"] for r in long.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])
+    if not len(every):
+        return vectors.select("id", F.lit(None).cast("double").alias("distance"))
+    width = round((math.sqrt(4 * len(every) - 3) - 1) / 2)  # of 1 + d + d * d numbers
+    n, s, ss = every[0], every[1 : 1 + width], every[1 + width :]
     d = len(s)
     mean = s / n
     cov = (ss.reshape(d, d) - n * np.outer(mean, mean)) / max(1, n - 1)
