@@ -156,17 +156,6 @@ def weekly_activity(sessions: DataFrame, finals: DataFrame, now: Column, zone: s
     return days.join(a, "day", "left").join(b, "day", "left").select("day", F.date_format("day", "EEE").alias("name"), F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("approved", F.lit(0)).alias("approved"))
 
 
-def text_role_score(texts: DataFrame, clinician: list[str], patient: list[str]) -> DataFrame:
-    """Per cluster: (clinician - patient) / both of marker counts in its texts; 0 without any."""
-
-    def hits(words: list[str]) -> Column:
-        text = F.lower("text")
-        return sum(((F.length(text) - F.length(F.replace(text, F.lit(w)))) / len(w) for w in words), F.lit(0.0))
-
-    sums = texts.groupBy("cluster").agg(F.sum(hits(clinician)).alias("c"), F.sum(hits(patient)).alias("p"))
-    return sums.select("cluster", F.when(F.col("c") + F.col("p") > 0, F.round((F.col("c") - F.col("p")) / (F.col("c") + F.col("p")), 6)).otherwise(0.0).alias("score"))
-
-
 def merge_suggestions(fired: DataFrame) -> DataFrame:
     """Per visit and key: the first firing's severity and title, and the unions of evidence and tests."""
     lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("evidence", "tests")]

@@ -159,15 +159,6 @@ def mahalanobis(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "v").mapInPandas(measure, "id long, distance double")
 
 
-def assign_roles(clusters: DataFrame, margin: float, alone: float) -> DataFrame:
-    """doctor, patient or unknown for each cluster of a job by its score; too small a lead leaves all unknown."""
-    by = Window.partitionBy("job_id").orderBy(F.col("score").desc(), "cluster")
-    ranked = clusters.withColumns({"k": F.row_number().over(by), "gap": F.col("score") - F.lead("score").over(by), "m": F.count("*").over(Window.partitionBy("job_id"))})
-    lead = F.max(F.when(F.col("k") == 1, F.col("gap"))).over(Window.partitionBy("job_id"))
-    role = F.when(F.col("m") == 1, F.when(F.col("score") > alone, "doctor").otherwise("patient")).when(lead < margin, "unknown").when(F.col("k") == 1, "doctor").otherwise("patient")
-    return ranked.select("job_id", "cluster", role.alias("role"))
-
-
 def char_tfidf(texts: DataFrame, most: int = 64, vocabulary: int = 4096) -> DataFrame:
     """id and v: TF-IDF over character 2- to 4-grams within words, in up to most singular directions.
 
@@ -226,12 +217,34 @@ def cluster_label(vectors: DataFrame, k: int) -> DataFrame:
     return KMeans(k=k, seed=42).fit(rows).transform(rows).select("id", F.col("prediction").alias("cluster"))
 
 
-def score(vectors: DataFrame, model) -> DataFrame:
-    """id and what a model says of batches of vectors: model maps an array of them to labels and confidences."""
+def seeded_mask(ids: np.ndarray, turn: int, width: int) -> np.ndarray:
+    """Which components of each vector a pass keeps: three of ten go, by a generator seeded with the id and the pass."""
+    return np.stack([np.random.default_rng([int(i) & 0x7FFFFFFF, turn]).random(width) >= 0.3 for i in ids]) if len(ids) else np.zeros((0, width), bool)
+
+
+def score(vectors: DataFrame, model, below: float = 0.9, passes: int = 8, mask=seeded_mask) -> DataFrame:
+    """id, label, confidence, entropy, variance, scored of vectors (id, v): model maps an array of them to probabilities.
+
+    Vectors whose confidence is under below are scored again, passes times, with the components that mask (ids, pass,
+    width) keeps; variance is the mean over classes of the variance over these passes, 0 for the others, which are scored
+    once. entropy is a share of the largest possible. Masks depend on ids alone, so the result doesn't depend on batches.
+    """
 
     def run(frames):
         for f in frames:
-            label, confidence = model(np.stack(f["v"].to_list()).astype(float)) if len(f) else ([], [])
-            yield pd.DataFrame({"id": f["id"], "label": np.asarray(label, np.int64), "confidence": np.round(np.asarray(confidence, float), 6)})
-
-    return vectors.select("id", "v").mapInPandas(run, "id long, label long, confidence double")
+            if not len(f):
+                continue
+            x, ids = np.stack(f["v"].to_list()).astype(float), f["id"].to_numpy()
+            p = np.asarray(model(x), float)
+            most = np.take_along_axis(p, p.argmax(1)[:, None], 1)[:, 0]
+            logs = np.where(p > 0, np.log(np.where(p > 0, p, 1.0)), 0.0)
+            entropy = -(p * logs).sum(1) / math.log(max(2, p.shape[1]))
+            again = np.flatnonzero(most < below) if passes > 1 else np.zeros(0, int)
+            variance = np.zeros(len(x))
+            if len(again):
+                samples = np.stack([np.asarray(model(x[again] * mask(ids[again], k, x.shape[1])), float) for k in range(passes)])
+                variance[again] = samples.var(axis=0).mean(axis=1)
+            scored = np.where(np.isin(np.arange(len(x)), again), 1 + passes, 1)
+            yield pd.DataFrame({"id": ids, "label": p.argmax(1), "confidence": most.round(6), "entropy": entropy.round(6), "variance": variance.round(8), "scored": scored.astype(np.int64)})
+
+    return vectors.where("id is not null and v is not null").select("id", "v").mapInPandas(run, "id long, label long, confidence double, entropy double, variance double, scored long")

@@ -130,13 +130,6 @@ def agg_23(t: Tables) -> DataFrame:
     return o.correction_stats(items(t), corrections(t)).crossJoin(depth)
 
 
-@query("agg_24", f"""with {SEGMENTS}, s as (select job_id || '-' || speaker as cluster, sum((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3) c, sum((length(lower(text)) - length(replace(lower(text), 'que', ''))) / 3) p from segments group by 1)
-  select cluster, case when c + p > 0 then round((c - p) / (c + p), 6) else 0 end::double score from s""")
-def agg_24(t: Tables) -> DataFrame:
-    texts = segments(t).select(F.concat_ws("-", F.col("job_id").cast("string"), "speaker").alias("cluster"), "text")
-    return o.text_role_score(texts, ["the"], ["que"])
-
-
 def _fired(t: Tables) -> DataFrame:
     f = facts(t)
     visit = F.concat_ws("-", F.col("patient_id").cast("string"), F.col("day").cast("string"))
