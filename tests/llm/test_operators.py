@@ -423,3 +423,31 @@ def test_stray_tags_take_linear_time():
 def test_page_columns_that_clash(spark):
     table = spark.createDataFrame([(1, "https://a.example/1", "<p>kept</p>", "h", "x", 7, 8)], "page_id long, url string, html string, hosted string, host string, key int, content int")
     assert [tuple(r) for r in templates.extract(table).collect()] == [(1, "https://a.example/1", "kept", 4)]
+
+
+def test_mix_follows_the_schedule(spark, docs, monkeypatch):
+    """In every beginning of the mix each source has its share, to within a few slots; no other order of slots does that."""
+    shares = mixing.targets(docs.select("source", mixing.size_of(docs["text"]).alias("size")))
+    weight = {r["source"]: r["target"] for r in shares.collect()}
+    whole = sum(weight.values())
+
+    def furthest():
+        rows = sorted(((r["first_slot"], r["source"], r["taken"]) for r in mixing.mix(docs).collect() if r["taken"]), key=lambda r: r[0])
+        slots = sorted((r["slot"], r["source"]) for r in mixing.schedule(shares).collect())
+        worst, seen = 0.0, dict.fromkeys(weight, 0)
+        for i, (_, source) in enumerate(slots, 1):
+            seen[source] += 1
+            worst = max(worst, *(abs(seen[s] - i * w / whole) for s, w in weight.items()))
+        # Documents by where they stand: their words gathered so far against the target's share.
+        gap, got, done = 0.0, dict.fromkeys(weight, 0), 0
+        for _, source, taken in rows:
+            got[source] += taken
+            done += taken
+            gap = max(gap, *(abs(got[s] - done * w / whole) for s, w in weight.items()))
+        return worst, gap / done
+
+    worst, gap = furthest()
+    assert worst < 6 and gap < 0.2
+    monkeypatch.setattr(mixing, "GOLDEN", 0.0)
+    other, other_gap = furthest()
+    assert other > 100 and other_gap > gap

@@ -91,12 +91,15 @@ def begin(rank: Column) -> Column:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text, source): doc_id, size, source, source_size, target, taken, row_hash.
+    """One row per row of docs (doc_id, text, source): doc_id, size, source, source_size, target, taken, row_hash,
+    first_slot, last_slot.
 
     Each source's documents stand on end in the order of a hash of their id and text, twice. The slots of `schedule` that
     fall to a source take its target, to the word, from the beginning, in blocks of equal length, in order. taken: the
     words of a document in the blocks taken, repeats counted, so at most twice its size; a source's sum is its target,
-    rounded. row_hash: the hash of id and text.
+    rounded. row_hash: the hash of id and text. first_slot, last_slot: where in the mix a document stands, the
+    first and the last slot of the schedule whose block has words of it (null if none has); read in order of slots, each
+    beginning of the mix holds the sources in proportion to their targets, to within a few slots.
 
     Null or empty texts have size 0 and are taken 0 times. A null source is a source, the last. Repeated rows stand next
     to each other and count one by one; where all is equal it doesn't matter which comes first. Without any words every
@@ -124,8 +127,9 @@ def mix(docs: DataFrame) -> DataFrame:
     pieces = laps.select("source", "range", "nth", "at", "size", "words", "slots", F.explode(F.sequence(first, final)).alias("rank"))
     overlap = F.least(F.col("at") + F.col("size"), begin(F.col("rank") + 1)) - F.greatest(F.col("at"), begin(F.col("rank")))
     pieces = pieces.select("source", "range", "nth", "rank", overlap.alias("got")).where("got > 0")
-    p, t = pieces.alias("p"), slots.select("source", "rank").alias("t")
-    got = p.join(t, F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.rank") == F.col("t.rank"))).groupBy("p.source", "p.range", "p.nth").agg(F.sum("p.got").alias("taken"))
+    p, t = pieces.alias("p"), slots.select("source", "rank", "slot").alias("t")
+    met = p.join(t, F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.rank") == F.col("t.rank")))
+    got = met.groupBy("p.source", "p.range", "p.nth").agg(F.sum("p.got").alias("taken"), F.min("t.slot").alias("first_slot"), F.max("t.slot").alias("last_slot"))
     r, g = rows.alias("r"), got.alias("g")
     out = r.join(g, F.col("r.source").eqNullSafe(F.col("g.source")) & (F.col("r.range") == F.col("g.range")) & (F.col("r.nth") == F.col("g.nth")), "left")
-    return out.select("r.doc_id", "r.size", "r.source", "r.source_size", "r.target", F.coalesce("g.taken", F.lit(0)).cast("long").alias("taken"), "r.row_hash")
+    return out.select("r.doc_id", "r.size", "r.source", "r.source_size", "r.target", F.coalesce("g.taken", F.lit(0)).cast("long").alias("taken"), "r.row_hash", "g.first_slot", "g.last_slot")
