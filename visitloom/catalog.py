@@ -6,7 +6,7 @@ import importlib
 
 from visitloom.plans.registry import QUERIES, SQL, Query
 
-MODULES = ("rows", "aggregates", "joins", "scalars", "windows", "updates", "rulebase", "extraction", "roles", "vectors", "files")
+MODULES = ("rows", "aggregates", "joins", "scalars", "windows", "updates", "rulebase", "extraction", "roles", "visits", "vectors", "files")
 
 
 def _load() -> None:

@@ -71,10 +71,3 @@ def recompute(facts: DataFrame, old: DataFrame, changed: DataFrame, rules: list[
     ids = changed.select("visit_id").distinct()
     fresh = evaluate(facts.join(ids, "visit_id", "left_semi"), rules)
     return old.join(ids, "visit_id", "left_anti").unionByName(fresh)
-
-
-def visit_stage(facts: DataFrame, stages: list[tuple[str, list[str]]], none: str) -> DataFrame:
-    """The most advanced stage (first in the list) of which a visit has a marker."""
-    per = facts.groupBy("visit_id").agg(F.collect_set("code").alias("codes"))
-    stage = F.coalesce(*[F.when(F.arrays_overlap("codes", F.array(*map(F.lit, marks))), F.lit(name)) for name, marks in stages], F.lit(none))
-    return per.select("visit_id", stage.alias("stage"))

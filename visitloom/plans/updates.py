@@ -223,13 +223,6 @@ def ext_11(t: Tables) -> DataFrame:
     return lx.triggers(t.documents.select(F.col("doc_id").alias("id"), "text"), phrases)
 
 
-@query("ext_12", f"with {STATES} select event_id, case kind when 'view' then 'symptom' when 'click' then 'symptom' when 'error' then 'sign' end kind, case kind when 'click' then 'view' else kind end code, value as value from states where kind in ('view', 'click', 'error') and not postpartum")
-def ext_12(t: Tables) -> DataFrame:
-    kinds = F.create_map(*[F.lit(x) for x in ("view", "symptom", "click", "symptom", "error", "sign")])
-    rows = states(t).withColumn("as_kind", kinds[F.col("kind")]).where("as_kind is not null and not postpartum")
-    return rows.select("event_id", F.col("as_kind").alias("kind"), F.when(F.col("kind") == "click", "view").otherwise(F.col("kind")).alias("code"), "value")
-
-
 @query("ext_13", f"with {ITEMS} select item_id, 'low_confidence' code from items where is_suspect and (ood > 0.7 or confidence < 0.3)")
 def ext_13(t: Tables) -> DataFrame:
     return items(t).where("is_suspect").where("ood > 0.7 or confidence < 0.3").select("item_id", F.lit("low_confidence").alias("code"))
@@ -286,18 +279,6 @@ def grd_01(t: Tables) -> DataFrame:
     return pairs.withColumn("reasons", reasons).select("doc_id", "reasons", me.guard_status(raw, candidate, F.length(raw) >= 40, F.col("reasons")).alias("status"))
 
 
-@query("agg_34", f"with {VFACTS} select visit_id, case when bool_or(code = 'purchase') then 'postpartum' when bool_or(code = 'error') then 'labour' when bool_or(code in ('signup', 'click')) then 'antenatal' else 'none' end stage from vf group by 1")
-def agg_34(t: Tables) -> DataFrame:
-    return ru.visit_stage(visit_facts(t), [("postpartum", ["purchase"]), ("labour", ["error"]), ("antenatal", ["signup", "click"])], "none")
-
-
-@query("agg_36", f"with {JOBS} select job_id, list_filter([case when price > 300000 then 'age' end, case when patient_id % 9 = 0 and status = 'queued' then 'week' end], lambda x: x is not null) warnings from jobs")
-def agg_36(t: Tables) -> DataFrame:
-    from visitloom.functions.text import reasons
-
-    return jobs(t).select("job_id", reasons(("age", F.col("price") > 300000), ("week", (F.col("patient_id") % 9 == 0) & (F.col("status") == "queued"))).alias("warnings"))
-
-
 def _rules() -> list:
     return [("R01", "critical", ru.has("error") & ru.has("purchase")), ("R02", "high", ru.has("view", F.col("value") >= 90)), ("R03", "info", ru.has("signup") & ~ru.has("error")), ("R04", "info", F.count("*") >= 5)]
 
