@@ -49,8 +49,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def ood_score(distance: Column, quantiles: list[float]) -> Column:
-    """0 up to the first quantile of distances, then by straight lines to .25, .5, .85 and 1 at the others."""
+def ood_score(distance: Column, quantiles: list[float] | None, dim: Column | int = 1) -> Column:
+    """0 to 1 by the distance's place among the quantiles 50, 90, 95, 99 and 99.5 (0, .25, .5, .85, 1, linear between);
+    without quantiles that rise, the distance over twice the root of the dimension."""
+    if not quantiles or any(b <= a for a, b in zip(quantiles, quantiles[1:])):
+        width = dim if isinstance(dim, Column) else F.lit(dim)
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), distance / (2 * F.sqrt(width.cast("double")))))
     marks = [0.0, 0.25, 0.5, 0.85, 1.0]
     out = F.when(distance <= quantiles[0], 0.0)
     for (a, b), (x, y) in zip(zip(quantiles, quantiles[1:], strict=False), zip(marks, marks[1:], strict=False), strict=True):

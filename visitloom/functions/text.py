@@ -98,6 +98,14 @@ def fingerprint(patient: Column, audio: Column, at: Column) -> Column:
     return F.sha2(F.concat_ws("|", patient.cast("string"), audio, F.date_format(at, "yyyy-MM-dd HH:mm:ss")), 256)
 
 
+def merge_unique(first: Column, second: Column, key) -> Column:
+    """The elements of two arrays in order, the first of each key; key maps an element to what tells it apart. For lists
+    of a record, not for texts: each element looks through the keys before it."""
+    every = F.concat(F.coalesce(first, F.slice(second, 1, 0)), F.coalesce(second, F.slice(first, 1, 0)))
+    keys = F.transform(every, key)
+    return F.filter(every, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+
 def reasons(*tests: tuple[str, Column]) -> Column:
     """The names of the tests that hold, in order."""
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))

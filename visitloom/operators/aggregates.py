@@ -212,5 +212,15 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return n.select("label", "n", F.round(1 / F.col("n") / F.sum(1 / F.col("n")).over(whole) * F.count("*").over(whole), 6).alias("weight"))
 
 
+# What a row counts by where its label comes from.
+SOURCE_WEIGHTS = {"human": 3.0, "confirmed": 2.0, "pseudo": 0.3, "synthetic": 1.0}
+
+
+def source_weight(source: Column, overrides: dict[str, float] | None = None) -> Column:
+    """The weight of a row by its source: overrides first; without a source it is a human's, of an unknown one 1."""
+    known = F.create_map(*[F.lit(x) for kv in (SOURCE_WEIGHTS | (overrides or {})).items() for x in kv])
+    return F.coalesce(known[F.coalesce(source, F.lit("human"))], F.lit(1.0))
+
+
 def label_ids(rows: DataFrame, label: str) -> DataFrame:
     return rows.select(F.col(label).alias("label")).where("label is not null").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("id"))

@@ -9,8 +9,10 @@ from visitloom.operators.ranks import running
 
 
 def dedupe_first(rows: DataFrame, text: str, position: str) -> DataFrame:
-    """The first row of each text."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(text).orderBy(position))).where("nth = 1").drop("nth")
+    """The first row of each text, and how many others went (removed). Copies meet map-side, not in a window."""
+    whole = F.struct(*[c for c in rows.columns if c != text])
+    per = rows.groupBy(text).agg(F.min_by(whole, position).alias("first"), (F.count("*") - 1).alias("removed"))
+    return per.select("first.*", text, "removed").select(*rows.columns, "removed")
 
 
 def quota(rows: DataFrame, label: str, order: list[Column], n: int) -> DataFrame:

@@ -33,7 +33,8 @@ def retire(suggestions: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def apply_corrections(items: DataFrame, edits: DataFrame, section_of: dict[str, str], urgent: str) -> DataFrame:
-    """Items with the last edit of each field; a changed label resets section, priority and urgency. No-ops don't count.
+    """Items with the last edit of each field; a changed label resets section, priority and urgency, a changed
+    text is the clinician's, for certain. No-ops don't count.
 
     items: item_id, label, text, section, review_priority, is_urgent, is_corrected. edits: item_id, field, value, at.
     """
@@ -50,9 +51,27 @@ def apply_corrections(items: DataFrame, edits: DataFrame, section_of: dict[str,
         F.when(relabelled, 0.0).otherwise(F.col("review_priority")).alias("review_priority"),
         F.when(relabelled, F.col("to_label") == urgent).otherwise(F.col("is_urgent")).alias("is_urgent"),
         (F.col("is_corrected") | relabelled | rewritten).alias("is_corrected"),
+        F.when(rewritten, "clinician_corrected").alias("text_status"),
+        F.when(rewritten, 1.0).alias("text_confidence"),
     )
 
 
+def correction_log(items: DataFrame, edits: DataFrame, fields: tuple[str, ...] = ("label", "text", "section", "speaker")) -> DataFrame:
+    """item_id, field, old, new, at, outcome of edits (item_id, field, value, at), in the order of each field's edits.
+
+    Every edit is appended, none overwrites another: old is what the field had before it, by the item or by the edit
+    before. outcome: applied; no_change where old and new are equal as strings, an error to whoever sent it; unknown_field
+    and unknown_item likewise.
+    """
+    values = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string") if f in items.columns else F.lit(None).cast("string"))])
+    both = edits.join(items.select("item_id", values.alias("had"), F.lit(True).alias("there")), "item_id", "left")
+    order = Window.partitionBy("item_id", "field").orderBy("at", "value")
+    old = F.coalesce(F.lag("value").over(order), F.when(F.col("field").isin(*fields), F.col("had")[F.col("field")]))
+    told = both.withColumn("old", old)
+    outcome = F.when(F.col("there").isNull(), "unknown_item").when(~F.col("field").isin(*fields), "unknown_field").when(F.col("old").eqNullSafe(F.col("value")), "no_change").otherwise("applied")
+    return told.select("item_id", "field", "old", F.col("value").alias("new"), "at", outcome.alias("outcome"))
+
+
 def dedupe_requests(requests: DataFrame) -> DataFrame:
     """created, existing or conflict for each request (key, fingerprint, at, id), by the first of its key."""
     order = Window.partitionBy("key").orderBy("at", "id")

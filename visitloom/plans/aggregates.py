@@ -229,6 +229,13 @@ def agg_42(t: Tables) -> DataFrame:
     return o.class_weights(t.labels, "quality")
 
 
+@query("agg_42_source", "select doc_id, case doc_id % 6 when 0 then 3 when 1 then 2 when 2 then 0.5 when 3 then 1 when 4 then 1 else 3 end::double weight from documents")
+def agg_42_source(t: Tables) -> DataFrame:
+    """Sources by the documents' number; pseudo labels weigh more than by default."""
+    source = F.get(F.array(*[F.lit(x) for x in ("human", "confirmed", "pseudo", "synthetic", "odd", None)]), (F.col("doc_id") % 6).cast("int"))
+    return t.documents.select("doc_id", o.source_weight(source, {"pseudo": 0.5}).alias("weight"))
+
+
 @query("agg_43", "select lang as label, (row_number() over (order by lang) - 1)::int id from (select distinct lang from documents where lang is not null)")
 def agg_43(t: Tables) -> DataFrame:
     return o.label_ids(t.documents, "lang")

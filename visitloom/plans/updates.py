@@ -46,7 +46,7 @@ def upd_04(t: Tables) -> DataFrame:
 
 @query("upd_05", f"""with {ITEMS}, i as (select item_id, label, text, {PRIORITY} rp, ood > 0.7 u, label in ('R') p, is_corrected ic, case when entropy > 0.5 then new_label end tl, case when entropy > 0.9 then 'seen' end tt from items)
   select item_id, coalesce(tl, label) as label, coalesce(tt, text) as text, case when tl is not null and tl <> label then case tl when 'F' then 'plan' else 'subjective' end when p then 'plan' else 'objective' end section,
-  case when tl is not null and tl <> label then 0 else rp end::double review_priority, case when tl is not null and tl <> label then tl = 'O' else u end is_urgent, ic or coalesce(tl <> label, false) or coalesce(tt <> text, false) is_corrected from i""")
+  case when tl is not null and tl <> label then 0 else rp end::double review_priority, case when tl is not null and tl <> label then tl = 'O' else u end is_urgent, ic or coalesce(tl <> label, false) or coalesce(tt <> text, false) is_corrected, case when tt <> text then 'clinician_corrected' end text_status, case when tt <> text then 1.0 end::double text_confidence from i""")
 def upd_05(t: Tables) -> DataFrame:
     rows = with_priority(items(t)).withColumns({"section": F.when(F.col("label") == "R", "plan").otherwise("objective"), "is_urgent": F.col("ood") > 0.7})
     label = rows.where("entropy > 0.5").select("item_id", F.lit("label").alias("field"), F.col("new_label").alias("value"), F.col("corrected_at").alias("at"))
@@ -54,6 +54,20 @@ def upd_05(t: Tables) -> DataFrame:
     return o.apply_corrections(rows, label.unionByName(text), {"F": "plan"}, "O")
 
 
+@query("upd_05_log", f"""with {ITEMS}, e as (select item_id, label, 'label' field, new_label v, corrected_at::timestamp ts from items where entropy > 0.5 union all select item_id, label, 'label', 'F', corrected_at + interval 1 day from items where entropy > 0.9 union all select item_id, label, 'shape', 'x', corrected_at from items where entropy > 0.95 union all select 'lost', null, 'label', 'F', max(corrected_at) from items),
+  o as (select *, case when field = 'label' then coalesce(lag(v) over (partition by item_id, field order by ts, v), label) end old from e)
+  select item_id, field, old, v "new", ts "at", case when item_id = 'lost' then 'unknown_item' when field = 'shape' then 'unknown_field' when old = v then 'no_change' else 'applied' end outcome from o""")
+def upd_05_log(t: Tables) -> DataFrame:
+    """A first edit of many labels, a second of some, a field that isn't there and an item that isn't."""
+    rows = items(t)
+    at = F.col("corrected_at").cast("timestamp")
+    first = rows.where("entropy > 0.5").select("item_id", F.lit("label").alias("field"), F.col("new_label").alias("value"), at.alias("at"))
+    second = rows.where("entropy > 0.9").select("item_id", F.lit("label"), F.lit("F"), at + F.expr("interval 1 day"))
+    odd = rows.where("entropy > 0.95").select("item_id", F.lit("shape"), F.lit("x"), at)
+    lost = rows.agg(F.max(at).alias("at")).select(F.lit("lost"), F.lit("label"), F.lit("F"), "at")
+    return o.correction_log(rows, first.union(second).union(odd).union(lost))
+
+
 @query("upd_09", f"""with {JOBS}, r as (select job_id id, patient_id key, severity fp, visit_at v from jobs), f as (select *, first(fp) over w a, row_number() over w n from r window w as (partition by key order by v, id))
   select id, key, case when n = 1 then 'created' when fp = a then 'existing' else 'conflict' end outcome from f""")
 def upd_09(t: Tables) -> DataFrame:

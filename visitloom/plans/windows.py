@@ -11,9 +11,9 @@ from visitloom.plans.joins import MEANS, TIMED, class_means, timed, vectors
 from visitloom.plans.registry import Tables, query
 
 
-@query("win_01", "select min(doc_id) doc_id from documents group by text")
+@query("win_01", "select min(doc_id) doc_id, count(*)::bigint - 1 removed from documents group by text")
 def win_01(t: Tables) -> DataFrame:
-    return o.dedupe_first(t.documents.select("doc_id", "text"), "text", "doc_id").select("doc_id")
+    return o.dedupe_first(t.documents.select("doc_id", "text"), "text", "doc_id").select("doc_id", "removed")
 
 
 @query("win_02", f"with {ITEMS} select item_id, label, confidence from (select *, row_number() over (partition by label order by confidence desc, item_id) n from items) where n <= 200")
