@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,49 +87,79 @@ def apply_decisions(rows: DataFrame, merges: DataFrame, decisions: DataFrame) ->
     return final.withColumn("nth", first).where("nth = 1").select("id", "text", F.col("final").alias("label"))
 
 
-def nearest(vectors: DataFrame, block: int = 2048) -> DataFrame:
-    """The nearest other vector by cosine, ties to the smaller id: exact, in blocks.
-
-    vectors: id, v; rows with a null id or v take no part. Unit vectors are dealt to parts of about block vectors, each
-    packed into one row, and two parts meet once for both sides; so a task holds two parts, and the number of parts
-    grows with the table.
+#: Vectors up to which all meet; blocks a side of what meets in a task; lists that a vector beyond is in.
+EXACT, SIDE, PROBES = 1 << 17, 8, 8
+
+
+def _best(key: tuple, rows: pa.Table) -> pa.Table:
+    """Of blocks on the two sides of a meeting: the best vector of the other side for each."""
+    sides = {}
+    for side, listed in zip(rows["side"].to_pylist(), rows["rows"].combine_chunks(), strict=True):
+        held = listed.values
+        sides.setdefault(side, []).append((held.field("id").to_numpy(zero_copy_only=False), held.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)))
+    order, whole = {}, []
+    for side, parts in sides.items():
+        ids, v = np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts])
+        order[side] = (ids[np.argsort(ids)], v[np.argsort(ids)])
+    one, other = key[1].as_py(), key[2].as_py()
+    for x, y in {(one, other), (other, one)}:
+        (a, left), (b, right) = order[x], order[y]
+        for i in range(0, len(a), 1024):
+            scores = np.round(left[i : i + 1024] @ right.T, 9)
+            scores[a[i : i + 1024, None] == b[None, :]] = -9
+            k = scores.argmax(1)  # ids stand in order, so of equal scores the smallest
+            best = scores[np.arange(len(k)), k]
+            some = best > -9
+            whole.append(pa.table({"id": a[i : i + 1024][some], "neighbour": b[k][some], "cosine": best[some]}))
+    return pa.concat_tables(whole)
+
+
+def _met(rows: DataFrame, block: int) -> DataFrame:
+    """id, neighbour, cosine: the best within each key of rows (key, id, v), once a meeting.
+
+    A key's vectors are dealt to parts of about block vectors, and groups of SIDE parts meet in pairs, so a vector is
+    sent once for each such group, not for each part, and a large key is many tasks.
+    """
+    cuts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = rows.join(cuts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).groupBy("key", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    groups = cuts.select("key", F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / SIDE))).alias("g"))
+    cells = groups.join(groups.select("key", F.col("g").alias("h")), "key").where("g <= h")
+    sent = cells.select("*", F.col("g").alias("side")).unionByName(cells.where("g <> h").select("*", F.col("h").alias("side")))
+    placed = dealt.withColumn("side", F.floor(F.col("part") / SIDE)).join(sent, ["key", "side"])
+    return placed.select("key", "g", "h", "side", "rows").groupBy("key", "g", "h").applyInArrow(_best, "id long, neighbour long, cosine double")
+
+
+def nearest(vectors: DataFrame, block: int = 2048, exact: int = EXACT, probes: int = PROBES) -> DataFrame:
+    """The nearest other vector by cosine, ties to the smaller id: id, neighbour, cosine.
+
+    vectors: id, v; rows with a null id or v take no part. Up to exact vectors all meet. Beyond, as many lists as the root
+    of their number are opened at vectors chosen by a hash of the id, each vector stands in the probes lists that it is
+    nearest to, and the vectors of a list meet: the cosines are exact, and the neighbour is the true one unless the two
+    share no list (tests measure how rare that is).
     """
-    unit = vectors.where("id is not null and v is not null").select("id", l2(F.col("v")).alias("v"))
-    parts = max(1, -(-unit.count() // block))
-    blocks = unit.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.col("part"), F.lit(parts - 1))))
-    met = dealt.join(blocks.select(F.col("part").alias("other"), F.col("rows").alias("others")), "other")
-    # A row for each meeting: they are spread over tasks, not packed into as few as their bytes fill.
-    found = met.repartition(min(parts * (parts + 1) // 2, 4 * vectors.sparkSession.sparkContext.defaultParallelism), "part", "other").select("part", "other", "rows", "others").mapInArrow(_best_of_blocks, "id long, neighbour long, cosine double")
+    unit = vectors.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), l2(F.col("v")).alias("v"))
+    n = unit.count()
+    if n <= exact:
+        keyed = unit.withColumn("key", F.lit(0).cast("long"))
+    else:
+        # The root of the table: 8 MB of vectors of 100 dimensions at a hundred million.
+        chosen = unit.orderBy(F.xxhash64("id"), "id").limit(math.ceil(math.sqrt(n))).select("v").toPandas()["v"]
+        sent = vectors.sparkSession.sparkContext.broadcast(np.stack(chosen.to_list()))
+
+        def dealt(batches):
+            lists = sent.value
+            most = min(probes, len(lists))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                near = np.concatenate([np.argpartition(-(x[i : i + 1024] @ lists.T), most - 1, axis=1)[:, :most] for i in range(0, len(x), 1024)])
+                rows = np.repeat(np.arange(len(x)), most)
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), *(c.take(pa.array(rows)) for c in batch.columns)], ["key", "id", "v"])
+
+        keyed = unit.mapInArrow(dealt, "key long, id long, v array<double>")
     best = F.max_by(F.struct("neighbour", "cosine"), F.struct("cosine", (-F.col("neighbour")).alias("first")))
-    return found.groupBy("id").agg(best.alias("b")).select("id", "b.neighbour", "b.cosine")
-
-
-def _best_of_blocks(batches):
-    """Of meetings (part, other, rows, others): the best in the other part for each row of both."""
-    import numpy as np
-    import pyarrow as pa
-
-    def side(column, k):
-        ids, v = column.slice(k, 1).flatten().flatten()
-        ids = ids.to_numpy()
-        order = np.argsort(ids)
-        return ids[order], v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
-
-    def rows(ids, others, scores):
-        k = scores.argmax(1)
-        best = scores[np.arange(len(k)), k]
-        some = best > -9
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(others[k][some]), pa.array(best[some])], ["id", "neighbour", "cosine"])
-
-    for batch in batches:
-        for k in range(batch.num_rows):
-            (a, left), (b, right) = side(batch.column(2), k), side(batch.column(3), k)
-            scores = np.round(left @ right.T, 9)
-            scores[a[:, None] == b[None, :]] = -9
-            yield rows(a, b, scores)
-            if batch.column(0)[k] != batch.column(1)[k]:
-                yield rows(b, a, scores.T)
+    return _met(keyed, block).groupBy("id").agg(best.alias("b")).select("id", "b.neighbour", "b.cosine")
 
 
 def neighbours(seed: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
