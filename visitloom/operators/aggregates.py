@@ -68,6 +68,16 @@ def coverage(texts: DataFrame, mentions: DataFrame, actionable: list[str]) -> Da
     return texts.join(per, "id", "left").groupBy("label").agg(F.count("*").alias("total"), F.count("useful").alias("covered"), F.count_if(F.col("useful")).alias("useful"), F.round(F.count("useful") / F.count("*"), 4).alias("share"))
 
 
+def mentions_by_kind(texts: DataFrame, mentions: DataFrame) -> DataFrame:
+    """label, kind, mentions, texts: of each label how many mentions of each kind there are, and in how many texts."""
+    return texts.join(mentions, "id").groupBy("label", "kind").agg(F.count("*").alias("mentions"), F.count_distinct("id").alias("texts"))
+
+
+def uncovered(texts: DataFrame, mentions: DataFrame) -> DataFrame:
+    """The texts without any mention."""
+    return texts.join(mentions.select("id").distinct(), "id", "left_anti")
+
+
 def classification_report(pred: DataFrame) -> DataFrame:
     """Per class of gold or pred: precision, recall, f1 (6 places; 0 where undefined), support."""
     pairs = pred.groupBy("gold", "pred").agg(F.count("*").alias("n"))
@@ -156,10 +166,11 @@ def weekly_activity(sessions: DataFrame, finals: DataFrame, now: Column, zone: s
     return days.join(a, "day", "left").join(b, "day", "left").select("day", F.date_format("day", "EEE").alias("name"), F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("approved", F.lit(0)).alias("approved"))
 
 
-def merge_suggestions(fired: DataFrame) -> DataFrame:
-    """Per visit and key: the first firing's severity and title, and the unions of evidence and tests."""
-    lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("evidence", "tests")]
-    return fired.groupBy("visit_id", "dedupe_key").agg(F.min_by("severity", "seq").alias("severity"), F.min_by("title", "seq").alias("title"), *lists)
+def merge_suggestions(fired: DataFrame, lists: tuple[str, ...] = ("evidence", "tests")) -> DataFrame:
+    """Per visit and key: the first firing's severity and title, and the unions of lists (evidence, tests, chain,
+    references), so that a merge loses nothing."""
+    unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists]
+    return fired.groupBy("visit_id", "dedupe_key").agg(F.min_by("severity", "seq").alias("severity"), F.min_by("title", "seq").alias("title"), *unions)
 
 
 def latest_numeric(facts: DataFrame, code: str) -> DataFrame:

@@ -18,6 +18,23 @@ def replace_jobs(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("job_id").distinct(), "job_id", "left_anti").unionByName(new)
 
 
+def link_entities(items: DataFrame) -> DataFrame:
+    """item_id, job_id, kind, code, assertion, value, status: the entities that items' links (job_id, item_id, links) name.
+
+    Items without links and links without a code have none; a value that is no number is null, true and false too; kind
+    and assertion are clinical and present where a link says nothing.
+    """
+    rows = items.select("item_id", "job_id", F.explode("links").alias("l")).where("coalesce(l.code, '') <> ''")
+    return rows.select("item_id", "job_id", F.coalesce("l.kind", F.lit("clinical")).alias("kind"), "l.code", F.coalesce("l.assertion", F.lit("present")).alias("assertion"), F.expr("try_cast(l.value as double)").alias("value"), "l.status")
+
+
+def save_report(old_items: DataFrame, old_entities: DataFrame, new_items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items and their entities after jobs were reported anew: of those jobs only what is new, of all others what was."""
+    jobs = new_items.select("job_id").distinct()
+    items = old_items.join(jobs, "job_id", "left_anti").unionByName(new_items.select(old_items.columns))
+    return items, old_entities.join(jobs, "job_id", "left_anti").unionByName(link_entities(new_items).select(old_entities.columns))
+
+
 def sync_suggestions(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Old rows without a match retired, matches updated in place with their id, others inserted with an id from the key."""
     o = old.select(*key, F.col("id").alias("old_id"), F.col("severity").alias("old_severity"))

@@ -84,6 +84,17 @@ def agg_08(t: Tables) -> DataFrame:
     return o.coverage(t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")), mentions, ["good"])
 
 
+@query("agg_08_kinds", "select lang as label, case when quality = 1 then 'good' else 'poor' end kind, count(*)::bigint mentions, count(distinct doc_id)::bigint texts from documents join labels using (doc_id) group by 1, 2")
+def agg_08_kinds(t: Tables) -> DataFrame:
+    mentions = t.labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("kind"))
+    return o.mentions_by_kind(t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")), mentions)
+
+
+@query("agg_08_uncovered", "select doc_id id, lang as label from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
+def agg_08_uncovered(t: Tables) -> DataFrame:
+    return o.uncovered(t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")), t.labels.select(F.col("doc_id").alias("id")))
+
+
 @query("agg_18", f"""with {ITEMS}, p as (select *, {PRIORITY} rp from items),
   r as (select job_id, is_corrected e, row_number() over (partition by job_id order by rp desc, item_id) a, row_number() over (partition by job_id order by order_index) b,
     row_number() over (partition by job_id order by md5(item_id), item_id) c from p),
@@ -136,10 +147,11 @@ def _fired(t: Tables) -> DataFrame:
     return f.select(visit.alias("visit_id"), F.col("code").alias("dedupe_key"), F.col("event_id").alias("seq"), F.when(F.col("value") > 50, "critical").otherwise("info").alias("severity"), F.concat(F.lit("seen "), "code").alias("title"), F.array(F.col("event_id").cast("string"), "code").alias("evidence"), F.array((F.floor("value") % 3).cast("string")).alias("tests"))
 
 
-@query("agg_26", f"""with {FACTS}, r as (select patient_id || '-' || day visit_id, code dedupe_key, event_id seq, case when value > 50 then 'critical' else 'info' end severity, 'seen ' || code title, event_id::varchar e, code, (floor(value)::bigint % 3)::varchar te from facts)
-  select visit_id, dedupe_key, arg_min(severity, seq) severity, arg_min(title, seq) title, list_sort(list_distinct(list_concat(list(e), list(code)))) evidence, list_sort(list_distinct(list(te))) tests from r group by 1, 2""")
+@query("agg_26", f"""with {FACTS}, r as (select patient_id || '-' || day visit_id, code dedupe_key, event_id seq, case when value > 50 then 'critical' else 'info' end severity, 'seen ' || code title, event_id::varchar e, code, (floor(value)::bigint % 3)::varchar te, 'at ' || floor(value)::bigint % 4 ch, 'page ' || event_id % 5 re from facts)
+  select visit_id, dedupe_key, arg_min(severity, seq) severity, arg_min(title, seq) title, list_sort(list_distinct(list_concat(list(e), list(code)))) evidence, list_sort(list_distinct(list(te))) tests, list_sort(list_distinct(list(ch))) as chain, list_sort(list_distinct(list(re))) as "references" from r group by 1, 2""")
 def agg_26(t: Tables) -> DataFrame:
-    return o.merge_suggestions(_fired(t))
+    more = facts(t).select(F.col("event_id").alias("seq"), F.array(F.concat(F.lit("at "), (F.floor("value") % 4).cast("string"))).alias("chain"), F.array(F.concat(F.lit("page "), (F.col("event_id") % 5).cast("string"))).alias("references"))
+    return o.merge_suggestions(_fired(t).join(more, "seq"), ("evidence", "tests", "chain", "references"))
 
 
 @query("agg_27", f"""with {FACTS}, f as (select patient_id || '-' || day visit_id, * from facts), r as (select distinct visit_id from f where code = 'error')

@@ -31,6 +31,20 @@ def upd_02(t: Tables) -> DataFrame:
     return o.replace_jobs(rows, new).select("job_id", "item_id", "label")
 
 
+LINKED = f"""{ITEMS}, l as (select item_id, job_id, unnest([struct_pack(kind := case when code % 3 > 0 then 'symptom' end, code := case when code % 5 > 0 then 'c' || code % 7 end, assertion := case when code % 2 = 0 then 'absent' end, value := case code % 4 when 0 then 'true' when 1 then confidence::varchar when 2 then 'many' end, status := new_label), struct_pack(kind := 'test', code := '', assertion := null, value := '1', status := null)]) l, job_id % 7 = 0 as anew from items)"""
+
+
+@query("upd_02_entities", f"""with {LINKED} select item_id, job_id, coalesce(l.kind, 'clinical') kind, l.code code, case when anew then 'planned' else coalesce(l.assertion, 'present') end as assertion, try_cast(l.value as double) as value, l.status status from l where coalesce(l.code, '') <> ''""")
+def upd_02_entities(t: Tables) -> DataFrame:
+    """Entities of all jobs after every seventh was reported anew, its links now planned."""
+    code = F.col("code")
+    first = F.struct(F.when(code % 3 > 0, "symptom").alias("kind"), F.when(code % 5 > 0, F.concat(F.lit("c"), (code % 7).cast("string"))).alias("code"), F.when(code % 2 == 0, "absent").alias("assertion"), F.when(code % 4 == 0, "true").when(code % 4 == 1, F.col("confidence").cast("string")).when(code % 4 == 2, "many").alias("value"), F.col("new_label").alias("status"))
+    second = F.struct(F.lit("test").alias("kind"), F.lit("").alias("code"), F.lit(None).cast("string").alias("assertion"), F.lit("1").alias("value"), F.lit(None).cast("string").alias("status"))
+    rows = items(t).select("item_id", "job_id", F.array(first, second).alias("links"))
+    new = rows.where("job_id % 7 = 0").withColumn("links", F.transform("links", lambda x: x.withField("assertion", F.lit("planned"))))
+    return o.save_report(rows, o.link_entities(rows), new)[1]
+
+
 @query("upd_03", f"with {JOBS}, a as (select job_id, severity rule_id, md5(job_id::varchar) id, 'info' s from jobs where job_id % 3 < 2), n as (select job_id, severity rule_id, 'critical' s from jobs where job_id % 3 > 0) select job_id, rule_id, coalesce(id, md5(job_id || '|' || rule_id)) id, coalesce(n.s, a.s) severity, n.s is not null is_active from a full join n using (job_id, rule_id)")
 def upd_03(t: Tables) -> DataFrame:
     rows = jobs(t).select("job_id", F.col("severity").alias("rule_id"))
