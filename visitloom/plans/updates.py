@@ -363,9 +363,25 @@ def vec_06(t: Tables) -> DataFrame:
     return quota(kept, "label", [F.col("confidence").desc(), F.col("item_id")], 200).select("item_id", "label")
 
 
-@query("vec_07", f"with {ITEMS}, c as (select item_id, text, new_label as label, 'human' as source from items where is_corrected and label <> new_label), d as (select item_id, text, label, 'confirmed' as source from items where not is_corrected and {PRIORITY} > 0 order by {PRIORITY} desc, item_id limit 2000) select * from c union all select * from d")
+EXPORTED = f"""{ITEMS}, i as (select item_id, label, new_label, is_corrected, code, corrected_at, {PRIORITY} rp, case when code % 11 = 0 then '  ' else text end as text from items),
+  c as (select item_id, label old_value, new_label new_value, case when code % 3 = 0 then 'text' else 'label' end field, case when code % 5 = 0 then corrected_at::timestamp end exported_at, code % 13 = 0 missing, trim(text) = '' as blank, text from i where is_corrected and label <> new_label),
+  t as (select *, case when field = 'label' and exported_at is null then case when missing or blank then 'skipped' else 'human' end end outcome from c)"""
+
+
+@query("vec_07", f"""with {EXPORTED} select item_id, text, new_value as label, 'human' as source, old_value was_predicted from t where outcome = 'human'
+  union all select * from (select item_id, text, label, 'confirmed', null from i where not is_corrected and rp > 0 and code % 13 > 0 order by rp desc, item_id limit 2000)""")
 def vec_07(t: Tables) -> DataFrame:
-    rows = with_priority(items(t))
-    human = rows.where("is_corrected and label <> new_label").select("item_id", "text", F.col("new_label").alias("label"), F.lit("human").alias("source"))
-    sure = rows.where("not is_corrected and review_priority > 0").orderBy(F.col("review_priority").desc(), "item_id").limit(2000)
-    return human.unionByName(sure.select("item_id", "text", "label", F.lit("confirmed").alias("source")))
+    return _export(t)[0]
+
+
+@query("vec_07_marked", f"with {EXPORTED} select item_id, field, old_value, new_value, case when outcome is not null then timestamp '2024-05-01' else exported_at end exported_at, outcome from t")
+def vec_07_marked(t: Tables) -> DataFrame:
+    return _export(t)[1].select("item_id", "field", "old_value", "new_value", "exported_at", "outcome")
+
+
+def _export(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every thirteenth part's items are missing, every eleventh's blank, every fifth's corrections exported before."""
+    rows, code = with_priority(items(t)), F.col("code")
+    held = rows.where("code % 13 > 0").withColumn("text", F.when(code % 11 == 0, "  ").otherwise(F.col("text")))
+    edits = rows.where("is_corrected and label <> new_label").select("item_id", F.col("label").alias("old_value"), F.col("new_label").alias("new_value"), F.when(code % 3 == 0, "text").otherwise("label").alias("field"), F.when(code % 5 == 0, F.col("corrected_at").cast("timestamp")).alias("exported_at"))
+    return cu.export_training(edits, held, F.lit("2024-05-01").cast("timestamp"))
