@@ -21,6 +21,11 @@ def fold_digits(text: Column) -> Column:
     return F.translate(text, DIGITS + TATWEEL, "0123456789" * 2)
 
 
+def small(text: Column) -> Column:
+    """Small letters, as many characters as before: the capital I with a dot is the only one that becomes two."""
+    return F.lower(F.translate(text, "\u0130", "i"))
+
+
 def expand(text: Column, names: dict[str, str]) -> Column:
     """Standalone words replaced by what they stand for; words are parted by single spaces."""
     known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
@@ -50,14 +55,15 @@ def tokens(text: Column) -> Column:
 DIGITS_AND_MARKS = "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669\u06f0\u06f1\u06f2\u06f3\u06f4\u06f5\u06f6\u06f7\u06f8\u06f9\u066b\u066c"
 
 
-def numeric_sig(text: Column) -> Column:
-    """The numbers of a text in order, in ASCII digits with a point."""
-    found = F.regexp_extract_all(F.translate(text, DIGITS_AND_MARKS, "01234567890123456789."), F.lit(r"(\d+(?:[.,]\d+)?)"))
+def numeric_sig(text: Column, folded: bool = True) -> Column:
+    """The numbers of a text in order, in ASCII digits with a point; folded: those in the other scripts' digits too."""
+    found = F.regexp_extract_all(F.translate(text, DIGITS_AND_MARKS, "01234567890123456789.") if folded else text, F.lit(r"(\d+(?:[.,]\d+)?)"))
     return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")))
 
 
-def unit_sig(text: Column, units: list[str]) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\d ?(" + "|".join(sorted(units, key=lambda u: (-len(u), u))) + r")(?![a-z])"))
+def unit_sig(text: Column, units: list[str], whole: bool = True) -> Column:
+    """The units right behind a digit, in order; whole: no letter of a to z follows."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\d ?(" + "|".join(sorted(units, key=lambda u: (-len(u), u))) + ")" + (r"(?![a-z])" if whole else "")))
 
 
 def speech_sig(text: Column) -> Column:
