@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitloom.functions.text import small
 from visitloom.operators import lexicon as lx
 from visitloom.operators.mentions import CUES, assertion, lab_reading
 
@@ -146,9 +147,9 @@ def extract(
     levels, none = levels or {}, F.lit(None)
     rows = _entities(texts, lexicon, patterns, prefixes, exact)
     text, label = F.col("text"), F.col("label")
-    at = [F.nullif(F.locate(c, F.lower("text")), F.lit(0)) - 1 for c in conditionals]
+    at = [F.nullif(F.locate(c, small(F.col("text"))), F.lit(0)) - 1 for c in conditionals]
     first = F.least(*at) if len(at) > 1 else at[0]
-    before = F.substring(F.lower("text"), F.lit(1), F.coalesce(first, F.length("text")))
+    before = F.substring(small(F.col("text")), F.lit(1), F.coalesce(first, F.length("text")))
     planned_before = reduce(or_, [F.contains(before, F.lit(s)) for s in scheduled], F.lit(False))
 
     def entity(kind, code, surface, begin, end, said, status=none, value=none, value2=none, unit=none, confidence=1.0) -> Column:
