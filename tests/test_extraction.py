@@ -83,3 +83,14 @@ def test_drugs(spark):
     assert got == [
         (1, "medication", "ibuprofen", "ibuprofen", 0, 9, 1.0), (1, "medication", "unknown_drug", "Xyz-zol", 25, 32, 0.4), (1, "medication", "unknown_drug", "ibuprofen", 11, 20, 0.4), (2, "allergy", "ibuprofen", "ibuprofen", 0, 9, 1.0),
     ]
+
+
+def test_results_are_sent_on_by_portions(monkeypatch):
+    """What is found is held for a few texts at a time, however many a batch has."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ex.lx, "CHUNK", 100)
+    texts = ["Xyzzol " * 10] * 50 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(["treatment"] * 52), pa.array(texts), pa.array([[]] * 52, pa.list_(pa.struct(ex.lx.HIT)))], ["label", "text", "hits"])
+    out = list(ex._rest([])([batch]))
+    assert max(b.num_rows for b in out) <= 3 and [len(x) for b in out for x in b.column(3).to_pylist()] == [10] * 50 + [0, 0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 from operator import or_
 from typing import NamedTuple
 
@@ -86,8 +87,7 @@ def _rest(patterns: list[Pattern]):
     compiled = [(p, re.compile(p.regex)) for p in patterns]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [n for n, _ in ENTITY]
-        for batch in batches:
+        for batch in chain.from_iterable(lx.portions(b, b.schema.get_field_index("text")) for b in batches):
             rows = []
             for label, text, hits in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "text", "hits")), strict=True):
                 kind = "allergy" if label == "allergy" else "medication"
@@ -95,8 +95,8 @@ def _rest(patterns: list[Pattern]):
                 own = numbers(text or "", compiled) + [(kind, h["code"], h["surface"], h["begin"], h["end"], None, None, None, None, 1.0, True) for h in drugs]
                 if label in DRUG_LABELS:
                     own += unknown_drugs(text or "", [(h["begin"], h["end"]) for h in drugs], kind)
-                rows.append([dict(zip(names, r, strict=True)) for r in own])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.struct(ENTITY)))], [*batch.schema.names, "rest"])
+                rows.append(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lx.listed(rows, ENTITY)], [*batch.schema.names, "rest"])
 
     return run
 
