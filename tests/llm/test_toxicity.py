@@ -97,3 +97,17 @@ def test_keys_that_begin_alike_keep_their_own_ratios():
     found, missing = t.Ratios(keys, values).find(np.concatenate([keys, near + np.uint64(50), np.zeros(1, np.uint64)]))
     assert found[: len(keys)].tolist() == values.tolist() and not found[len(keys) :].any()
     assert sorted(missing.tolist()) == list(range(len(keys), len(keys) + 51))
+
+
+def test_looked_up_ratios_are_small():
+    keys = np.arange(1, 140_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ratios = t.Ratios(keys, np.ones(len(keys), np.float32))
+    assert sum(x.nbytes for x in vars(ratios).values() if isinstance(x, np.ndarray)) <= 20 * len(keys)
+
+
+def test_a_carried_text_goes_once(spark):
+    docs = spark.createDataFrame([(i, x, "en") for i, (x, _) in enumerate(LEARNED)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, k) for i, (_, k) in enumerate(LEARNED)], "doc_id long, toxic int")
+    out = t.score(docs, labels, carry=("doc_id", "text", "lang"))
+    assert out._jdf.queryExecution().analyzed().toString().count("carry_text") == 0
+    assert {(r.doc_id, r.text, r.lang) for r in out.collect()} == {(i, x, "en") for i, (x, _) in enumerate(LEARNED)}

@@ -7,11 +7,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.llm import charlm
-from visitloom.llm.common import CHUNK, columns, is_held_out, stored
+from visitloom.llm.common import CHUNK, columns, is_held_out, slices, stored
 from visitloom.llm.lookups import joined
 
 #: A letter is predicted from at most ORDER - 1 characters before it in its word, and the models back off to LOW - 1.
@@ -184,35 +185,33 @@ def keyed(ratios: DataFrame) -> DataFrame:
 
 
 class Ratios:
-    """Log-ratios by key, each key at or after the place that its first bits name, without gaps between."""
+    """Log-ratios by key: the keys in order, and where those with each beginning of some bits begin."""
 
     def __init__(self, keys: np.ndarray, ratios: np.ndarray):
-        order = np.argsort(keys)
-        keys = keys[order]
-        self.bits = max(4, len(keys).bit_length() + 1)
-        i = np.arange(len(keys))
-        at = i + np.maximum.accumulate(self._home(keys) - i) if len(keys) else i
-        size = max(1 << self.bits, int(at[-1]) + 1 if len(at) else 0) + 1
-        self.keys, self.ratios, self.full = np.zeros(size, np.uint64), np.zeros(size, np.float32), np.zeros(size, bool)
-        self.keys[at], self.ratios[at], self.full[at] = keys, ratios[order], True
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        if len(keys) and (keys[:-1] > keys[1:]).any():
+            order = np.argsort(keys)
+            keys, ratios = keys[order], ratios[order]
+        self.keys, self.ratios, self.bits = keys, ratios, max(4, len(keys).bit_length())
+        self.begins = np.empty((1 << self.bits) + 1, np.uint32)
+        for i in range(0, 1 << self.bits, CHUNK):
+            first = np.arange(i, min(i + CHUNK, 1 << self.bits), dtype=np.uint64) << np.uint64(64 - self.bits)
+            self.begins[i : i + len(first)] = np.searchsorted(keys, first)
+        self.begins[-1] = len(keys)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ratio of each key, 0 where there is none; the places of those without."""
-        at = self._home(keys)
-        hit = (self.keys[at] == keys) & self.full[at]
-        out = np.where(hit, self.ratios[at], np.float32(0))
-        left, missing = np.flatnonzero(~hit), []
+        home = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.begins[home].astype(np.int64), self.begins[home + 1].astype(np.int64)
+        out = np.zeros(len(keys), np.float32)
+        left, missing = np.arange(len(keys)), []
         while len(left):
-            here = self.full[at[left]]
+            here = at[left] < end[left]
             missing.append(left[~here])
             left = left[here]
-            at[left] += 1
-            hit = (self.keys[at[left]] == keys[left]) & self.full[at[left]]
+            hit = self.keys[at[left]] == keys[left]
             out[left[hit]] = self.ratios[at[left[hit]]]
             left = left[~hit]
+            at[left] += 1
         return out, np.concatenate([np.zeros(0, np.int64), *missing])
 
 
@@ -231,7 +230,7 @@ def _worst(ratio: np.ndarray) -> tuple[float, float, float]:
 
 
 def _scored(batch: pa.RecordBatch, ratios: Ratios) -> list[pa.Array]:
-    """All columns of the batch but the last, its text, and the features."""
+    """All columns of the batch, whose last is text, and the features."""
     rows = []
     for _, _, some in charlm.pieces(batch.column(batch.num_columns - 1).to_pylist()):
         symbols, begin, end, sizes = _places(some)
@@ -240,14 +239,19 @@ def _scored(batch: pa.RecordBatch, ratios: Ratios) -> list[pa.Array]:
         values[unseen] = ratios.find(between(begin[unseen], end[unseen] - 1) ^ OF_CONTEXT)[0]
         rows += [_worst(values[e - n : e]) for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
     features = np.array(rows, np.float64).reshape(-1, 3)
-    return [*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(features[:, k]) for k in range(3))]
+    return [*batch.columns, *(pa.array(features[:, k]) for k in range(3))]
+
 
+def _with_shared(shared, kept: int):
+    """The first kept columns of rows and the features, for about CHUNK characters at a time."""
 
-def _with_shared(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = Ratios(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(_scored(batch, ratios), [*batch.schema.names[:-1], *FEATURES])
+            sizes = pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_pylist()
+            for a, b in slices(sizes, CHUNK):
+                columns = _scored(batch.slice(a, b - a), ratios)
+                yield pa.RecordBatch.from_arrays([*columns[:kept], *columns[-3:]], [*batch.schema.names[:kept], *FEATURES])
 
     return run
 
@@ -262,19 +266,23 @@ def _asked(texts: list[str | None]) -> dict[int, np.ndarray]:
     return {0: keys}
 
 
-def featured(rows: DataFrame, ratios: DataFrame) -> DataFrame:
-    """All columns of rows but the last, its text, and the features; ratios: (key, ratio), stored."""
-    names = rows.columns[:-1]
+def featured(rows: DataFrame, ratios: DataFrame, with_text: bool = False) -> DataFrame:
+    """All columns of rows and the features, but the last one, their text, only with_text; ratios: (key, ratio), stored."""
+    names = rows.columns if with_text else rows.columns[:-1]
     kinds = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names), *(f"{c} double" for c in FEATURES)])
     spark = rows.sparkSession
     if ratios.count() <= SHARED:
         known = ratios.toArrow()
-        shared = spark.sparkContext.broadcast((known.column("key").to_numpy().view(np.uint64), known.column("ratio").to_numpy()))
-        return rows.mapInArrow(_with_shared(shared), kinds)
+        keys, values = known.column("key").to_numpy().view(np.uint64), known.column("ratio").to_numpy()
+        del known
+        order = np.argsort(keys)
+        shared = spark.sparkContext.broadcast((keys[order], values[order]))  # in order, so no task sorts a copy
+        return rows.mapInArrow(_with_shared(shared, len(names)), kinds)
 
     def score(found: pa.Table, batch: pa.RecordBatch) -> pa.RecordBatch:
         own = Ratios(found.column("key").to_numpy().view(np.uint64), found.column("ratio").to_numpy())
-        return pa.RecordBatch.from_arrays(_scored(batch, own), [*names, *FEATURES])
+        columns = _scored(batch, own)
+        return pa.RecordBatch.from_arrays([*columns[: len(names)], *columns[-3:]], [*names, *FEATURES])
 
     return joined(rows, ratios.withColumn("kind", F.lit(0)), _asked, score, kinds)
 
@@ -328,7 +336,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> Da
         likely = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))
     else:
         likely = F.lit(0.0)
-    more = [c for c in carry if c != "doc_id"]
-    kept = docs.select("doc_id", *[F.col(c).alias(f"carry_{c}") for c in more], "text")
-    out = featured(kept, ratios).withColumn("score", likely)
-    return out.select("doc_id", *[F.col(f"carry_{c}").alias(c) for c in more], is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
+    more = [c for c in carry if c not in ("doc_id", "text")]
+    kept = docs.select("doc_id", *[F.col(c).alias(f"carry_{c}") for c in more], "text")  # a carried text goes once
+    out = featured(kept, ratios, "text" in carry).withColumn("score", likely)
+    return out.select("doc_id", *[F.col(c if c == "text" else f"carry_{c}").alias(c) for c in carry if c != "doc_id"], is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
