@@ -252,6 +252,18 @@ def test_directions_of_tfidf_keep_the_similarities(spark):
     assert v.shape == (15, 12) and np.allclose(v @ v.T, full @ full.T, atol=1e-6)
 
 
+def test_columns_of_ngrams_are_those_of_hashing_tf(spark):
+    import numpy as np
+    from pyspark.ml.feature import HashingTF
+
+    grams = [" a ", "éa", "abcd", "😀x", " ", "ßßß", "xyzw"]
+    table = HashingTF(inputCol="g", outputCol="v", numFeatures=4096).transform(spark.createDataFrame([([g],) for g in grams], "g array<string>"))
+    assert [int(r["v"].indices[0]) for r in table.collect()] == [vectors.murmur(g.encode()) % 4096 for g in grams]
+    rows = spark.createDataFrame([(1, "ab cd"), (2, None), (3, "ab ab"), (4, "")], "id long, text string")
+    got = {r.id: r.v for r in vectors.char_tfidf(rows, most=3, vocabulary=64).collect()}
+    assert len(got) == 4 and not np.any(got[2]) and not np.any(got[4])
+
+
 def test_nearest_over_many_parts(spark):
     import numpy as np
 

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.functions.scores import softmax
 from visitloom.operators.aggregates import ece
+from visitloom.operators.lineage import kept
 from visitloom.operators.ranks import quantiles
 
+SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
+
 
 def components(vectors: DataFrame) -> DataFrame:
     """label, i, x for each component of each vector (id, label, v)."""
@@ -159,54 +164,134 @@ def mahalanobis(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "v").mapInPandas(measure, "id long, distance double")
 
 
+def murmur(data: bytes, seed: int = 42) -> int:
+    """MurmurHash3 of 32 bits, signed: what Spark's HashingTF takes."""
+    h, n, mask = seed, len(data), 0xFFFFFFFF
+    for i in range(0, n, 4):
+        k = int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & mask
+        h ^= ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
+        if i + 4 <= n:
+            h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+    h ^= n
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+#: Words whose columns a task remembers, and texts that it multiplies at a time.
+KNOWN_WORDS, TEXTS = 1 << 17, 256
+
+
+def _gram_counts(vocabulary: int):
+    """Small texts as the columns of their n-grams and how often each stands, both as bytes."""
+
+    def run(batches):
+        columns, known = {}, {}
+
+        def of(word: str) -> list[int]:
+            w = f" {word} "
+            out = []
+            for n in (2, 3, 4):
+                for i in range(max(len(w) - n + 1, 1)):
+                    g = w[i : i + n]
+                    if g not in columns:
+                        columns[g] = murmur(g.encode("utf-8", "replace")) % vocabulary
+                    out.append(columns[g])
+            return out
+
+        for batch in batches:
+            at, times = [], []
+            for text in batch.column(1).to_pylist():
+                cells = []
+                for word in SPACES.split(text or ""):
+                    if word:
+                        if word not in known:
+                            known[word] = of(word)
+                        cells += known[word]
+                counts = np.bincount(np.array(cells, np.int64), minlength=1)
+                some = np.flatnonzero(counts)
+                at.append(some.astype(np.int32).tobytes())
+                times.append(counts[some].astype(np.int32).tobytes())
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                if len(columns) > 4 * KNOWN_WORDS:
+                    columns.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(times, pa.binary())], ["id", "at", "times"])
+
+    return run
+
+
+def _matrices(batch: pa.RecordBatch, weights: np.ndarray):
+    """Rows of a batch (id, at, times) as matrices of weighted counts, TEXTS at a time: where they begin, matrix."""
+    for i in range(0, batch.num_rows, TEXTS):
+        part = batch.slice(i, TEXTS)
+        at = [np.frombuffer(x, np.int32) for x in part.column(1).to_pylist()]
+        times = np.concatenate([np.frombuffer(x, np.int32) for x in part.column(2).to_pylist()])
+        columns = np.concatenate(at)
+        out = np.zeros((len(at), len(weights)))
+        out[np.repeat(np.arange(len(at)), [len(x) for x in at]), columns] = times * weights[columns]
+        yield i, out
+
+
 def char_tfidf(texts: DataFrame, most: int = 64, vocabulary: int = 4096) -> DataFrame:
     """id and v: TF-IDF over character 2- to 4-grams within words, in up to most singular directions.
 
-    N-grams are hashed to vocabulary columns. The directions come from a randomised subspace iteration: each pass sends
-    the tasks vocabulary x (most + 10) numbers, and as many are summed up over them; rows stay where they are.
+    N-grams are hashed to vocabulary columns, once for each different word of a task, and texts are stored as counted
+    columns. The directions come from a randomised subspace iteration: each pass reads the counts, sends the tasks
+    vocabulary x (most + 10) numbers, and as many are summed up over them; rows stay where they are. A column in a single
+    text weighs nothing; a null text is an empty one.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF
+    spark = texts.sparkSession
+    sc, wide = spark.sparkContext, min(vocabulary, most + 10)
+    small = texts.select("id", F.lower("text").alias("text"))
+    rows = kept(small.mapInArrow(_gram_counts(vocabulary), f"id {texts.schema['id'].dataType.simpleString()}, at binary, times binary"))
+
+    def summed(part, shape: tuple[int, ...]) -> np.ndarray:
+        """The sums over all tasks of what part adds up to an array for each of its batches."""
+
+        def run(batches):
+            out = np.zeros(shape)
+            for batch in batches:
+                part(batch, out)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
 
-    words = F.transform(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+        found = rows.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"]).reshape(shape))
+        return found.treeReduce(np.add) if found.getNumPartitions() else np.zeros(shape)
 
-    def cut(n: int) -> Column:
-        return F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))))
+    def held(batch, out):
+        for x in batch.column(1).to_pylist():
+            out[np.frombuffer(x, np.int32)] += 1
+        out[-1] += batch.num_rows
 
-    grams = texts.select("id", words.alias("w")).select("id", F.concat(cut(2), cut(3), cut(4)).alias("g"))
-    rows = Pipeline(stages=[HashingTF(inputCol="g", outputCol="tf", numFeatures=vocabulary), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2)]).fit(grams).transform(grams).select("id", "tfidf")
-    sc, wide = texts.sparkSession.sparkContext, min(vocabulary, most + 10)
+    df = summed(held, (vocabulary + 1,))
+    weights = np.where(df[:-1] >= 2, np.log((df[-1] + 1) / (df[:-1] + 1)), 0.0)
 
-    def summed(basis: np.ndarray, gram: bool) -> np.ndarray:
+    def product(basis: np.ndarray, gram: bool) -> np.ndarray:
         """A'A basis over all rows A, or basis'A'A basis."""
         sent = sc.broadcast(basis)
 
-        def part(rows):
-            q = sent.value
-            out = np.zeros((q.shape[1] if gram else q.shape[0], q.shape[1]))
-            for r in rows:
-                x = r["tfidf"]
-                y = x.values @ q[x.indices]
-                if gram:
-                    out += np.outer(y, y)
-                else:
-                    out[x.indices] += np.outer(x.values, y)
-            yield out
+        def add(batch, out):
+            for _, x in _matrices(batch, weights):
+                y = x @ sent.value
+                out += y.T @ y if gram else x.T @ y
 
-        return rows.rdd.mapPartitions(part).treeReduce(np.add)
+        return summed(add, (basis.shape[1] if gram else basis.shape[0], basis.shape[1]))
 
     basis = np.linalg.qr(np.random.default_rng(7).normal(size=(vocabulary, wide)))[0]
     for _ in range(4):
-        basis = np.linalg.qr(summed(basis, False))[0]
-    _, turned = np.linalg.eigh(summed(basis, True))
+        basis = np.linalg.qr(product(basis, False))[0]
+    _, turned = np.linalg.eigh(product(basis, True))
     directions = sc.broadcast(basis @ turned[:, ::-1][:, :most])
 
-    def project(part):
-        for r in part:
-            x = r["tfidf"]
-            yield r["id"], (x.values @ directions.value[x.indices]).tolist()
+    def project(batches):
+        for batch in batches:
+            for i, x in _matrices(batch, weights):
+                v = x @ directions.value
+                offsets = np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(v)).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(v.ravel()))], ["id", "v"])
 
-    return texts.sparkSession.createDataFrame(rows.rdd.mapPartitions(project), "id long, v array<double>")
+    return rows.mapInArrow(project, "id long, v array<double>")
 
 
 def cluster_label(vectors: DataFrame, k: int) -> DataFrame:
