@@ -30,3 +30,16 @@ def test_frequent_phrases(spark, monkeypatch, held, sent):
     got = phrases.frequent_phrases(spark.createDataFrame(texts, "id long, text string"), ["the", "of"], 6).collect()
     assert {tuple(r) for r in got} == plain(texts, {"the", "of"}, 6) and len(got) > 20
     assert phrases.frequent_phrases(spark.createDataFrame([], "id long, text string"), ["the"], 1).count() == 0
+
+
+def test_a_phrase_is_named_by_its_example_only():
+    """Each key is sent on once in all, not once for each task, and looking keys up doesn't walk over all of them."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    key = phrases._grams(phrases._hashed(["aa", "bb"], {}), 2)
+    sent = SimpleNamespace(value={2: (key, np.array([7], np.int64)), 3: (key[:0], np.zeros(0, np.int64))})
+    parts = [pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(["aa bb cc aa bb"] * len(ids))], ["id", "text"]) for ids in ([9, 8], [7, None], [10])]
+    assert [r for part in parts for b in phrases._namer(sent)([part]) for r in b.to_pylist()] == [{"size": 2, "key": int(key.view(np.int64)[0]), "phrase": "aa bb"}]

@@ -26,19 +26,21 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def _hashed(own: list[str], known: dict[str, int]) -> np.ndarray:
+    """The hashes of words, those in known not worked out again."""
+    if len(known) > KNOWN:
+        known.clear()
+    for w in own:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    return np.array([known[w] for w in own], np.uint64)
+
+
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as the hashes of their words."""
     known: dict[str, int] = {}
     for batch in batches:
-        out = []
-        for text in batch.column(1).to_pylist():
-            own = words(text)
-            for w in own:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out.append(np.array([known[w] for w in own], np.uint64).tobytes())
-            if len(known) > KNOWN:
-                known.clear()
+        out = [_hashed(words(text), known).tobytes() for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "tokens"])
 
 
@@ -109,22 +111,25 @@ def _counter(n: int, stops: np.ndarray, sent):
 
 
 def _namer(sent):
-    """The words of each key of sent, by size, once a task."""
+    """The words of each key of sent (keys and examples by size) in the text that is its example, so about once in all."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = dict(sent.value)
+        known: dict[str, int] = {}
+        wanted = {n: x for n, x in sent.value.items() if len(x[0])}
+        asked = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for _, x in wanted.values())]))
         for batch in batches:
             rows: list[tuple[int, int, str]] = []
-            for text in batch.column(1).to_pylist():
+            ids = batch.column(0).cast(pa.int64()).fill_null(BIG).to_numpy()
+            some = np.flatnonzero(_inside(ids, asked))
+            for i, text in zip(ids[some].tolist(), batch.column(1).take(pa.array(some)).to_pylist(), strict=True):
                 own = words(text)
-                h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in own], np.uint64)
-                for n, keys in left.items():
+                h = _hashed(own, known)
+                for n, (keys, examples) in wanted.items():
                     grams = _grams(h, n)
-                    hit, first = np.unique(grams[_inside(grams, keys)], return_index=True)
-                    if len(hit):
-                        at = np.flatnonzero(_inside(grams, keys))[first]
-                        rows += [(n, int(k), " ".join(own[i : i + n])) for k, i in zip(hit.view(np.int64).tolist(), at.tolist(), strict=True)]
-                        left[n] = keys[~np.isin(keys, hit)]
+                    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+                    hit = np.flatnonzero((keys[at] == grams) & (examples[at] == i))
+                    _, first = np.unique(at[hit], return_index=True)
+                    rows += [(n, int(k), " ".join(own[j : j + n])) for k, j in zip(grams[hit[first]].view(np.int64).tolist(), hit[first].tolist(), strict=True)]
             made = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.int64(), pa.string()), strict=True)], ["size", "key", "phrase"])
 
@@ -135,6 +140,14 @@ def _keys(table: DataFrame) -> np.ndarray:
     return np.sort(table.select("key").toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _examples(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and the example of each, BIG for none."""
+    rows = table.select("key", "example").toArrow()
+    keys = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows.column("example").cast(pa.int64()).fill_null(BIG).to_numpy()[order]
+
+
 def frequent_phrases(texts: DataFrame, stop: list[str], least: int, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """phrase, n, example of runs of words in texts (id, text) that stand least times or more.
 
@@ -160,7 +173,7 @@ def frequent_phrases(texts: DataFrame, stop: list[str], least: int, sizes: tuple
     parts, named = max(1, -(-found.count() // SENT)), None
     for p in range(parts):
         mine = found.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == p)
-        wanted = spark.sparkContext.broadcast({n: _keys(mine.where(F.col("size") == n)) for n in sizes})
+        wanted = spark.sparkContext.broadcast({n: _examples(mine.where(F.col("size") == n)) for n in sizes})
         one = rows.mapInArrow(_namer(wanted), "size int, key long, phrase string").dropDuplicates(["size", "key"])
         named = one if named is None else named.unionByName(one)
     return found.join(named, ["size", "key"]).select("phrase", "n", "example")
