@@ -35,3 +35,20 @@ def test_lists_find_most(spark):
     got = {r["id"]: (r["neighbour"], r["cosine"]) for r in linkage.nearest(table, block=128, exact=0).collect()}
     assert got.keys() == want.keys() and all(got[i][1] <= want[i][1] + 1e-6 for i in want)
     assert sum(got[i][0] == want[i][0] for i in want) >= 0.9 * len(want)
+
+
+def test_a_meeting_holds_few_cosines_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from visitloom.operators import linkage
+
+    v = np.random.default_rng(1).normal(size=(8192, 4))
+    rows = pa.table({"side": pa.array([0]), "rows": pa.array([[{"id": i, "v": x} for i, x in enumerate(v.tolist())]], pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float64()))])))})
+    tracemalloc.start()
+    out = linkage._best((pa.scalar(0), pa.scalar(0), pa.scalar(0)), rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 8192 and most < 32 << 20

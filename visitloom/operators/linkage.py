@@ -89,6 +89,8 @@ def apply_decisions(rows: DataFrame, merges: DataFrame, decisions: DataFrame) ->
 
 #: Vectors up to which all meet; blocks a side of what meets in a task; lists that a vector beyond is in.
 EXACT, SIDE, PROBES = 1 << 17, 8, 8
+#: Vectors whose cosines with a side are held at a time.
+ROWS = 64
 
 
 def _best(key: tuple, rows: pa.Table) -> pa.Table:
@@ -104,13 +106,14 @@ def _best(key: tuple, rows: pa.Table) -> pa.Table:
     one, other = key[1].as_py(), key[2].as_py()
     for x, y in {(one, other), (other, one)}:
         (a, left), (b, right) = order[x], order[y]
-        for i in range(0, len(a), 1024):
-            scores = np.round(left[i : i + 1024] @ right.T, 9)
-            scores[a[i : i + 1024, None] == b[None, :]] = -9
+        for i in range(0, len(a), ROWS):
+            scores = left[i : i + ROWS] @ right.T
+            np.round(scores, 9, out=scores)
+            scores[a[i : i + ROWS, None] == b[None, :]] = -9
             k = scores.argmax(1)  # ids stand in order, so of equal scores the smallest
             best = scores[np.arange(len(k)), k]
             some = best > -9
-            whole.append(pa.table({"id": a[i : i + 1024][some], "neighbour": b[k][some], "cosine": best[some]}))
+            whole.append(pa.table({"id": a[i : i + ROWS][some], "neighbour": b[k][some], "cosine": best[some]}))
     return pa.concat_tables(whole)
 
 
