@@ -45,9 +45,8 @@ def _reports(t: Tables) -> DataFrame:
 @query("src_02", "select count(distinct conv_id)::bigint reports, 0::bigint unreadable from conversations")
 def src_02(t: Tables) -> DataFrame:
     path = scratch(t, "reports")
-    _reports(t).select("job_id", "patient_info", "clinical_facts", "soap").repartition(4, "job_id").write.option("maxRecordsPerFile", 1).json(path)
-    good, bad = r.read_reports(t.spark, path)
-    return good.agg(F.count("*").alias("reports")).crossJoin(bad)
+    w.write_reports(_reports(t).select("job_id", "patient_info", "clinical_facts", "soap"), path)
+    return r.report_rows(t.spark, path).agg(F.count_if("readable").alias("reports"), F.count_if("unreadable").alias("unreadable"))
 
 
 @query("src_03", f"with {SEGMENTS} select job_id::varchar job_id, speaker section, order_index::int order_index, job_id || '-' || lpad(order_index::varchar, 4, '0') item_id, md5(text) digest, speaker as label from segments")

@@ -16,10 +16,20 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LABELLED).option("mode", "FAILFAST").json(path).where("text is not null")
 
 
-def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Reports, one JSON document a file, and how many files can't be read."""
+def report_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a folder of files, one JSON document a file, a report or a list of reports. A row tells whether it is a
+    report (readable), or a file that can't be read (unreadable), and holds the report's columns; JSON that is no report
+    is neither."""
     rows = spark.read.schema(f"{REPORT}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record is null and (job_id is not null or soap is not null)").drop("_corrupt_record"), rows.agg(F.count_if(F.col("_corrupt_record").isNotNull() & F.col("job_id").isNull()).alias("unreadable"))
+    bad, named = F.col("_corrupt_record").isNotNull(), F.col("job_id").isNotNull()
+    return rows.withColumns({"readable": ~bad & (named | F.col("soap").isNotNull()), "unreadable": bad & ~named}).drop("_corrupt_record")
+
+
+def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Reports, one JSON document a file (see report_rows), and how many files can't be read. Each of the two reads the files; who wants
+    both counts takes them from report_rows at once."""
+    rows = report_rows(spark, path)
+    return rows.where("readable").drop("readable", "unreadable"), rows.agg(F.count_if("unreadable").alias("unreadable"))
 
 
 def report_items(reports: DataFrame) -> DataFrame:
