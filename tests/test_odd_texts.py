@@ -31,3 +31,7 @@ def folder(tmp_path_factory):
 @pytest.mark.parametrize("name", ["str_08", "ext_03", "ext_04", "ext_10"])
 def test_odd_texts(spark, folder, name):
     assert not differences(spark, name, e.queries()[name], e.oracle_sql()[name], folder)
+
+
+def test_guard_on_odd_texts(spark, folder):
+    assert not differences(spark, "grd_01", e.queries()["grd_01"], e.oracle_sql()["grd_01"], folder)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,14 +60,26 @@ DIGITS_AND_MARKS = "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669
 
 
 def numeric_sig(text: Column, folded: bool = True) -> Column:
-    """The numbers of a text in order, in ASCII digits with a point; folded: those in the other scripts' digits too."""
-    found = F.regexp_extract_all(F.translate(text, DIGITS_AND_MARKS, "01234567890123456789.") if folded else text, F.lit(r"(\d+(?:[.,]\d+)?)"))
-    return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")))
+    """The numbers of a text in order, in ASCII digits with a point; folded: those in the other scripts' digits too.
+
+    Of the other scripts' marks the decimal one is a point and the one for thousands is passed over; only what is found
+    is translated, not the text.
+    """
+    if not folded:
+        return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:[.,]\d+)?)")), lambda x: F.replace(x, F.lit(","), F.lit(".")))
+    digit, passed = "0-9\u0660-\u0669\u06f0-\u06f9", "\u066c"
+    found = F.regexp_extract_all(text, F.lit(f"[{digit}][{digit}{passed}]*(?:[.,\u066b]{passed}*[{digit}][{digit}{passed}]*)?"), F.lit(0))
+    return F.transform(found, lambda x: F.translate(x, DIGITS_AND_MARKS[:-1] + "," + passed, "01234567890123456789.."))
 
 
 def unit_sig(text: Column, units: list[str], whole: bool = True) -> Column:
     """The units right behind a digit, in order; whole: no letter of a to z follows."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\d ?(" + "|".join(sorted(units, key=lambda u: (-len(u), u))) + ")" + (r"(?![a-z])" if whole else "")))
+    return units_in(F.lower(text), units, whole)
+
+
+def units_in(low: Column, units: list[str], whole: bool = True) -> Column:
+    """unit_sig of a text in small letters."""
+    return F.regexp_extract_all(low, F.lit(r"\d ?(" + "|".join(sorted(units, key=lambda u: (-len(u), u))) + ")" + (r"(?![a-z])" if whole else "")))
 
 
 def speech_sig(text: Column) -> Column:
@@ -73,25 +89,58 @@ def speech_sig(text: Column) -> Column:
 
 def qualifier_sig(text: Column, groups: dict[str, list[str]]) -> Column:
     """The groups of the qualifiers in a text, in order; of phrases that overlap the longest counts."""
+    return qualifiers_in(F.lower(text), groups)
+
+
+def qualifiers_in(low: Column, groups: dict[str, list[str]]) -> Column:
+    """qualifier_sig of a text in small letters."""
     group_of = {phrase: name for name, phrases in groups.items() for phrase in phrases}
     longest = sorted(group_of, key=lambda x: (-len(x), x))
     known = F.create_map(*[F.lit(x) for pair in group_of.items() for x in pair])
-    found = F.regexp_extract_all(F.lower(text), F.lit("(" + "|".join(rf"\Q{x}\E" for x in longest) + ")"))
+    found = F.regexp_extract_all(low, F.lit(f"{_start(longest)}(?:{'|'.join(rf'\Q{x}\E' for x in longest)})"), F.lit(0))
     return F.transform(found, lambda x: known[x])
 
 
-def scope_sig(text: Column, cues: dict[str, list[str]]) -> Column:
-    """The kinds of cues that a text holds as whole words, in the order given."""
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "), F.lit(" "))
-    flags = [F.when(_any(low, words), F.lit(kind)) for kind, words in cues.items()]
-    return F.array_compact(F.array(*flags))
+def _start(phrases: list[str]) -> str:
+    """Looks ahead for a first character of any phrase: most places of a text fail here, before phrases are tried."""
+    return "(?=[" + "".join(sorted({rf"\x{{{ord(p[0]):x}}}" for p in phrases})) + "])"
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value worked out once, wherever and however often use names it. Written out, an expression inside
+    a condition is worked out anew at each of its places."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _any(padded: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | padded.contains(f" {w} ")
-    return out
+#: A character of a word.
+WORD = r"\p{L}\p{M}\p{N}"
+
+
+def cues_in(low: Column, *cues: dict[str, list[str]]) -> Column:
+    """The different cues that a text in small letters holds as whole words, at each place the longest that starts there;
+    words of a cue are parted by a space, those of the text by anything that is no word."""
+    words = {w for of in cues for every in of.values() for w in every}
+    longest = sorted((w for w in words if all(x and all(unicodedata.category(c)[0] in "LMN" for c in x) for x in w.split(" "))), key=lambda w: (-len(w), w))
+    if not longest:
+        return F.array().cast("array<string>")
+    either = "|".join(f"[^{WORD}]+".join(rf"\Q{x}\E" for x in w.split(" ")) for w in longest)
+    # The match itself is empty, so that cues inside of others are found at their own places.
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(f"{_start(longest)}(?<![{WORD}])(?=({either})(?![{WORD}]))")))
+    return F.transform(found, lambda x: F.regexp_replace(x, f"[^{WORD}]+", " "))
+
+
+def kinds_of(found: Column, cues: dict[str, list[str]]) -> Column:
+    """The kinds, in the order given, of which a cue is among those that cues_in found, or begins one of them."""
+
+    def any_of(words: list[str]) -> Column:
+        return F.exists(found, lambda x: reduce(or_, ((x == w) | F.startswith(x, F.lit(f"{w} ")) for w in words), F.lit(False)))
+
+    return F.array_compact(F.array(*[F.when(any_of(words), F.lit(kind)) for kind, words in cues.items()]))
+
+
+def scope_sig(text: Column, cues: dict[str, list[str]]) -> Column:
+    """The kinds of cues that a text holds as whole words, in the order given."""
+    return once(cues_in(F.lower(text), cues), lambda found: kinds_of(found, cues))
 
 
 def display(code: Column, names: Column) -> Column:
