@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, tasks: int | None, *key: str) -> DataFrame:
+    """df dealt by key to so many partitions if that is more than the session's number; else as it is."""
+    if tasks is None or tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(tasks, *key)
+
+
 def ensure(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
     """All existing rows and those incoming whose key is new, once per key."""
     fresh = incoming.join(existing.select(*key), key, "left_anti")
@@ -73,18 +80,20 @@ def apply_corrections(items: DataFrame, edits: DataFrame, section_of: dict[str,
     )
 
 
-def correction_log(items: DataFrame, edits: DataFrame, fields: tuple[str, ...] = ("label", "text", "section", "speaker")) -> DataFrame:
+def correction_log(items: DataFrame, edits: DataFrame, fields: tuple[str, ...] = ("label", "text", "section", "speaker"), tasks: int | None = None) -> DataFrame:
     """item_id, field, old, new, at, outcome of edits (item_id, field, value, at), in the order of each field's edits.
 
     Every edit is appended, none overwrites another: old is what the field had before it, by the item or by the edit
     before. outcome: applied; no_change where old and new are equal as strings, an error to whoever sent it; unknown_field
-    and unknown_item likewise.
+    and unknown_item likewise. tasks: how many partitions at least items and edits meet in.
     """
-    values = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string") if f in items.columns else F.lit(None).cast("string"))])
-    both = edits.join(items.select("item_id", values.alias("had"), F.lit(True).alias("there")), "item_id", "left")
+    held = [f for f in fields if f in items.columns]
+    had = items.select("item_id", *[F.col(f).cast("string").alias(f"had_{f}") for f in held], F.lit(True).alias("there"))
+    both = spread(edits, tasks, "item_id").join(spread(had, tasks, "item_id"), "item_id", "left")
     order = Window.partitionBy("item_id", "field").orderBy("at", "value")
-    old = F.coalesce(F.lag("value").over(order), F.when(F.col("field").isin(*fields), F.col("had")[F.col("field")]))
-    told = both.withColumn("old", old)
+    # What the item had is looked up by the field after the join, so that rows stay narrow in it.
+    own = F.coalesce(F.lit(None).cast("string"), *[F.when(F.col("field") == f, F.col(f"had_{f}")) for f in held])
+    told = both.select("item_id", "field", "value", "at", "there", own.alias("had")).withColumn("old", F.coalesce(F.lag("value").over(order), F.col("had")))
     outcome = F.when(F.col("there").isNull(), "unknown_item").when(~F.col("field").isin(*fields), "unknown_field").when(F.col("old").eqNullSafe(F.col("value")), "no_change").otherwise("applied")
     return told.select("item_id", "field", "old", F.col("value").alias("new"), "at", outcome.alias("outcome"))
 

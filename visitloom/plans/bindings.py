@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitloom.operators.updates import spread
 from visitloom.plans.registry import Tables
 
+#: Rows that a task sorts at a time, about; Spark's own number of shuffle partitions doesn't grow with the input.
+ROWS_A_TASK = 500_000
+
+
+def tasks_for(table: DataFrame) -> int:
+    """How many partitions to shuffle a table of files into (its rows are counted from their footers): the session's
+    number, more if a partition would get more than ROWS_A_TASK."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(table.count() / ROWS_A_TASK))
+
+
 LINE = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
@@ -23,7 +36,7 @@ JOBS = """jobs as (select o_orderkey job_id, o_custkey patient_id, case o_orders
 def items(t: Tables) -> DataFrame:
     """Report items: lineitem, numbered per order over all columns, as line numbers repeat."""
     order = Window.partitionBy("l_orderkey").orderBy(*LINE)
-    rows = t.lineitem.withColumn("order_index", (F.row_number().over(order) - 1).cast("int"))
+    rows = spread(t.lineitem, tasks_for(t.lineitem), "l_orderkey").withColumn("order_index", (F.row_number().over(order) - 1).cast("int"))
     return rows.select(
         F.col("l_orderkey").alias("job_id"),
         "order_index",
