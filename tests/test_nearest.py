@@ -52,3 +52,29 @@ def test_a_meeting_holds_few_cosines_at_a_time():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert out.num_rows == 8192 and most < 32 << 20
+
+
+def test_all_vectors_meet_at_any_size(spark):
+    """Once, beyond a number of vectors only those met that shared a list."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id id", "embedding v")
+    rows = table.collect()
+    want = plain(np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows], float))
+    got = {r["id"]: (r["neighbour"], r["cosine"]) for r in linkage.nearest(table, block=16, exact=0).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 2e-9 for i in want)
+
+
+@pytest.mark.parametrize("likely", [0, 16, 1 << 30])
+def test_close_cosines_are_told_apart(monkeypatch, likely):
+    monkeypatch.setattr(linkage, "LIKELY", likely)
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.normal(size=(40, 5)), 6, axis=0)
+    v[:120] *= 1 + rng.integers(0, 3, size=(120, 1))  # copies
+    v[120:] += rng.normal(size=(120, 5)) * 1e-4  # cosines that single precision can't tell apart
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.sort(rng.choice(np.arange(1000), 240, replace=False)).astype(np.int64)
+    ids[7] = ids[6]
+    a, b, c = linkage._likest(ids, v, ids, v)
+    s = np.round(v @ v.T, 9)
+    s[ids[:, None] == ids[None, :]] = -9
+    assert a.tolist() == ids.tolist() and b.tolist() == ids[s.argmax(1)].tolist() and np.abs(c - s.max(1)).max() < 2e-9
+    assert len(linkage._likest(ids[6:8], v[6:8], ids[6:8], v[6:8])[0]) == 0

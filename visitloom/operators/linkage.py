@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -87,10 +85,43 @@ def apply_decisions(rows: DataFrame, merges: DataFrame, decisions: DataFrame) ->
     return final.withColumn("nth", first).where("nth = 1").select("id", "text", F.col("final").alias("label"))
 
 
-#: Vectors up to which all meet; blocks a side of what meets in a task; lists that a vector beyond is in.
-EXACT, SIDE, PROBES = 1 << 17, 8, 8
-#: Vectors whose cosines with a side are held at a time.
-ROWS = 64
+#: Blocks a side of what meets in a task.
+SIDE = 8
+#: Vectors whose cosines with a side are held at a time; likely neighbours of one from which on all are worked out.
+ROWS, LIKELY = 64, 16
+
+
+def _likest(a: np.ndarray, left: np.ndarray, b: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For vectors left of ids a: ids, the vector of right with another id of b (in order) of the highest cosine, and that.
+
+    Cosines in single precision tell which can be the highest: those within twice their error of it, and what rounding to
+    9 places makes equal. These are worked out in double precision.
+    """
+    rough, out, most = np.ascontiguousarray(right.T, np.float32), [], (right.shape[1] + 8) * 2.0**-23 + 2e-9
+    for i in range(0, len(a), ROWS):
+        own, mine = a[i : i + ROWS], left[i : i + ROWS]
+        same = list(zip(np.searchsorted(b, own).tolist(), np.searchsorted(b, own, "right").tolist(), strict=True))
+        scores = mine.astype(np.float32) @ rough
+        for row, (x, y) in zip(scores, same, strict=True):
+            row[x:y] = -9
+        high = scores.max(1)
+        near = scores >= np.where(high > -9, high - np.float32(most), np.float32(9))[:, None]
+        r, c = np.divmod(np.flatnonzero(near), len(b))
+        if len(r) <= LIKELY * len(own):
+            cosines = np.round(np.einsum("ij,ij->i", mine[r], right[c]), 9)
+            order = np.lexsort((c, -cosines, r))  # ids stand in order, so of equal cosines the smallest
+            first = order[np.flatnonzero(np.diff(r[order], prepend=-1))]
+            out.append((own[r[first]], b[c[first]], cosines[first]))
+            continue
+        scores = mine @ right.T
+        np.round(scores, 9, out=scores)
+        for row, (x, y) in zip(scores, same, strict=True):
+            row[x:y] = -9
+        k = scores.argmax(1)
+        best = scores[np.arange(len(k)), k]
+        some = best > -9
+        out.append((own[some], b[k][some], best[some]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _best(key: tuple, rows: pa.Table) -> pa.Table:
@@ -103,66 +134,29 @@ def _best(key: tuple, rows: pa.Table) -> pa.Table:
     for side, parts in sides.items():
         ids, v = np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts])
         order[side] = (ids[np.argsort(ids)], v[np.argsort(ids)])
-    one, other = key[1].as_py(), key[2].as_py()
+    one, other = (x.as_py() for x in key[-2:])
     for x, y in {(one, other), (other, one)}:
-        (a, left), (b, right) = order[x], order[y]
-        for i in range(0, len(a), ROWS):
-            scores = left[i : i + ROWS] @ right.T
-            np.round(scores, 9, out=scores)
-            scores[a[i : i + ROWS, None] == b[None, :]] = -9
-            k = scores.argmax(1)  # ids stand in order, so of equal scores the smallest
-            best = scores[np.arange(len(k)), k]
-            some = best > -9
-            whole.append(pa.table({"id": a[i : i + ROWS][some], "neighbour": b[k][some], "cosine": best[some]}))
-    return pa.concat_tables(whole)
-
-
-def _met(rows: DataFrame, block: int) -> DataFrame:
-    """id, neighbour, cosine: the best within each key of rows (key, id, v), once a meeting.
-
-    A key's vectors are dealt to parts of about block vectors, and groups of SIDE parts meet in pairs, so a vector is
-    sent once for each such group, not for each part, and a large key is many tasks.
-    """
-    cuts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
-    dealt = rows.join(cuts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).groupBy("key", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    groups = cuts.select("key", F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / SIDE))).alias("g"))
-    cells = groups.join(groups.select("key", F.col("g").alias("h")), "key").where("g <= h")
-    sent = cells.select("*", F.col("g").alias("side")).unionByName(cells.where("g <> h").select("*", F.col("h").alias("side")))
-    placed = dealt.withColumn("side", F.floor(F.col("part") / SIDE)).join(sent, ["key", "side"])
-    return placed.select("key", "g", "h", "side", "rows").groupBy("key", "g", "h").applyInArrow(_best, "id long, neighbour long, cosine double")
+        if x in order and y in order:
+            whole.append(pa.table(dict(zip(("id", "neighbour", "cosine"), _likest(*order[x], *order[y]), strict=True))))
+    return pa.concat_tables([pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("cosine", pa.float64())]).empty_table(), *whole])
 
 
-def nearest(vectors: DataFrame, block: int = 2048, exact: int = EXACT, probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, block: int = 2048, exact: int | None = None) -> DataFrame:
     """The nearest other vector by cosine, ties to the smaller id: id, neighbour, cosine.
 
-    vectors: id, v; rows with a null id or v take no part. Up to exact vectors all meet. Beyond, as many lists as the root
-    of their number are opened at vectors chosen by a hash of the id, each vector stands in the probes lists that it is
-    nearest to, and the vectors of a list meet: the cosines are exact, and the neighbour is the true one unless the two
-    share no list (tests measure how rare that is).
+    vectors: id, v; rows with a null id or v take no part. All vectors meet, however many they are; exact, up to which they
+    once did, changes nothing. They are dealt to parts of about block vectors, and groups of SIDE parts meet in pairs, so
+    a vector is sent once for each such group, and what a task holds doesn't grow. The work grows with the square.
     """
     unit = vectors.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), l2(F.col("v")).alias("v"))
-    n = unit.count()
-    if n <= exact:
-        keyed = unit.withColumn("key", F.lit(0).cast("long"))
-    else:
-        # The root of the table: 8 MB of vectors of 100 dimensions at a hundred million.
-        chosen = unit.orderBy(F.xxhash64("id"), "id").limit(math.ceil(math.sqrt(n))).select("v").toPandas()["v"]
-        sent = vectors.sparkSession.sparkContext.broadcast(np.stack(chosen.to_list()))
-
-        def dealt(batches):
-            lists = sent.value
-            most = min(probes, len(lists))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                near = np.concatenate([np.argpartition(-(x[i : i + 1024] @ lists.T), most - 1, axis=1)[:, :most] for i in range(0, len(x), 1024)])
-                rows = np.repeat(np.arange(len(x)), most)
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), *(c.take(pa.array(rows)) for c in batch.columns)], ["key", "id", "v"])
-
-        keyed = unit.mapInArrow(dealt, "key long, id long, v array<double>")
+    parts = max(1, -(-unit.count() // block))
+    last = (parts - 1) // SIDE
+    dealt = unit.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    met = dealt.withColumn("side", F.floor(F.col("part") / SIDE)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    placed = met.select(F.least("side", "other").alias("g"), F.greatest("side", "other").alias("h"), "side", "rows")
+    found = placed.groupBy("g", "h").applyInArrow(_best, "id long, neighbour long, cosine double")
     best = F.max_by(F.struct("neighbour", "cosine"), F.struct("cosine", (-F.col("neighbour")).alias("first")))
-    return _met(keyed, block).groupBy("id").agg(best.alias("b")).select("id", "b.neighbour", "b.cosine")
+    return found.groupBy("id").agg(best.alias("b")).select("id", "b.neighbour", "b.cosine")
 
 
 def neighbours(seed: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
